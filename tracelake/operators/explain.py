@@ -200,7 +200,11 @@ def empty_state_value(table: DataFrame) -> Column:
 def state_features(tr: DataFrame, activities: Sequence[str], x: str = "s", ids: dict[str, int] | None = None) -> DataFrame:
     """Bag of activities, prefix length and one-hot last activity as plain columns."""
     ids = ids or {}
-    count = {f"n_{a}": F.size(F.filter(F.col(x), lambda v, a=a: v == ids[a])).cast("double") for a in activities if a in ids}
+
+    def occurrences(token: int) -> Column:
+        return F.size(F.filter(F.col(x), lambda v: v == token)).cast("double")
+
+    count = {f"n_{a}": occurrences(ids[a]) for a in activities if a in ids}
     last = {f"last_{a}": (F.col("last_activity") == a).cast("double") for a in activities}
     return tr.withColumns({**count, **last, "prefix_len": F.col("t").cast("double")})
 

@@ -286,13 +286,12 @@ def poisson_count(u: Column, rate: float, most: int = 16) -> Column:
     """Poisson(rate) by inverting the distribution at u."""
     import math
 
-    total, p, steps = 0.0, math.exp(-rate), []
+    total, p, count = 0.0, math.exp(-rate), F.lit(0)
     for k in range(most):
         total += p
-        steps.append(total)
+        count = count + F.when(u >= total, 1).otherwise(0)
         p *= rate / (k + 1)
-    # u lies in [step k-1, step k) for a count of k
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
+    return count
 
 
 def balanced_weights(df: DataFrame, n_actions: int) -> DataFrame:
