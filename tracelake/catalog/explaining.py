@@ -52,7 +52,7 @@ class Explained:
         log = views.log_session(spark, sf, segment=False)
         self.vocab = encode.build_vocab(log, max_size=1000)
         self.tr = values.with_state(session_transitions(spark, sf, self.vocab))
-        self.q_table = values.return_table(self.tr, N, GAMMA)
+        self.q_table = values.return_table(values.state_cells(self.tr, GAMMA), N)
         self.table = explain.token_table(self.q_table, self.vocab)
         self.test = clean.filter_split(self.tr, session_splits(spark, sf), "test")
         hit = self.vocab.where(F.col("token") == SPEC.trigger).select("id").first()
@@ -80,11 +80,11 @@ def select_cases_random(spark, sf):
     return explain.select_cases_random(test, N_CASES)
 
 
-@query("select_cases_stratified", """WITH RECURSIVE dummy AS (SELECT 1) SELECT case_id, reward_bin FROM
+@query("select_cases_stratified", """SELECT case_id, reward_bin FROM
     (SELECT *, row_number() OVER (PARTITION BY reward_bin ORDER BY md5('123:' || case_id), case_id) AS rk, count(*) OVER (PARTITION BY reward_bin) AS sz, count(*) OVER () AS n FROM
       (SELECT case_id, CAST(x >= e.q1 AS INT) + CAST(x >= e.q2 AS INT) + CAST(x >= e.q3 AS INT) AS reward_bin FROM (SELECT case_id, sum(r) AS x FROM tr_session GROUP BY 1),
        (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM (SELECT sum(r) AS x FROM tr_session GROUP BY case_id)) e))
-    WHERE rk <= least(greatest(1, floor(100.0::DOUBLE * sz / n)), sz) ORDER BY reward_bin, rk LIMIT 100""".replace("WITH RECURSIVE dummy AS (SELECT 1) ", ""), ("tr_session",))
+    WHERE rk <= least(greatest(1, floor(100.0::DOUBLE * sz / n)), sz) ORDER BY reward_bin, rk LIMIT 100""", ("tr_session",))
 def select_cases_stratified(spark, sf):
     return explain.select_cases_stratified(cases.case_reward(session_transitions(spark, sf)), 100)
 
@@ -155,7 +155,7 @@ cte("clusters", """SELECT last_activity AS cluster_id, count(*) AS n, avg(v) AS
 
 def clusters(spark, sf):
     tr = values.with_state(session_transitions(spark, sf))
-    s = values.with_greedy(values.score(tr, values.return_table(tr, N, GAMMA)))
+    s = values.with_greedy(values.score(tr, values.return_table(values.state_cells(tr, GAMMA), N)))
     return explain.cluster_profile(s.withColumn("cluster_id", F.col("last_activity")), N)
 
 

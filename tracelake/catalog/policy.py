@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at, masked, n_valid
 from ..operators import cases, clean, ope, values
+from ..session import stored
 from ..sources import views
 from .base import SPEC, cte, query, r6, session_splits, session_transitions, sql6
 
@@ -49,21 +50,20 @@ cte("dr", "SELECT *, rho * (r - q_sa) + v AS dr FROM pol", "pol")
 
 
 def q_table_df(spark, sf):
-    return values.return_table(session_transitions(spark, sf), N, GAMMA)
+    return values.return_table(values.state_cells(session_transitions(spark, sf), GAMMA), N)
 
 
 def scored(spark, sf, vocab=None):
     tr = values.with_state(session_transitions(spark, sf, vocab))
-    return values.score(tr, values.return_table(tr, N, GAMMA))
+    return values.score(tr, values.return_table(values.state_cells(tr, GAMMA), N))
 
 
 def rated(spark, sf):
-    """Test transitions with values and behaviour propensities."""
-    tr = values.with_state(session_transitions(spark, sf))
-    split = session_splits(spark, sf)
-    table = values.behavior_table(clean.filter_split(tr, split, "train"), N)
-    test = clean.filter_split(tr, split, "test")
-    return values.with_behavior(values.score(test, values.return_table(tr, N, GAMMA)), table, N)
+    """Test transitions with values and behaviour propensities: one pass for both tables, one to score."""
+    tr = values.with_state(session_transitions(spark, sf)).join(session_splits(spark, sf), "case_id")
+    cells = values.state_cells(tr, GAMMA, F.col("split") == "train")
+    test = tr.where("split = 'test'")
+    return values.with_behavior(values.score(test, values.return_table(cells, N)), values.behavior_table(cells, N), N)
 
 
 def policy_columns():
@@ -156,7 +156,7 @@ def td_error(spark, sf):
     from ..operators.transitions import action_mask
 
     tr = values.with_state(session_transitions(spark, sf), SPEC.trigger)
-    table = values.return_table(tr, N, GAMMA)
+    table = stored(values.return_table(values.state_cells(tr, GAMMA), N))
     first = values.score(tr, table)
     both = values.score(first.withColumnRenamed("q", "q_now"), table, ("next_activity", "next_len_bin", "next_seen"))
     both = both.withColumnsRenamed({"q": "q_next", "q_now": "q"}).withColumn("next_valid", action_mask(F.col("next_activity"), SPEC))

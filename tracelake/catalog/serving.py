@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import render
-from ..operators import cases, clean, distill, explain, guard, monitor, ope, splits, transitions, values
+from ..operators import cases, clean, distill, explain, guard, monitor, ope, splits, values
 from ..plans.sequence import ordered
 from ..session import scratch_dir, stored
 from ..sources import readers, views, writers
@@ -13,8 +13,8 @@ from ..streaming import decisions as dstream
 from ..streaming import feedback as fstream
 from ..streaming import metrics as mstream
 from .base import SEED, SPEC, cte, query, r6, session_splits, session_transitions, sql6
-from .explaining import clusters, variants
-from .policy import GAMMA, N, policy_columns, rated, scored
+from .explaining import variants
+from .policy import policy_columns, rated, scored
 
 # ---- distillation --------------------------------------------------------------------------------
 
@@ -26,7 +26,7 @@ cte("strata", f"""SELECT case_id, t, len_bin, a, row_number() OVER (PARTITION BY
 cte("quota", f"SELECT greatest(1, CAST(floor({N_COMMON} / count(*)) AS BIGINT)) AS q FROM (SELECT DISTINCT len_bin, a FROM strata)", "strata")
 cte("common", f"""SELECT case_id, t FROM (SELECT case_id, t, 0 AS part, rk FROM strata, quota WHERE rk <= q UNION ALL
     SELECT case_id, t, 1, row_number() OVER (ORDER BY md5('{SEED}:fill:' || case_id || ':' || t), case_id, t) FROM strata, quota WHERE rk > q) ORDER BY part, rk, case_id, t LIMIT {N_COMMON}""", "strata", "quota")
-cte("high", f"SELECT case_id, t FROM scored ORDER BY delta_q DESC, case_id, t LIMIT {N_HIGH}", "scored")
+cte("high", f"SELECT case_id, t FROM scored ORDER BY round(delta_q, 9) DESC, case_id, t LIMIT {N_HIGH}", "scored")
 cte("dstates", """SELECT case_id, t, bool_or(c) AS is_common, bool_or(h) AS is_high_impact FROM (SELECT case_id, t, true AS c, false AS h FROM common UNION ALL
     SELECT case_id, t, false, true FROM high) GROUP BY ALL""", "common", "high")
 
@@ -43,7 +43,7 @@ def _greedy(spark, sf):
 def _states(spark, sf, rows=None):
     rows = rows if rows is not None else _greedy(spark, sf)
     # delta_q is ranked on values rounded to nine digits so that ties do not hinge on the last bit
-    high = distill.select_high_impact(rows.select("case_id", "t", "delta_q"), rows, N_HIGH)
+    high = distill.select_high_impact(rows.select("case_id", "t", F.round("delta_q", 9).alias("delta_q")), rows, N_HIGH)
     return distill.distillation_states(_common(spark, sf), high)
 
 
@@ -82,7 +82,7 @@ def label_split(spark, sf):
 def _labelled(spark, sf):
     rows = _greedy(spark, sf)
     feats = cases.case_features(views.log_session(spark, sf), ["value"], ["view", "click"]).drop("n_events")
-    return rows.join(feats, ["case_id", "t"]).withColumn("is_high_impact", F.col("delta_q") > 1.0)
+    return rows.join(feats, ["case_id", "t"]).withColumn("is_high_impact", F.col("delta_q") > 0)
 
 
 @query("tree_rules")
@@ -121,7 +121,7 @@ def apply_rules(spark, sf):
     return distill.apply_rules(f, RULES).select("case_id", "t", "pred", "recommended_action", "confidence")
 
 
-cte("agree", """SELECT r.pred, r.confidence, round(s.margin, 9) AS margin, s.a_star, s.delta_q > 1.0 AS high FROM ruled r JOIN scored s ON s.case_id = r.case_id AND s.t = r.t""", "ruled", "scored")
+cte("agree", """SELECT r.pred, r.confidence, round(s.margin, 9) AS margin, s.a_star, s.delta_q > 0 AS high FROM ruled r JOIN scored s ON s.case_id = r.case_id AND s.t = r.t""", "ruled", "scored")
 
 
 def _rho(where: str) -> str:
@@ -281,7 +281,7 @@ cte("signals", """SELECT * , (ood_rate - ood_b) / (ood_b + 1e-6) AS ood_spike, (
     (SELECT date, ood_rate, coverage, override_rate, avg(ood_rate) OVER b AS ood_b, avg(coverage) OVER b AS cov_b, avg(override_rate) OVER b AS ov_b, row_number() OVER (ORDER BY date) AS d
      FROM daily WINDOW b AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING)) WHERE d >= 7""", "daily")
 cte("flagged", "SELECT *, ood_spike > 0.1 AS oa, coverage_drop > 0.05 AS ca, override_spike > 0.1 AS va FROM signals", "signals")
-# thresholds low enough for the bundled data to fire; the defaults are the reference ones
+# thresholds low enough to fire on the bundled data
 LOW = {"ood_spike": 0.1, "coverage_drop": 0.05, "override_spike": 0.1}
 
 
@@ -526,6 +526,3 @@ def report_store(spark, sf):
 @query("fingerprint")
 def fingerprint(spark, sf):
     return readers.fingerprint(views.log_session(spark, sf, segment=False))
-
-
-__all__ = ["GAMMA", "N", "clusters", "transitions"]

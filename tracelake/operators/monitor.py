@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..plans.ranking import global_rank, percentiles
+from ..plans.ranking import percentiles, running_totals
 
 DAY = "date"
 FLOOR = 1e-6
@@ -87,7 +87,7 @@ def ks(current: DataFrame, baseline: DataFrame, feature: str, threshold: float =
     both = current.select(F.col(feature).cast("double").alias("v"), F.lit(1).alias("c"), F.lit(0).alias("b")).unionByName(
         baseline.select(F.col(feature).cast("double").alias("v"), F.lit(0).alias("c"), F.lit(1).alias("b"))).where(F.col("v").isNotNull())
     counts = both.groupBy("v").agg(F.sum("c").alias("c"), F.sum("b").alias("b"))
-    upto = global_rank(global_rank(counts, ["v"], "cc", weight="c"), ["v"], "cb", weight="b")
+    upto = running_totals(counts, ["v"], {"cc": F.col("c"), "cb": F.col("b")})
     totals = upto.agg(F.struct(F.sum("c").alias("nc"), F.sum("b").alias("nb")).alias("s")).scalar()
     gap = F.abs(ratio(F.col("cc"), F.col("_s.nc")) - ratio(F.col("cb"), F.col("_s.nb")))
     return upto.withColumn("_s", totals).agg(F.lit(feature).alias("feature"), F.max(gap).alias("ks")).select(

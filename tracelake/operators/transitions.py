@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.numbers import epoch
 from ..plans.ranking import percentiles
-from ..plans.sequence import ordered
+from ..plans.sequence import ordered, segment_cases
 from .cases import ORDER
 from .clean import ACTIVITY, CASE, TIME
 from .encode import PAD, encode_tokens
@@ -184,7 +184,7 @@ def transition_stats(tr: DataFrame) -> DataFrame:
 
 def feedback_transitions(
     feedback: DataFrame, features: Sequence[str], min_cases: int = 1, terminal: str = "drop",
-    case: str = CASE, order: Sequence[str] = ("t",),
+    case: str = CASE, order: Sequence[str] = ("t",), max_rows: int = 1_000_000,
 ) -> DataFrame:
     """Consecutive feedback rows as transitions on the executed action.
 
@@ -192,7 +192,7 @@ def feedback_transitions(
     ``min_cases`` usable cases yield an empty result.
     """
     vector = F.array(*[F.coalesce(F.try_element_at(F.col("state_features"), F.lit(f)), F.lit(0.0)) for f in features])
-    base = feedback.withColumn("s", vector)
+    base = segment_cases(feedback.withColumn("s", vector), case, "t", max_rows)
     seq = ordered(base, order, case, lead={"s_next": F.col("s"), "_next_t": F.col("t")}, position="_pos", count="n_rows")
     usable = seq.where(F.col("n_rows") >= 2)
     if terminal == "drop":

@@ -40,15 +40,22 @@ def discounted_return(gamma: float = 0.99) -> Column:
     return F.pow(F.lit(gamma), F.col("n_events") - 1 - F.col("t")) * F.col("outcome")
 
 
-def return_table(tr: DataFrame, n_actions: int, gamma: float = 0.99) -> DataFrame:
-    """Monte-Carlo values: mean discounted return per state and action, as one q array per state.
+def state_cells(tr: DataFrame, gamma: float = 0.99, train: Column | None = None) -> DataFrame:
+    """Sums per (state, action) in one pass: return sum ``s``, count ``c`` and count ``c_train``.
 
-    The transitions collapse map-side to (state, action) sums; everything after works on that small
-    stored table. Unseen combinations fall back to the activity's mean, then the action's mean, then
-    0; the row with an empty activity holds the overall fallback.
+    This is all the value and behaviour tables need. Transitions collapse map-side; the result has
+    one row per activity, length bin, trigger flag and action, and is stored for its readers.
+    """
+    keyed = with_state(tr).withColumns({"_g": discounted_return(gamma), "_train": train if train is not None else F.lit(True)})
+    return stored(keyed.groupBy(*KEY, "a").agg(F.sum("_g").alias("s"), F.count(F.lit(1)).alias("c"), F.count_if("_train").alias("c_train")))
+
+
+def return_table(cells: DataFrame, n_actions: int) -> DataFrame:
+    """Monte-Carlo values from :func:`state_cells`: mean discounted return as one q array per state.
+
+    Unseen combinations fall back to the activity's mean, then the action's mean, then 0; the row
+    with an empty activity holds the overall fallback.
     """
-    keyed = with_state(tr).select(*KEY, "a", discounted_return(gamma).alias("g"))
-    cells = stored(keyed.groupBy(*KEY, "a").agg(F.sum("g").alias("s"), F.count(F.lit(1)).alias("c")))
 
     def sums(name: str) -> list[Column]:
         return [F.array(*[F.coalesce(F.sum(F.when(F.col("a") == i, F.col(c))), F.lit(0)).cast("double") for i in range(n_actions)]).alias(f"{name}_{c}") for c in ("s", "c")]
@@ -202,11 +209,12 @@ def heuristic_policy(valid: Column, length: Column, n: int, threshold: int = 5,
 # ---- behaviour policy -----------------------------------------------------------------------------
 
 
-def behavior_table(train: DataFrame, n_actions: int, smoothing: float = 1.0) -> DataFrame:
-    """Additively smoothed action shares per state."""
-    n = with_state(train).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("a") == i) for i in range(n_actions)]).alias("counts"))
-    return n.select(*KEY, F.transform("counts", lambda c: (c + F.lit(smoothing)) / (F.col("n") + F.lit(smoothing * n_actions))).alias("p"))
+def behavior_table(cells: DataFrame, n_actions: int, smoothing: float = 1.0) -> DataFrame:
+    """Additively smoothed action shares per state over the training part of :func:`state_cells`."""
+    n = cells.groupBy(*KEY).agg(
+        F.sum("c_train").alias("n"), F.array(*[F.coalesce(F.sum(F.when(F.col("a") == i, F.col("c_train"))), F.lit(0)) for i in range(n_actions)]).alias("counts"))
+    p = F.transform("counts", lambda c: (c + F.lit(smoothing)) / (F.col("n") + F.lit(smoothing * n_actions)))
+    return n.where(F.col("n") > 0).select(*KEY, p.alias("p"))
 
 
 def mask_renormalise(p: Column, valid: Column, n: int) -> Column:

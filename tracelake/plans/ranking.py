@@ -27,52 +27,55 @@ def hash_rank(
     holding most rows is still ranked by thousands of tasks. Bucket counts give the offsets.
     """
     by = list(by)
+    # a struct key equals itself even where a field is NULL, so window and join share one partitioning
+    group = ["_g"] if by else []
     hashed = df.withColumn("_h", seeded_md5(seed, *keys)).withColumn("_b", hash_bucket(F.col("_h"), digits))
-    counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    if by:
+        hashed = hashed.withColumn("_g", F.struct(*by))
+    counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     # one row per (group, bucket): at most 16^digits rows in a window
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *by, "_b",
-        F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
-        F.sum("_c").over(group).alias("_n"),
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
-    ranked = hashed.withColumn("_r", F.row_number().over(inside))
-    condition = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l._b") == F.col("r._b")]
-    joined = ranked.alias("l").join(offsets.alias("r"), condition)
-    out = [F.col(f"l.{c}").alias(c) for c in df.columns] + [(F.col("_o") + F.col("_r")).alias(rank)]
+        *group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("_n"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_h", *keys)
+    joined = hashed.withColumn("_r", F.row_number().over(inside)).join(offsets, [*group, "_b"])
+    out = [F.col(c) for c in df.columns] + [(F.col("_o") + F.col("_r")).alias(rank)]
     if size:
         out.append(F.col("_n").alias(size))
     return joined.select(*out)
 
 
-def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str = "rank", weight: str | None = None) -> DataFrame:
-    """Rank rows 1..n by value (or running total of ``weight``) with Spark's range partitioner.
+def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[str, Column]) -> DataFrame:
+    """Running totals over a global order, with Spark's range partitioner instead of one big window.
 
-    The sorted rows are stored before counting, so the partition boundaries both steps rely on
-    cannot move. Offsets are one row per partition.
+    The sorted rows are stored before they are summed, so the partition boundaries both steps rely
+    on cannot move. Offsets are one row per partition. Rows should be unique under ``order``.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = stored(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.withColumns({f"_w_{k}": c for k, c in totals.items()})
+        .repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
     )
-    amount = F.col(weight) if weight else F.lit(1)
-    counts = placed.groupBy("_p").agg(F.sum(amount).alias("_c"))
+    sums = placed.groupBy("_p").agg(*[F.sum(f"_w_{k}").alias(k) for k in totals])
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    offsets = sums.select("_p", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_o_{k}") for k in totals])
+    inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
     joined = placed.join(F.broadcast(offsets), "_p")  # one row per shuffle partition
-    if weight:
-        inside = F.sum(weight).over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        inside = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33) + 1
-    return joined.withColumn(rank, F.col("_o") + inside).drop("_p", "_m", "_o")
+    out = {k: F.col(f"_o_{k}") + F.sum(f"_w_{k}").over(inside) for k in totals}
+    return joined.select(*df.columns, *[c.alias(k) for k, c in out.items()])
+
+
+def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str = "rank") -> DataFrame:
+    """Rank rows 1..n by value."""
+    return running_totals(df, order, {rank: F.lit(1).cast("long")})
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
     """(value, rank) with ties sharing their mean rank; hot values are counted, never grouped."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_w"))
-    upto = global_rank(counts, [value], "_upto", weight="_w")
+    upto = running_totals(counts, [value], {"_upto": F.col("_w")})
     return upto.select(value, (F.col("_upto") - (F.col("_w") - 1) / 2.0).alias(rank))
 
 

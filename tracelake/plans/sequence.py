@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import last_n
 from ..session import stored
+from .sizing import stored_with_count
 
 SEGMENT = "_segment"
 _STEPS = (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
@@ -42,8 +43,8 @@ def segment_cases(
     """
     moment = _as_number(F.col(time), dict(log.dtypes)[time])
     sizes = log.groupBy(case).agg(F.count(F.lit(1)).alias("_n"))
-    big = stored(sizes.where(F.col("_n") > max_rows).orderBy(F.desc("_n"), case).limit(max_cases))
-    if big.isEmpty():
+    big, n_big = stored_with_count(sizes.where(F.col("_n") > max_rows).orderBy(F.desc("_n"), case).limit(max_cases))
+    if n_big == 0:
         return log
     grid = F.array(*[F.lit(i / _GRID) for i in range(1, _GRID)])
     cuts = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -10,6 +10,13 @@ from ..session import stored
 BROADCAST_ROWS = 100_000
 
 
+def stored_with_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """Store a stage and count its rows while they are written."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Store a derived lookup table once and broadcast it only when it proves small.
 
@@ -17,6 +24,5 @@ def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     without recomputing them. Above ``max_rows`` it is returned without a hint and the join shuffles,
     with adaptive skew splitting for hot keys.
     """
-    table = stored(df)
-    fits = table.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(table) if fits else table
+    table, n = stored_with_count(df)
+    return F.broadcast(table) if n <= max_rows else table
