@@ -94,7 +94,7 @@ def test_cycle_time(log):
 def test_features_clamp_and_unknown_case(spark, log):
     f = cases.case_features(log, ["outcome", "absent"], ["complete"])
     want = spark.createDataFrame([(1, 99), (1, 0), (77, 2)], "case_id long, t int")
-    got = {(r["case_id"], r["t"]): r for r in cases.features_at(f, want).collect()}
+    got = {(r["case_id"], r["t"]): r for r in cases.features_at(f, want, cases.case_sizes(log)).collect()}
     assert got[(1, 99)]["prefix_len"] == 4.0 and got[(1, 99)]["count_complete"] == 1.0
     assert got[(1, 0)]["prefix_len"] == 1.0 and got[(1, 0)]["absent"] == 0.0
     assert got[(77, 2)]["missing"] and got[(77, 2)]["outcome"] == 0.0

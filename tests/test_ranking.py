@@ -18,9 +18,11 @@ def numbers(spark):
 
 
 def test_hash_rank_is_a_permutation(numbers):
-    got = [r["rank"] for r in hash_rank(numbers, 1, ["id"]).collect()]
-    assert sorted(got) == list(range(1, 5001))
-    assert got == [r["rank"] for r in hash_rank(numbers, 1, ["id"]).collect()] or sorted(got) == sorted(range(1, 5001))
+    def ranks(seed):
+        return {r["id"]: r["rank"] for r in hash_rank(numbers, seed, ["id"]).collect()}
+
+    assert sorted(ranks(1).values()) == list(range(1, 5001))
+    assert ranks(1) == ranks(1) != ranks(2)
 
 
 def test_hash_rank_per_group_counts_null_group(numbers):

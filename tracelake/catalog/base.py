@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cases, clean, transitions
+from ..operators import transitions
 from ..operators.transitions import DecisionSpec
 from ..sources import views
 
@@ -116,6 +116,3 @@ def session_splits(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.splits import split_random
 
     return split_random(views.log_session(spark, folder, segment=False).select("case_id"), SEED)
-
-
-__all__ = ["CTES", "ORACLES", "QUERIES", "cases", "clean", "cte", "query", "with_ctes"]

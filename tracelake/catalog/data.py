@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import render
-from ..functions.numbers import rnd
 from ..operators import cases, clean, encode, splits, transitions
 from ..sources import views
 from .base import (MAX_LEN, POSITIVE, SEED, SPEC, cte, outcome_value, query, r6, session_splits, session_transitions, sql6)
@@ -171,7 +170,7 @@ def terminal_value(spark, sf):
 
 
 @query("ingest_stats", """SELECT e.*, l.* FROM
-    (SELECT count(*) AS n_events, CAST(min(epoch(timestamp)) AS BIGINT) AS first_epoch, CAST(floor(max(epoch(timestamp))) AS BIGINT) AS last_epoch,
+    (SELECT count(*) AS n_events, CAST(floor(min(epoch(timestamp))) AS BIGINT) AS first_epoch, CAST(floor(max(epoch(timestamp))) AS BIGINT) AS last_epoch,
       CAST(100.0 * avg(CASE WHEN activity IS NULL THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS missing_activity_pct FROM log_session) e,
     (SELECT count(*) AS n_cases, min(c) AS len_min, round(avg(c), 6) AS len_mean, quantile_cont(c, 0.5) AS len_p50, round(quantile_cont(c, 0.95), 6) AS len_p95,
       max(c) AS len_max FROM (SELECT count(*) AS c FROM log_session GROUP BY case_id)) l""", ("log_session",))
@@ -215,7 +214,8 @@ def features_at_t(spark, sf):
         F.when(F.col("event_type") == "error", F.concat(F.lit("ghost-"), "event_id"))
         .otherwise(F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd"))).alias("case_id"),
         F.floor(F.get_json_object("props", "$.k").cast("double") / 10).cast("int").alias("t"), "event_id")
-    return cases.features_at(session_features(spark, sf), wanted).select("event_id", "missing", *r6("value"), "prefix_len", "count_view")
+    sizes = cases.case_sizes(views.log_session(spark, sf, segment=False))
+    return cases.features_at(session_features(spark, sf), wanted, sizes).select("event_id", "missing", *r6("value"), "prefix_len", "count_view")
 
 
 @query("cycle_time", "SELECT case_id, round((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000.0, 6) AS ct_days FROM log_session GROUP BY 1", ("log_session",))
@@ -486,6 +486,3 @@ def position_order(spark, sf):
 def structure_violations(spark, sf):
     v = encode.build_vocab(views.log_session(spark, sf, segment=False))
     return splits.structure_violations(session_transitions(spark, sf, v), MAX_LEN, 2)
-
-
-__all__ = ["profile", "rnd", "session_features", "user_vocab"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at, masked, n_valid
+from ..functions.arrays import at, masked
 from ..operators import cases, clean, ope, values
 from ..session import stored
 from ..sources import views
@@ -322,6 +322,3 @@ def cycle_time_audit(spark, sf):
     flags = cases.case_interventions(s, test)
     audit = cases.cycle_time_audit(cases.cycle_time(views.log_session(spark, sf, segment=False)), flags)
     return audit.select("n_cases", "n_missing_ct", *r6("intervention_rate", "ct_with", "ct_without", "ct_overall", "delta_days"), F.round("delta_pct", 5).alias("delta_pct"))
-
-
-__all__ = ["n_valid", "rated", "scored"]

@@ -29,7 +29,7 @@ def presence_outcome(log: DataFrame, positive: Sequence[str], mode: str = "any",
 
 def with_outcome(log: DataFrame, positive: Sequence[str], mode: str = "any") -> DataFrame:
     """Broadcast the presence outcome to every event of the case (a join on pre-aggregated cases)."""
-    return log.join(presence_outcome(log, positive, mode), CASE)
+    return log.drop("outcome").join(presence_outcome(log, positive, mode), CASE)
 
 
 def terminal_value(log: DataFrame, col: str = "outcome", order: Sequence[str] = ORDER) -> DataFrame:
@@ -86,12 +86,16 @@ def case_features(log: DataFrame, numeric: Sequence[str] = (), counted: Sequence
     )
 
 
-def features_at(features: DataFrame, wanted: DataFrame) -> DataFrame:
+def case_sizes(log: DataFrame) -> DataFrame:
+    return log.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def features_at(features: DataFrame, wanted: DataFrame, sizes: DataFrame) -> DataFrame:
     """Feature row for requested (case_id, t): t is clamped to the case; an unknown case gives zeros and a flag.
 
-    ``features`` comes from :func:`case_features`; requests first learn the case size (one row per case).
+    ``features`` comes from :func:`case_features`, ``sizes`` from :func:`case_sizes`. The second join
+    is keyed by (case_id, position), so a case that most requests ask for is spread over tasks.
     """
-    sizes = features.where(F.col("t") == 1).select(CASE, "n_events")
     names = [c for c in features.columns if c not in (CASE, "t", "n_events")]
     asked = wanted.join(sizes, CASE, "left").withColumn(
         "_at", F.greatest(F.lit(1), F.least(F.col("t"), F.coalesce(F.col("n_events"), F.lit(1)))).cast("int"))

@@ -179,7 +179,3 @@ def rules_table(rules: Rules, spark) -> DataFrame:
     """(rule, condition, action, confidence); one row per leaf."""
     rows = [(i, c, rules.actions[a], p) for i, (c, a, p) in enumerate(rules.rules)]
     return spark.createDataFrame(rows, "rule int, condition string, action string, confidence double")
-
-
-__all__ = ["Rules", "apply_rules", "distill", "distillation_states", "fit_tree", "rule_list", "rules_table", "select_common_states",
-           "select_high_impact", "selection_summary", "split_by_label", "surrogate_fidelity", "tree_rules"]

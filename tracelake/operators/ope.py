@@ -70,26 +70,30 @@ def bootstrap(steps: DataFrame, replicates: int = 200, seed: int = 42, method: s
     bootstrap does; draws and case sums meet in one shuffle. ``poisson`` gives every case an
     independent Poisson(1) multiplicity per replicate and needs no draws join, for very many cases.
     """
+    # every case becomes ``replicates`` rows here, so the work is spread before it grows
+    spark = steps.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     sums = case_sums(steps, group)
     if method == "multinomial":
         ranked = hash_rank(steps.select(CASE).distinct(), f"{seed}:order", [CASE], rank="_rank", size="_n")
         ordinals = ranked.select(CASE, (F.col("_rank") - 1).alias("i"), F.col("_n"))
-        b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-        draws = ordinals.select("i", "_n", b.alias("b")).select(
+        draws = ordinals.select("i", "_n").repartition(tasks, "i").select("i", "_n", each.alias("b")).select(
             "b", (hash_int(seeded_md5(seed, "b", "i")) % F.col("_n")).alias("i"))
         times = draws.groupBy("i", "b").agg(F.count(F.lit(1)).alias("m"))
         weighted = times.join(sums.join(ordinals.select(CASE, "i"), CASE), "i")
     elif method == "poisson":
-        b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-        # the uniform number is a column of its own so that its digest is computed once per row
-        drawn = sums.withColumn("b", b).withColumn("_u", hash_unit(seed, "b", CASE))
-        weighted = drawn.withColumn("m", poisson_count(F.col("_u"), 1.0, 13)).where(F.col("m") > 0)
+        # one draw per case and replicate, shared by the policies (a handful of structs per case)
+        wide = sums.groupBy(CASE).agg(F.collect_list(F.struct(group, "n", "s_dr", "s_rho", "s_rr")).alias("_p")).repartition(tasks, CASE)
+        # no filter on the count: pushed below, it would evaluate the digest once per reference
+        drawn = wide.select(CASE, "_p", each.alias("b")).withColumn("_u", hash_unit(seed, "b", CASE)).withColumn("m", poisson_count(F.col("_u"), 1.0, 13))
+        weighted = drawn.select("b", "m", F.inline("_p"))
     else:
         raise ValueError(f"unknown method {method!r}")
     m = F.col("m")
     est = weighted.groupBy(group, "b").agg(
         F.sum(m * F.col("n")).alias("n"), F.sum(m * F.col("s_dr")).alias("s_dr"), F.sum(m * F.col("s_rho")).alias("s_rho"), F.sum(m * F.col("s_rr")).alias("s_rr"))
-    est = est.select(group, (F.col("s_dr") / F.col("n")).alias("dr"),
+    est = est.where(F.col("n") > 0).select(group, (F.col("s_dr") / F.col("n")).alias("dr"),
                      (F.col("s_rr") / F.when(F.col("s_rho") > 0, F.col("s_rho")).otherwise(F.lit(1.0))).alias("wis"))
     # one value per replicate: a few hundred rows per policy
     return est.groupBy(group).agg(

@@ -286,8 +286,9 @@ def replay_sample(df: DataFrame, fraction: float, seed: int = 42, with_replaceme
     u = hash_unit(seed, *keys)
     if not with_replacement:
         return df.where(u < fraction)
-    return df.withColumn("_u", u).withColumn("_m", poisson_count(F.col("_u"), fraction)).drop("_u").where(F.col("_m") > 0).withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.col("_m")))).drop("_m")
+    # slicing 1..16 instead of filtering: a filter on the count would be pushed below and repeat the hash
+    counted = df.withColumn("_u", u).withColumn("_m", poisson_count(F.col("_u"), fraction)).drop("_u")
+    return counted.withColumn("draw", F.explode(F.slice(F.sequence(F.lit(1), F.lit(16)), F.lit(1), F.col("_m")))).drop("_m")
 
 
 def poisson_count(u: Column, rate: float, most: int = 16) -> Column:

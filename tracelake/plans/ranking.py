@@ -110,8 +110,8 @@ def percentiles(
 
     ``percentile`` keeps every distinct value of a group in one task's memory. Here a mergeable
     sketch brackets each wanted rank first; values below a bracket collapse to one count, values
-    above it are dropped, and only the bracket (about 6/``accuracy`` of the group) is sorted. Groups
-    up to ``exact_below`` rows are sorted whole.
+    above it are dropped, and only the bracket (about 6/``accuracy`` of the group) is shuffled and
+    sorted. Groups up to ``exact_below`` rows are sorted whole.
     """
     by = list(by)
     names, ps = list(probs), list(probs.values())
@@ -136,14 +136,14 @@ def percentiles(
         for i, p in enumerate(ps)
     ])
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    # what lies outside a bracket is folded or dropped on the map side, before anything is shuffled
     near = (
-        keyed.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).alias("l")
-        .join(spread.alias("r"), same)
-        .select(*[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_c", "_n", F.explode(brackets).alias("b"))
+        keyed.alias("l").join(spread.alias("r"), same)
+        .select(*[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_n", F.explode(brackets).alias("b"))
         .where(F.col("b.hi").isNull() | (F.col("_v") <= F.col("b.hi")))
         .groupBy(*keys, "_n", F.col("b.i").alias("_i"),
                  F.when(F.col("b.lo").isNull() | (F.col("_v") >= F.col("b.lo")), F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))

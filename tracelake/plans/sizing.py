@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -11,10 +11,9 @@ BROADCAST_ROWS = 100_000
 
 
 def stored_with_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """Store a stage and count its rows while they are written."""
-    seen = Observation()
-    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return table, seen.get["n"]
+    """Store a stage and count its rows."""
+    table = stored(df)
+    return table, table.count()
 
 
 def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
