@@ -49,7 +49,7 @@ def test_items_wrapped_or_bare(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "a.json").write_text(json.dumps({"items": [{"case_id": 1, "delta_q": 0.5}, {"case_id": 2, "delta_q": None}]}))
     (tmp_path / "w" / "b.json").write_text(json.dumps([{"case_id": 3, "delta_q": 1.5}]))
-    assert rows(readers.read_items(spark, str(tmp_path / "w"), "case_id:bigint,delta_q:double")) == [(1, 0.5), (2, None), (3, 1.5)]
+    assert rows(readers.read_items(spark, str(tmp_path / "w"), "case_id bigint, delta_q double")) == [(1, 0.5), (2, None), (3, 1.5)]
 
 
 def test_requests_flatten(spark, tmp_path):

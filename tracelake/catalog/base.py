@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transitions
 from ..operators.transitions import DecisionSpec
+from ..session import tune
 from ..sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +30,11 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     """Register a query and, where SQL can express it, the statement it is checked against."""
 
     def keep(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(tune(spark), folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_ctes(sql, *uses)
         return fn

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, masked
@@ -190,11 +192,19 @@ def fitted_q(spark, sf):
 
 
 cte("unit", "SELECT *, ('0x' || substr(md5('7:' || case_id || ':' || t), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr_session", "tr_session")
-# cumulative Poisson(0.5) probabilities for counts 0..4
-POISSON_HALF = (0.6065306597126334, 0.9097959895689501, 0.9856123220330292, 0.9982483774437091, 0.9998278843700441)
 
 
-@query("replay_sample", f"""SELECT case_id, t, CAST(unnest(range(1, 1 + {' + '.join(f'CASE WHEN u >= {p} THEN 1 ELSE 0 END' for p in POISSON_HALF)})) AS INTEGER) AS draw FROM unit""", ("unit",))
+def _poisson_sql(u: str, rate: float = 1.0, most: int = 13) -> str:
+    """Poisson count by inverse distribution, as :func:`values.poisson_count` sums it."""
+    total, p, terms = 0.0, math.exp(-rate), []
+    for k in range(most):
+        total += p
+        terms.append(f"CASE WHEN {u} >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
+        p *= rate / (k + 1)
+    return "(" + " + ".join(terms) + ")"
+
+
+@query("replay_sample", f"SELECT case_id, t, CAST(unnest(range(1, 1 + {_poisson_sql('u', 0.5, 16)})) AS INTEGER) AS draw FROM unit", ("unit",))
 def replay_sample(spark, sf):
     return values.replay_sample(session_transitions(spark, sf), 0.5, 7).select("case_id", "t", "draw")
 
@@ -264,17 +274,6 @@ def ope_bootstrap(spark, sf):
     return _boot(spark, sf, "multinomial")
 
 
-def _poisson_sql(u: str, rate: float = 1.0, most: int = 13) -> str:
-    import math
-
-    total, p, terms = 0.0, math.exp(-rate), []
-    for k in range(most):
-        total += p
-        terms.append(f"CASE WHEN {u} >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
-        p *= rate / (k + 1)
-    return "(" + " + ".join(terms) + ")"
-
-
 cte("pboot", f"""SELECT policy, b, sum(m * s_dr) / sum(m * n) AS dr, sum(m * s_rr) / CASE WHEN sum(m * s_rho) > 0 THEN sum(m * s_rho) ELSE 1.0 END AS wis FROM
     (SELECT *, {_poisson_sql('u')} AS m FROM (SELECT *, ('0x' || substr(md5('42:' || b || ':' || case_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM csum, range(0, 200) r(b)))
     WHERE m > 0 GROUP BY ALL""", "csum")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranking import hash_rank, spearman
-from ..session import scratch_dir, stored
+from ..session import scratch_dir, stored_table
 from .clean import CASE
 from .values import length_bin
 
@@ -22,7 +22,7 @@ def select_common_states(test: DataFrame, n_target: int, seed: int = 42, action:
     Strata are ranked through hash buckets, so the largest stratum is not sorted by one task.
     """
     keyed = test.select(CASE, "t", length_bin(F.col("t")).alias("len_bin"), F.col(action).alias("act"))
-    ranked = stored(hash_rank(keyed, seed, [CASE, "t"], ["len_bin", "act"], rank="_rank", size="_size"))
+    ranked = stored_table(hash_rank(keyed, seed, [CASE, "t"], ["len_bin", "act"], rank="_rank", size="_size"))
     strata = ranked.groupBy("len_bin", "act").agg(F.max("_size").alias("size"))  # a handful of rows
     n_strata = strata.agg(F.count(F.lit(1)).alias("k"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(n_target) / n_strata.scalar())).cast("long")
@@ -159,7 +159,7 @@ def surrogate_fidelity(df: DataFrame, label: str = "label", min_high: int = 5) -
     high = F.coalesce(F.col("is_high_impact"), F.lit(False))
     agg = df.agg(
         F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("agreement_global"), F.avg(F.when(high, hit)).alias("agreement_high_impact"), F.count_if(high).alias("n_high_impact"))
-    rows = stored(df.select("margin", "confidence", high.alias("h")))
+    rows = stored_table(df.select("margin", "confidence", high.alias("h")))
     rho = spearman(rows, "margin", "confidence", "rho").select("rho").scalar()
     rho_high = spearman(rows.where("h"), "margin", "confidence", "rho").select(F.when(F.col("n") > min_high, F.col("rho")).alias("rho")).scalar()
     return agg.withColumns({"margin_correlation": F.coalesce(rho, F.lit(0.0)), "margin_correlation_high_impact": rho_high})
@@ -170,7 +170,7 @@ def distill(states: DataFrame, features: Sequence[str], actions: Sequence[str],
 
     ``label="a_star"`` imitates the teacher, ``label="a"`` clones the logged behaviour.
     """
-    parts = stored(split_by_label(states, label, seed=seed))
+    parts = stored_table(split_by_label(states, label, seed=seed))
     _, rules = fit_tree(parts.where("part = 'train'"), features, actions, label, max_depth, min_leaf, seed=seed)
     return rules, surrogate_fidelity(apply_rules(parts.where("part = 'test'"), rules), label)
 

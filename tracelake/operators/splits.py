@@ -55,8 +55,9 @@ def split_manifest(splits: DataFrame, method: str, seed: int, ratios: tuple[floa
 def split_checks(splits: DataFrame, cases: DataFrame, case: str = CASE) -> DataFrame:
     """One row: cases in several splits, cases without a split, split cases that do not exist."""
     known = cases.select(case).distinct().withColumn("_known", F.lit(1))
-    # min <> max detects overlap with a constant-size partial aggregate
-    seen = splits.groupBy(case).agg(F.min("split").alias("_lo"), F.max("split").alias("_hi"))
+    # min <> max detects overlap; numbers instead of names keep the aggregate hash-based
+    code = F.xxhash64("split")
+    seen = splits.groupBy(case).agg(F.min(code).alias("_lo"), F.max(code).alias("_hi"))
     both = known.join(seen, case, "full")
     return both.agg(
         F.count_if(F.col("_lo") != F.col("_hi")).alias("n_overlapping"),

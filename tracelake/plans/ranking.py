@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_md5
-from ..session import stored
+from ..session import stored_table
 from .sizing import dimension
 
 
@@ -53,7 +53,7 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
     on cannot move. Offsets are one row per partition. Rows should be unique under ``order``.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = stored(
+    placed = stored_table(
         df.withColumns({f"_w_{k}": c for k, c in totals.items()})
         .repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
@@ -118,14 +118,19 @@ def percentiles(
     eps = 3.0 / accuracy
     wanted = [max(p - eps, 0.0) for p in ps] + [min(p + eps, 1.0) for p in ps]
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    keyed = data if by else data.withColumn("_g", F.lit(0))
-    keys = by or ["_g"]
-    spread = dimension(
-        keyed.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx("_v", F.array(*[F.lit(p) for p in wanted]), F.lit(accuracy)).alias("_a"),
-        )
-    )
+    sketch = [
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in wanted]), F.lit(accuracy)).alias("_a"),
+    ]
+    if by:
+        spread = dimension(data.groupBy(*by).agg(*sketch))
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+        keys = by
+        sized = data.alias("l").join(spread.alias("r"), same).select(*[F.col(f"l.{k}").alias(k) for k in by], "_v", "_n", "_a")
+    else:
+        keys = ["_g"]
+        one = data.agg(*sketch).select(F.struct("_n", "_a").alias("s")).scalar()
+        sized = data.withColumn("_s", one).select(F.lit(0).alias("_g"), "_v", "_s._n", "_s._a")
     whole = F.col("_n") <= exact_below
     brackets = F.array(*[
         F.struct(
@@ -135,11 +140,9 @@ def percentiles(
         )
         for i, p in enumerate(ps)
     ])
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     # what lies outside a bracket is folded or dropped on the map side, before anything is shuffled
     near = (
-        keyed.alias("l").join(spread.alias("r"), same)
-        .select(*[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_n", F.explode(brackets).alias("b"))
+        sized.select(*keys, "_v", "_n", F.explode(brackets).alias("b"))
         .where(F.col("b.hi").isNull() | (F.col("_v") <= F.col("b.hi")))
         .groupBy(*keys, "_n", F.col("b.i").alias("_i"),
                  F.when(F.col("b.lo").isNull() | (F.col("_v") >= F.col("b.lo")), F.col("_v")).alias("_v"))
@@ -158,6 +161,8 @@ def percentiles(
         })
     )
     per_prob = picked.groupBy(*keys, "_i").agg(F.max("_xl").alias("_xl"), F.max("_xh").alias("_xh"), F.max("_f").alias("_f"))
-    result = F.col("_xl") + (F.col("_xh") - F.col("_xl")) * F.col("_f")
+    found = F.col("_xl") + (F.col("_xh") - F.col("_xl")) * F.col("_f")
+    # the sketch's error bound makes a miss impossible; should it ever fail, so does the query
+    result = F.coalesce(found, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double"))
     out = per_prob.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, result)).alias(n) for i, n in enumerate(names)])
     return out if by else out.drop("_g")

@@ -4,19 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Adaptive execution splits the partitions of a hot join key. Forcing it also covers joins whose result
+# is aggregated on the same key: the aggregate then shuffles partial results instead of trusting the
+# join's partitioning.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the operators count on to an existing session."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "tracelake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC timestamps."""
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.ui.showConsoleProgress": "false",
-    }
+    settings = {**RUNTIME, "spark.ui.showConsoleProgress": "false"}
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
     if master:
@@ -51,9 +65,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """Like :func:`stored` for stages that grow with the data: Parquet in the shared folder."""
+    path = scratch_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path under the shared checkpoint folder."""
-    import uuid
-
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

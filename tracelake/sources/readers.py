@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENT_SCHEMA = "case_id string, activity string, timestamp string"
 
@@ -56,30 +57,14 @@ def read_json_document(spark: SparkSession, path: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_items(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
-    """Items of ``{"items": [...]}`` documents or bare lists of items."""
-    wrapped = read_json_document(spark, path, f"items array<struct<{item_schema}>>, {_bare(item_schema)}")
-    names = [c for c in wrapped.columns if c != "items"]
-    # a bare list is read as one row per element; a wrapper has no item columns
-    nested = wrapped.where(F.col("items").isNotNull()).select(F.explode("items").alias("i")).select("i.*")
-    bare = wrapped.where(F.col("items").isNull()).select(*names)
-    return nested.unionByName(bare)
-
-
-def _bare(item_schema: str) -> str:
-    """struct<a:int,b:array<..>> field list as column definitions (top-level colons become blanks)."""
-    out, depth, start = [], 0, True
-    for ch in item_schema:
-        depth += ch in "<("
-        depth -= ch in ">)"
-        if depth == 0 and ch == ":" and start:
-            out.append(" ")
-            start = False
-            continue
-        if depth == 0 and ch == ",":
-            start = True
-        out.append(ch)
-    return "".join(out)
+def read_items(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """Items of ``{"items": [...]}`` documents or bare lists of items; ``item`` is a DDL field list."""
+    fields = T.StructType.fromDDL(item)
+    schema = T.StructType([T.StructField("items", T.ArrayType(fields)), *fields.fields])
+    docs = spark.read.option("multiLine", True).schema(schema).json(path)
+    # a bare list is read as one row per element; a wrapper document has no item columns
+    own = F.array(F.struct(*[F.col(f.name) for f in fields.fields]))
+    return docs.select(F.explode(F.coalesce("items", own)).alias("i")).select("i.*")
 
 
 def read_decisions(spark: SparkSession, path: str, since: str | None = None, streaming: bool = False) -> DataFrame:
