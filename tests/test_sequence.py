@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tracelake.plans.sequence import SEGMENT, ordered, segment_cases
+from tracelake.plans.sequence import SEGMENT, WHOLE, ordered, segment_cases
 from tracelake.sources import views
 
 
@@ -45,8 +45,8 @@ def test_hot_case_is_spread(skewed):
     biggest = sizes.agg(F.max("count")).first()[0]
     total = skewed.where("case_id = -1").count()
     assert total > 3000 and biggest < 500
-    # cases below the limit keep one segment
-    assert sizes.where("case_id <> -1").agg(F.max(SEGMENT)).first()[0] == 0
+    # cases below the limit stay whole
+    assert sizes.where("case_id <> -1").agg(F.max(SEGMENT)).first()[0] == WHOLE
 
 
 def test_only_the_biggest_cases_are_listed(skewed):

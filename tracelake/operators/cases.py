@@ -98,7 +98,7 @@ def features_at(features: DataFrame, wanted: DataFrame, sizes: DataFrame) -> Dat
     """
     names = [c for c in features.columns if c not in (CASE, "t", "n_events")]
     asked = wanted.join(sizes, CASE, "left").withColumn(
-        "_at", F.greatest(F.lit(1), F.least(F.col("t"), F.coalesce(F.col("n_events"), F.lit(1)))).cast("int"))
+        "_at", F.greatest(F.lit(1), F.least(F.col("t"), F.coalesce(F.col("n_events"), F.lit(1)))).cast("long"))
     found = features.select(CASE, F.col("t").alias("_at"), *names)
     return asked.join(found, [CASE, "_at"], "left").select(
         *wanted.columns, F.col("n_events").isNull().alias("missing"),

@@ -18,6 +18,7 @@ from ..session import stored
 from .sizing import stored_with_count
 
 SEGMENT = "_segment"
+WHOLE = -1  # segment number of cases that are not cut
 _STEPS = (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 _GRID = 4096
 
@@ -66,7 +67,7 @@ def segment_cases(
     )
     return (
         log.join(F.broadcast(cuts), case, "left")
-        .withColumn(SEGMENT, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(found))
+        .withColumn(SEGMENT, F.when(F.col("_cuts").isNull(), F.lit(WHOLE)).otherwise(found))
         .drop("_cuts")
     )
 
@@ -98,7 +99,7 @@ def ordered(
     w = Window.partitionBy(case).orderBy(*order)
     whole = Window.partitionBy(case)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cols: dict[str, Column] = {position: F.row_number().over(w), count: F.count(F.lit(1)).over(whole)}
+    cols: dict[str, Column] = {position: F.row_number().over(w).cast("long"), count: F.count(F.lit(1)).over(whole)}
     cols |= {k: F.lead(c).over(w) for k, c in lead.items()}
     cols |= {k: F.lag(c).over(w) for k, c in lag.items()}
     cols |= {k: F.sum(c).over(upto) for k, c in running.items()}
@@ -110,34 +111,32 @@ def ordered(
 def _ordered_segments(log, order, case, lead, lag, running, history, totals, position, count, fold) -> DataFrame:
     key = [case, SEGMENT]
     w = Window.partitionBy(*key).orderBy(*order)
+    segment = Window.partitionBy(*key)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    own: dict[str, Column] = {"_pos": F.row_number().over(w)}
-    own |= {f"_v_{k}": c for k, c in lead.items()}
-    own |= {f"_v_{k}": c for k, c in lag.items()}
+    own: dict[str, Column] = {"_pos": F.row_number().over(w), "_size": F.count(F.lit(1)).over(segment)}
+    own |= {f"_v_{k}": c for k, c in [*lead.items(), *lag.items()]}
     own |= {f"_lead_{k}": F.lead(c).over(w) for k, c in lead.items()}
     own |= {f"_lag_{k}": F.lag(c).over(w) for k, c in lag.items()}
     own |= {f"_run_{k}": F.sum(c).over(upto) for k, c in running.items()}
     own |= {f"_hist_{k}": F.collect_list(c).over(w.rowsBetween(-(n - 1), 0)) for k, (c, n) in history.items()}
-    own |= {f"_tot_{k}": c for k, (_, c) in totals.items()}
+    own |= {f"_tot_{k}": fold[how](c).over(segment) for k, (how, c) in totals.items()}
     rows = log.withColumns(own)
 
+    # summaries of cut cases only; the filter is on a partition key, so it runs before the exchange
     pos = F.col("_pos")
-    aggs = [F.count(F.lit(1)).alias("_size")]
+    aggs = [F.first("_size").alias("_s")]
     aggs += [F.min_by(F.col(f"_v_{k}"), pos).alias(f"_head_{k}") for k in lead]
     aggs += [F.max_by(F.col(f"_v_{k}"), pos).alias(f"_tail_{k}") for k in lag]
     aggs += [F.max_by(F.col(f"_run_{k}"), pos).alias(f"_sum_{k}") for k in running]
     aggs += [F.max_by(F.col(f"_hist_{k}"), pos).alias(f"_recent_{k}") for k in history]
-    aggs += [fold[how](F.col(f"_tot_{k}")).alias(f"_part_{k}") for k, (how, _) in totals.items()]
-    parts = rows.groupBy(*key).agg(*aggs)
+    aggs += [F.first(f"_tot_{k}").alias(f"_part_{k}") for k in totals]
+    parts = rows.where(F.col(SEGMENT) != WHOLE).groupBy(*key).agg(*aggs)
 
     # At most a few thousand segments per case: these windows run over summaries, not events.
     by_seg = Window.partitionBy(case).orderBy(SEGMENT)
     before = by_seg.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(case)
-    carry: dict[str, Column] = {
-        "_offset": F.coalesce(F.sum("_size").over(before), F.lit(0)),
-        "_total": F.sum("_size").over(whole),
-    }
+    carry: dict[str, Column] = {"_offset": F.coalesce(F.sum("_s").over(before), F.lit(0)), "_total": F.sum("_s").over(whole)}
     carry |= {f"_c_lead_{k}": F.lead(f"_head_{k}").over(by_seg) for k in lead}
     carry |= {f"_c_lag_{k}": F.lag(f"_tail_{k}").over(by_seg) for k in lag}
     carry |= {f"_c_run_{k}": F.sum(f"_sum_{k}").over(before) for k in running}
@@ -146,25 +145,26 @@ def _ordered_segments(log, order, case, lead, lag, running, history, totals, pos
             earlier = by_seg.rowsBetween(-(n - 1), -1)
             carry[f"_c_hist_{k}"] = last_n(F.flatten(F.collect_list(f"_recent_{k}").over(earlier)), n - 1)
     carry |= {f"_c_tot_{k}": fold[how](f"_part_{k}").over(whole) for k, (how, _) in totals.items()}
-    carried = parts.select(*key, *[c.alias(k) for k, c in carry.items()], "_size")
+    carried = parts.select(*key, *[c.alias(k) for k, c in carry.items()])
 
-    out = rows.join(carried, key)
+    # rows are already placed by (case, segment), so only the summaries move for this join
+    out = rows.join(carried, key, "left")
+    cut = F.col(SEGMENT) != WHOLE
     cols: dict[str, Column] = {
-        position: (F.col("_offset") + pos).cast("int"),
-        count: F.col("_total"),
+        position: (F.coalesce(F.col("_offset"), F.lit(0)) + pos).cast("long"),
+        count: F.coalesce(F.col("_total"), F.col("_size")),
     }
     for k in lead:
-        cols[k] = F.when(pos == F.col("_size"), F.col(f"_c_lead_{k}")).otherwise(F.col(f"_lead_{k}"))
+        cols[k] = F.when(cut & (pos == F.col("_size")), F.col(f"_c_lead_{k}")).otherwise(F.col(f"_lead_{k}"))
     for k in lag:
-        cols[k] = F.when(pos == 1, F.col(f"_c_lag_{k}")).otherwise(F.col(f"_lag_{k}"))
+        cols[k] = F.when(cut & (pos == 1), F.col(f"_c_lag_{k}")).otherwise(F.col(f"_lag_{k}"))
     for k in running:
-        cols[k] = F.when(
-            F.col(f"_run_{k}").isNull() & F.col(f"_c_run_{k}").isNull(), F.lit(None)
-        ).otherwise(F.coalesce(F.col(f"_run_{k}"), F.lit(0)) + F.coalesce(F.col(f"_c_run_{k}"), F.lit(0)))
+        mine, earlier = F.col(f"_run_{k}"), F.col(f"_c_run_{k}")
+        cols[k] = F.when(mine.isNull() & earlier.isNull(), F.lit(None)).otherwise(F.coalesce(mine, F.lit(0)) + F.coalesce(earlier, F.lit(0)))
     for k, (_, n) in history.items():
-        mine = F.col(f"_hist_{k}")
-        cols[k] = last_n(F.concat(F.coalesce(F.col(f"_c_hist_{k}"), F.slice(mine, 1, 0)), mine), n) if n > 1 else mine
+        mine, earlier = F.col(f"_hist_{k}"), F.col(f"_c_hist_{k}") if n > 1 else None
+        cols[k] = F.when(earlier.isNull(), mine).otherwise(last_n(F.concat(earlier, mine), n)) if n > 1 else mine
     for k in totals:
-        cols[k] = F.col(f"_c_tot_{k}")
+        cols[k] = F.when(cut, F.col(f"_c_tot_{k}")).otherwise(F.col(f"_tot_{k}"))
     names = [*log.columns, *cols]
     return out.withColumns(cols).select(*[n for n in names if n != SEGMENT])

@@ -12,13 +12,13 @@ EVENT_SCHEMA = "case_id string, activity string, timestamp string"
 
 # fixed values: record layouts of the two append-only logs and of decision requests
 DECISION_SCHEMA = (
-    "timestamp timestamp, request_id string, case_id string, t int, action_id int, action_name string, "
+    "timestamp timestamp, request_id string, case_id string, t long, action_id int, action_name string, "
     "source string, confidence double, ood boolean, latency_ms double, _corrupt_record string")
 FEEDBACK_SCHEMA = (
-    "case_id string, t int, state_features map<string,double>, action_recommended int, action_executed int, "
+    "case_id string, t long, state_features map<string,double>, action_recommended int, action_executed int, "
     "source string, reward double, next_state_features map<string,double>, done boolean, timestamp timestamp, _corrupt_record string")
 REQUEST_SCHEMA = (
-    "request_id string, case_id string, t int, timestamp timestamp, "
+    "request_id string, case_id string, t long, timestamp timestamp, "
     "features struct<amount:double,est_quality:double,unc_quality:double,cum_cost:double,elapsed_time:double,prefix_len:int,"
     "count_validate_application:int,count_skip_contact:int,count_contact_headquarters:int>, "
     "valid_actions array<int>, override struct<action_id:int,action_name:string,reason:string>, _corrupt_record string")
