@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators import cases, clean, encode, explain, values
+from ..session import stored
 from ..sources import views
 from .base import MAX_LEN, SPEC, cte, query, r6, session_splits, session_transitions, sql6
 from .policy import GAMMA, N
@@ -50,7 +51,8 @@ class Explained:
 
     def __init__(self, spark, sf):
         log = views.log_session(spark, sf, segment=False)
-        self.vocab = encode.build_vocab(log, max_size=1000)
+        # read by the encoder, the value table and the decoder
+        self.vocab = stored(encode.build_vocab(log))
         self.tr = values.with_state(session_transitions(spark, sf, self.vocab))
         self.q_table = values.return_table(values.state_cells(self.tr, GAMMA), N)
         self.table = explain.token_table(self.q_table, self.vocab)
@@ -64,8 +66,6 @@ class Explained:
         return values.with_greedy(explain.score_tokens(picked, self.table, self.trigger_id, "s", "s_mask"))
 
     def attributions(self, target="V"):
-        from ..session import stored
-
         # both the items and their rankings are read several times
         self.rows = stored(self.items())
         return explain.occlusion(self.rows, self.table, self.trigger_id, target)
