@@ -74,7 +74,7 @@ def _read_tag(tag: str) -> tuple[str, bool, bool, str, bool]:
     words = f"{found.get('class', '')} {found.get('id', '')}"
     chrome = (name in CHROME or bool(CHROME_WORDS.search(words)) or found.get("role", "").lower() in CHROME_ROLES
               or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
-    mark = re.sub(r"\d+", "0", (found.get("class") or found.get("id") or "").split(" ")[0])
+    mark = re.sub(r"\d{3,}", "0", (found.get("class") or found.get("id") or "").split(" ")[0])
     main = name in MAIN or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
     return name, closing, chrome, f"{name}.{mark}" if mark else name, main
 
@@ -140,7 +140,7 @@ def events(page: str) -> Iterator[tuple]:
         yield "open", node
         if name == "br":
             yield "text", top, " "
-        if name not in VOID and not tag.endswith("/>"):
+        if name not in VOID:
             stack.append(node)
     if at < len(page):
         yield "text", stack[-1], page[at:]

@@ -63,7 +63,7 @@ def apportion(parties: DataFrame, key: str, weight: str, seats: str, within: str
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: float = 3.0, seed: int = 42) -> DataFrame:
-    """(doc_id, th, src, size, source_size, target, taken) for every row.
+    """(doc_id, th, src, shard, size, source_size, target, taken) for every row; th is a hash of the text.
 
     Blocks of ``block`` words are apportioned to the sources by their targets, then to the shards of a
     source by their size. A shard strings its documents in seeded order; its blocks are consecutive
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: float =
     shards = apportion(per_shard, "shard", "words", "quota", "sid").join(per_shard.drop("quota"), ["sid", "shard"])
     n_blocks = F.greatest(F.lit(1).cast("long"), F.floor(F.col("words") / block))
     shards = stored_table(shards.withColumn("n", n_blocks))
-    return _take(placed, shards, block, limit, seed).select("doc_id", "th", "src", "size", "source_size", "target", "taken")
+    return _take(placed, shards, block, limit, seed).select("doc_id", "th", "src", "shard", "size", "source_size", "target", "taken")
 
 
 def _take(placed: DataFrame, shards: DataFrame, block: int, limit: float, seed: int) -> DataFrame:
@@ -113,17 +113,20 @@ def _take(placed: DataFrame, shards: DataFrame, block: int, limit: float, seed:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in whole documents.
 
-    A document appears taken / size times: the whole part for certain, one more by a seeded draw with
-    the probability of the rest.
+    A document appears taken / size times, rounded down or up. In a shard, from the longest document to
+    the shortest, one is rounded up whenever the running sum of the fractions passes a whole number, so
+    a shard's words differ from those taken by about one document. Extra columns are kept.
     """
     plan = stored_table(mix(docs, **settings)).where("taken > 0")
     ratio = F.col("taken") / F.col("size")
-    luck = F.shiftrightunsigned(F.xxhash64(F.lit("again"), "doc_id", "th"), 11) / F.lit(float(1 << 53))
-    times = (F.floor(ratio) + F.when(luck < ratio - F.floor(ratio), 1).otherwise(0)).cast("int")
-    copies = plan.select("doc_id", "th", times.alias("_times")).where("_times > 0").groupBy("doc_id", "th").agg(F.max("_times").alias("_times"))
-    marked = docs.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = (marked["doc_id"].eqNullSafe(copies["doc_id"])) & (marked["th"] == copies["th"])
-    found = marked.join(copies.hint("shuffle_hash"), same).select(*[marked[c] for c in docs.columns], "_times")
+    falling = Window.partitionBy("src", "shard").orderBy(F.desc("size"), "doc_id", "th", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.round(ratio - F.floor(ratio), 9)
+    running = plan.withColumns({"_part": part, "_upto": F.round(F.sum(part).over(falling) + 0.5, 6)})
+    extra = F.floor("_upto") - F.floor(F.round(F.col("_upto") - F.col("_part"), 6))
+    copies = running.select("doc_id", "th", (F.floor(ratio) + extra).cast("int").alias("_times")).groupBy("doc_id", "th").agg(F.max("_times").alias("_times"))
+    marked = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = (marked["doc_id"].eqNullSafe(copies["doc_id"])) & (marked["_th"] == copies["th"])
+    found = marked.join(copies.where("_times > 0").hint("shuffle_hash"), same).select(*[marked[c] for c in docs.columns], "_times")
     return found.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 

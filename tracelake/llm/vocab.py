@@ -55,7 +55,7 @@ class WordIds:
         self.other: dict[str, bytes] = {"": b""}
 
     def piece(self, piece: str) -> bytes:
-        coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        coded = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
         ids = np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
         if len(self.pieces) >= REMEMBER:
             self.pieces.clear()
