@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,7 +56,7 @@ def test_apportionment_is_sainte_lague(spark):
 def check_mix(rows, plan):
     sizes = Counter()
     for i, text, _, source in rows:
-        sizes[source] += len((text or "").split())
+        sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
     want = targets(sizes)
     taken = Counter()
     for r in plan:
