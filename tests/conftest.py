@@ -19,17 +19,14 @@ def sf():
 
 @pytest.fixture(scope="session")
 def tiny_log(spark):
-    """Three cases with a numeric outcome on every event; 11 events."""
-    rows = [
-        (1, "start_standard", "2024-01-01 10:00:00", 10.0), (1, "validate_application", "2024-01-01 10:10:00", 10.0),
-        (1, "contact_headquarters", "2024-01-01 10:20:00", 10.0), (1, "complete", "2024-01-01 10:30:00", 10.0),
-        (2, "start_standard", "2024-01-02 10:00:00", 5.0), (2, "validate_application", "2024-01-02 10:10:00", 5.0),
-        (2, "complete", "2024-01-02 10:20:00", 5.0),
-        (3, "start_standard", "2024-01-03 10:00:00", 15.0), (3, "validate_application", "2024-01-03 10:10:00", 15.0),
-        (3, "email_customer", "2024-01-03 10:20:00", 15.0), (3, "complete", "2024-01-03 10:30:00", 15.0),
-    ]
-    data = [(c, a, t, o, i) for i, (c, a, t, o) in enumerate(rows)]
-    return spark.createDataFrame(data, "case_id long, activity string, timestamp string, outcome double, event_id long")
+    """Three library loans; 12 events with one tie in time, listed out of order, and values that vary or lack."""
+    loans = {
+        1: [("lend", "03-01 09:00", None), ("remind", "03-01 09:30", 8.0), ("renew", "03-01 10:00", None), ("fine", "03-01 10:00", 7.0), ("return", "03-01 11:00", None)],
+        2: [("return", "03-02 09:45", 1.0), ("lend", "03-02 09:00", 2.0), ("renew", "03-02 09:15", None)],
+        3: [("lend", "03-03 12:00", None), ("lost", "03-03 12:20", None), ("fine", "03-03 12:50", 9.0), ("return", "03-03 13:30", 3.0)],
+    }
+    data = [(c, a, f"2024-{when}:00", v) for c, events in loans.items() for a, when, v in events]
+    return spark.createDataFrame([(*x, i) for i, x in enumerate(data)], "case_id long, activity string, timestamp string, outcome double, event_id long")
 
 
 def rows(df, *cols):

@@ -11,33 +11,34 @@ from tracelake.operators.transitions import DecisionSpec
 from tracelake.plans import flows
 from tracelake.sources import views, writers
 
-SPEC = DecisionSpec(by_last_activity={"validate_application": ("do_nothing", "contact_headquarters")})
+SPEC = DecisionSpec(
+    actions=("wait", "remind"), trigger="remind", noop="wait", default_valid=("wait",), by_last_activity={"lend": ("wait", "remind"), "renew": ("wait", "remind")})
 
 
 @pytest.fixture(scope="module")
 def raw(tiny_log):
     source = tiny_log.withColumnsRenamed({"case_id": "case_nr", "activity": "task"}).withColumn("case_nr", F.concat(F.lit("c"), "case_nr")).withColumn("state", F.lit("Complete"))
-    noise = source.limit(2).withColumns({"state": F.lit("start"), "task": F.lit("call_customer"), "event_id": F.col("event_id") + 50})
+    noise = source.limit(2).withColumns({"state": F.lit("start"), "task": F.lit("phone"), "event_id": F.col("event_id") + 50})
     return source.unionByName(noise).unionByName(source.limit(3).withColumn("event_id", F.col("event_id") + 900))
 
 
 def prepared(raw):
     return flows.prepare_log(
-        raw, {"case_id": "case_nr", "activity": "task", "lifecycle": "state"}, keep_lifecycle=["complete"], positive=["email_customer", "call_customer"],
+        raw, {"case_id": "case_nr", "activity": "task", "lifecycle": "state"}, keep_lifecycle=["complete"], positive=["lost", "phone"],
         columns=["case_id", "activity", "timestamp"])
 
 
 def test_prepare_log(raw):
     log = prepared(raw)
-    assert log.count() == 11
-    # call_customer is filtered out before the outcome is computed
+    assert log.count() == 12
+    # phone is filtered out before the outcome is computed
     assert rows(log.select("case_id", "outcome").distinct()) == [(0, 0.0), (1, 0.0), (2, 1.0)]
 
 
 @pytest.mark.parametrize("method", ["random_case", "temporal_case"])
 def test_decision_dataset_and_report(raw, method):
     data = flows.decision_dataset(prepared(raw), SPEC, ("max", F.col("outcome")), max_len=5, method=method)
-    assert data.transitions.count() == 8 and data.splits.count() == 3
+    assert data.transitions.count() == 9 and data.splits.count() == 3
     report = {(r["section"], r["name"]): r["value"] for r in flows.validation_report(data, 2, 5).collect()}
     assert all(v == 0 for (s, _), v in report.items() if s in ("structure", "continuity", "splits"))
     assert report[("reward", "n_terminal")] == 3

@@ -49,7 +49,7 @@ def test_running_totals(numbers):
     assert got[0] == (0, 2) and got[4999] == (4999 * 5000 // 2, 10000) and got[100] == (5050, 202)
 
 
-@pytest.mark.parametrize("setting", [{}, {"accuracy": 50, "exact_below": 100}, {"accuracy": 200, "exact_below": 500}])
+@pytest.mark.parametrize("setting", [{}, {"accuracy": 50}, {"accuracy": 200}])
 def test_percentiles_match_numpy(numbers, setting):
     probs = {"p0": 0.0, "p1": 0.01, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
     xs = np.array([r["x"] for r in numbers.collect()])

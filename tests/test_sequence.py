@@ -49,9 +49,9 @@ def test_hot_case_is_spread(skewed):
     assert sizes.where("case_id <> -1").agg(F.max(SEGMENT)).first()[0] == WHOLE
 
 
-def test_only_the_biggest_cases_are_listed(skewed):
-    cut = segment_cases(skewed, max_rows=10, max_cases=1)
-    assert cut.where(f"{SEGMENT} > 0").select("case_id").distinct().collect()[0][0] == -1
+def test_every_big_case_is_cut(skewed):
+    cut = segment_cases(skewed, max_rows=10)
+    assert cut.where(f"{SEGMENT} > 0").select("case_id").distinct().count() > 1
     assert rows(enriched(cut), *COLS) == rows(enriched(skewed), *COLS)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators import cases, clean, encode, splits, transitions
+from ..plans.sequence import segment_cases
 from ..sources import views
 from .base import (MAX_LEN, POSITIVE, SEED, SPEC, cte, outcome_value, query, r6, session_splits, session_transitions, sql6)
 
@@ -30,6 +31,18 @@ def rename_parse(spark, sf):
     return utc.select(F.unix_timestamp("ts").alias("ts_epoch"), "case_id", "activity", F.unix_timestamp("timestamp").alias("utc_epoch"))
 
 
+@query("parse_offsets", """SELECT event_id, CAST(floor(epoch(CASE event_id % 5 WHEN 0 THEN timezone('Europe/Madrid', s) - to_hours(CAST(s >= TIMESTAMP '2024-10-27 02:00:00' AND s < TIMESTAMP '2024-10-27 03:00:00' AS INTEGER)) WHEN 4 THEN NULL ELSE timezone('UTC', s) END)) AS BIGINT) AS utc_epoch
+    FROM (SELECT event_id, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS s FROM events)""")
+def parse_offsets(spark, sf):
+    """Naive times in a zone with daylight saving, times with an offset, and bad ones; of two hours with one name the first counts."""
+    moved = views.events(spark, sf).select("event_id", F.expr("ts + make_dt_interval(cast(event_id % 365 as int))").alias("s"))
+    text = lambda shift, tail: F.concat(F.date_format(F.col("s") + F.expr(f"interval {shift} hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(tail))
+    kind = F.col("event_id") % 5
+    raw = moved.select("event_id", F.when(kind == 0, text(0, "")).when(kind == 1, text(2, "+02:00")).when(kind == 2, text(0, "Z")).when(kind == 3, text(-5, "-05:00")).otherwise(
+        F.concat(F.lit("soon "), text(0, ""))).alias("timestamp"))
+    return clean.parse_timestamps(raw, tz_in="Europe/Madrid", tz_out="Asia/Tokyo").select("event_id", F.unix_timestamp("timestamp").alias("utc_epoch"))
+
+
 @query("clean_dedupe", """SELECT lifecycle, CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT case_id) AS BIGINT) AS n_cases,
     CAST(sum(event_id) AS BIGINT) AS id_sum FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity, timestamp ORDER BY event_id) AS rn
     FROM log_customer) WHERE rn = 1 GROUP BY 1""", ("log_customer",))
@@ -135,14 +148,19 @@ def time_deltas(spark, sf):
 
 
 @query("request_errors", """SELECT event_id, array_to_string([x FOR x IN [
-      CASE WHEN amount < 0 THEN 'amount:negative' END,
+      'cum_cost:missing', CASE WHEN count_click < 0 THEN 'count_click:negative' END, CASE WHEN amount < 0 THEN 'amount:negative' END,
+      CASE WHEN elapsed_time < 0 THEN 'elapsed_time:negative' END,
       CASE WHEN est_quality NOT BETWEEN 0 AND 1 THEN 'est_quality:outside_0_1' END,
+      CASE WHEN unc_quality NOT BETWEEN 0 AND 1 THEN 'unc_quality:outside_0_1' END,
       CASE WHEN prefix_len IS NULL THEN 'prefix_len:not_finite' WHEN prefix_len < 1 THEN 'prefix_len:below_1' END] IF x IS NOT NULL], ',') AS errors
     FROM (SELECT event_id, value - 5.0 AS amount, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 90.0 AS est_quality,
+      value - 3.0 AS elapsed_time, value / 100.0 AS unc_quality, CASE WHEN event_id % 3 = 0 THEN event_id % 5 - 2 END AS count_click,
       CASE WHEN event_type <> 'view' THEN user_id END AS prefix_len FROM events)""")
 def request_errors(spark, sf):
     req = views.events(spark, sf).select(
         "event_id", (F.col("value") - 5.0).alias("amount"), (F.get_json_object("props", "$.k").cast("double") / 90.0).alias("est_quality"),
+        (F.col("value") - 3.0).alias("elapsed_time"), (F.col("value") / 100.0).alias("unc_quality"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 5 - 2).alias("count_click"),
         F.when(F.col("event_type") != "view", F.col("user_id")).alias("prefix_len"))
     return clean.request_errors(req).select("event_id", F.array_join("errors", ",").alias("errors"))
 
@@ -307,7 +325,7 @@ def unk_rate(spark, sf):
     return encode.unk_rate(encode.encode_tokens(views.log_user(spark, sf, segment=False), user_vocab(spark, sf))).select(*r6("unk_pct"))
 
 
-@query("decode_last", """SELECT case_id, t, CASE WHEN token_id = 1 THEN NULL ELSE activity END AS last_token FROM enc_user""", ("enc_user",))
+@query("decode_last", """SELECT case_id, t, CASE WHEN token_id = 1 THEN '<UNK>' ELSE activity END AS last_token FROM enc_user""", ("enc_user",))
 def decode_last(spark, sf):
     v = user_vocab(spark, sf)
     return encode.decode_last(encode.encode_prefixes(views.log_user(spark, sf), v, 50), v).select("case_id", "t", "last_token")
@@ -437,11 +455,28 @@ def split_leakage(spark, sf):
     return splits.split_overlaps(_mixed(spark, sf))
 
 
-cte("profile", """SELECT split, count(*) AS n_cases, CAST(sum(len) AS BIGINT) AS n_transitions, avg(len) AS episode_len_mean, stddev_pop(len) AS episode_len_std,
-    100.0 * sum(d) / sum(len) AS done_pct, sum(tr) / sum(d) AS terminal_reward_mean,
-    sqrt(greatest(sum(trr) / sum(d) - (sum(tr) / sum(d)) * (sum(tr) / sum(d)), 0)) AS terminal_reward_std,
-    1.0 - sum(a1) / sum(len) AS action_0_rate, sum(a1) / sum(len) AS action_1_rate FROM
-    (SELECT case_id, count(*) AS len, sum(done) AS d, sum(r) AS tr, sum(r * r) AS trr, CAST(sum(a) AS DOUBLE) AS a1 FROM tr_session GROUP BY 1) JOIN splits USING (case_id) GROUP BY 1""",
+@query("transitions_last_outcome", """SELECT s.case_id, s.t, s.a, s.done, CASE WHEN s.done = 1 THEN coalesce(o.v, 0.0) ELSE 0.0 END AS r FROM tr_session s LEFT JOIN
+    (SELECT case_id, arg_max(value, (timestamp, activity, event_id)) FILTER (activity <> 'view') AS v FROM log_session GROUP BY 1) o USING (case_id)""", ("tr_session", "log_session"))
+def transitions_last_outcome(spark, sf):
+    """The value of the last event other than a view; it varies inside a case and may be absent."""
+    last = ("last", F.when(F.col("activity") != "view", F.col("value")))
+    return transitions.build_transitions(views.log_session(spark, sf), SPEC, last).select("case_id", "t", "a", "done", "r")
+
+
+@query("transitions_cut", """SELECT s.case_id, s.t, s.a, s.done, s.n_trigger, CASE WHEN s.done = 1 THEN coalesce(o.v, 0.0) ELSE 0.0 END AS r FROM tr_user s LEFT JOIN
+    (SELECT case_id, arg_max(value, (timestamp, activity, event_id)) FILTER (activity <> 'view') AS v FROM log_user GROUP BY 1) o USING (case_id)""", ("tr_user", "log_user"))
+def transitions_cut(spark, sf):
+    """Cases of more than twenty events are cut into segments; the result is that of whole cases."""
+    cut = segment_cases(views.log_user(spark, sf, segment=False), max_rows=20)
+    last = ("last", F.when(F.col("activity") != "view", F.col("value")))
+    return transitions.build_transitions(cut, SPEC, last).select("case_id", "t", "a", "done", "n_trigger", "r")
+
+
+cte("profile", """SELECT split, count(*) AS n_cases, CAST(sum(kept) AS BIGINT) AS n_transitions, avg(len) AS episode_len_mean, stddev_pop(len) AS episode_len_std,
+    100.0 * sum(d) / sum(kept) AS done_pct, sum(tr) / sum(d) AS terminal_reward_mean,
+    stddev_pop(tr) AS terminal_reward_std,
+    1.0 - sum(a1) / sum(kept) AS action_0_rate, sum(a1) / sum(kept) AS action_1_rate FROM
+    (SELECT case_id, count(*) AS kept, max(t) AS len, sum(done) AS d, sum(r) FILTER (done = 1) AS tr, CAST(sum(a) AS DOUBLE) AS a1 FROM tr_session GROUP BY 1) JOIN splits USING (case_id) GROUP BY 1""",
     "tr_session", "splits")
 PROFILE = ("episode_len_mean", "episode_len_std", "done_pct", "terminal_reward_mean", "terminal_reward_std", "action_0_rate", "action_1_rate")
 

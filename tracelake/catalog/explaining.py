@@ -290,5 +290,5 @@ def cluster_fit(spark, sf):
 def fidelity_pivot(spark, sf):
     e = Explained(spark, sf)
     top = explain.top_tokens(e.attributions(), 10)
-    rows = explain.fidelity(e.rows, top, e.table, e.trigger_id, P_REMOVE, N_RANDOM, run={"config_hash": "default"})
+    rows = explain.fidelity(e.rows, top, e.table, e.trigger_id, P_REMOVE, N_RANDOM, cap=10, run={"config_hash": "default"})
     return explain.fidelity_pivot(rows.where("test = 'q_drop'"), ["drop_topk", "drop_rand_mean", "gap"]).select("p_remove", *r6("drop_topk", "drop_rand_mean", "gap"))

@@ -194,21 +194,22 @@ def fitted_q(spark, sf):
 cte("unit", "SELECT *, ('0x' || substr(md5('7:' || case_id || ':' || t), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr_session", "tr_session")
 
 
-def _poisson_sql(u: str, rate: float = 1.0, most: int = 13) -> str:
-    """Poisson count by inverse distribution, as :func:`values.poisson_count` sums it."""
-    total, p, terms = 0.0, math.exp(-rate), []
-    for k in range(most):
-        total += p
-        terms.append(f"CASE WHEN {u} >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
-        p *= rate / (k + 1)
-    return "(" + " + ".join(terms) + ")"
+def _poisson_sql(u: str, rate: float = 1.0) -> str:
+    """Poisson count by inverse distribution, as :func:`values.poisson_count` counts its steps."""
+    return "len([s FOR s IN [" + ", ".join(f"{s!r}::DOUBLE" for s in values.poisson_steps(rate)) + f"] IF s <= {u}])"
 
 
-@query("replay_sample", f"SELECT case_id, t, CAST(unnest(range(1, 1 + {_poisson_sql('u', 0.5, 16)})) AS INTEGER) AS draw FROM unit", ("unit",))
+@query("replay_sample", f"SELECT case_id, t, CAST(unnest(range(1, 1 + {_poisson_sql('u', 0.5)})) AS INTEGER) AS draw FROM unit", ("unit",))
 def replay_sample(spark, sf):
     return values.replay_sample(session_transitions(spark, sf), 0.5, 7).select("case_id", "t", "draw")
 
 
+@query("replay_heavy", f"""SELECT case_id, t, CAST({_poisson_sql('u', 20.0)} AS BIGINT) AS n FROM unit WHERE {_poisson_sql('u', 20.0)} > 0""", ("unit",))
+def replay_heavy(spark, sf):
+    drawn = values.replay_sample(session_transitions(spark, sf), 20.0, 7)
+    return drawn.groupBy("case_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("replay_weights", """SELECT case_id, t, round(n.total / (2.0 * CASE WHEN a = 1 THEN n.n1 ELSE n.total - n.n1 END), 6) AS sample_weight,
     round(least((CASE WHEN a = 1 THEN p1 ELSE 1.0 - p1 END) / greatest(CASE WHEN a = 1 THEN pb1 ELSE pb0 END, 1e-6), 10.0), 6) AS is_weight
     FROM rated, (SELECT count(*) AS total, count(*) FILTER (a = 1) AS n1 FROM rated) n""", ("rated",))
@@ -257,7 +258,7 @@ def ope_policy_value(spark, sf):
 
 cte("csum", "SELECT policy, case_id, count(*) AS n, sum(dr) AS s_dr, sum(rho) AS s_rho, sum(rho * r) AS s_rr FROM dr GROUP BY ALL", "dr")
 cte("ord", "SELECT case_id, row_number() OVER (ORDER BY md5('42:order:' || case_id), case_id) - 1 AS i, count(*) OVER () AS nc FROM (SELECT DISTINCT case_id FROM dr)", "dr")
-cte("draws", """SELECT b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % nc AS i FROM ord, range(0, 200) r(b)""", "ord")
+cte("draws", """SELECT b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 15))::BIGINT % nc AS i FROM ord, range(0, 200) r(b)""", "ord")
 cte("boot", """SELECT policy, b, sum(s_dr) / sum(n) AS dr, sum(s_rr) / CASE WHEN sum(s_rho) > 0 THEN sum(s_rho) ELSE 1.0 END AS wis
     FROM draws JOIN ord USING (i) JOIN csum USING (case_id) GROUP BY ALL""", "draws", "ord", "csum")
 BOOT_SQL = """SELECT policy, round(quantile_cont(dr, 0.025), 5) AS dr_lo, round(quantile_cont(dr, 0.975), 5) AS dr_hi, round(quantile_cont(wis, 0.025), 5) AS wis_lo,

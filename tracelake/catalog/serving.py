@@ -213,7 +213,9 @@ RATES = ("coverage", "fallback_rate", "override_rate", "ood_rate", "confidence_m
 LATENCY = ("latency_p50", "latency_p95", "latency_p99")
 cte("daily", """SELECT CAST(timestamp AS DATE) AS date, count(*) AS total_requests, avg(CAST(source = 'surrogate' AS INT)) AS coverage, avg(CAST(source = 'baseline' AS INT)) AS fallback_rate,
     avg(CAST(source = 'override' AS INT)) AS override_rate, avg(CAST(ood AS INT)) AS ood_rate, avg(confidence) AS confidence_mean, stddev_samp(confidence) AS confidence_std,
-    quantile_cont(latency_ms, 0.5) AS latency_p50, quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99 FROM decisions GROUP BY 1""", "decisions")
+    quantile_cont(latency_ms, 0.5) AS latency_p50, quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99,
+    avg(CAST(case_id IS NULL OR action_id IS NULL OR source IS NULL OR coalesce(confidence < 0 OR confidence > 1, false) OR coalesce(latency_ms < 0, false) AS INT)) AS schema_error_rate
+    FROM decisions GROUP BY 1""", "decisions")
 
 
 def daily(spark, sf):
@@ -337,12 +339,24 @@ def retraining_gate(spark, sf):
 @query("threshold_bands", """SELECT date, metric, round(value, 6) AS value, CASE WHEN total_requests < 10 THEN 'INSUFFICIENT' WHEN better = 'high' AND value < crit OR better = 'low' AND value > crit THEN 'CRITICAL'
     WHEN better = 'high' AND value < warn OR better = 'low' AND value > warn THEN 'WARNING' ELSE 'OK' END AS band FROM
     (SELECT date, total_requests, 'coverage' AS metric, coverage AS value FROM daily UNION ALL SELECT date, total_requests, 'fallback_rate', fallback_rate FROM daily UNION ALL SELECT date, total_requests, 'override_rate', override_rate FROM daily
-     UNION ALL SELECT date, total_requests, 'ood_rate', ood_rate FROM daily UNION ALL SELECT date, total_requests, 'latency_p95', latency_p95 FROM daily) JOIN
-    (VALUES ('coverage', 'high', 0.85, 0.80), ('fallback_rate', 'low', 0.10, 0.20), ('override_rate', 'low', 0.15, 0.25), ('ood_rate', 'low', 0.10, 0.20), ('latency_p95', 'low', 20.0, 50.0)) th(metric, better, warn, crit) USING (metric)""", ("daily",))
+     UNION ALL SELECT date, total_requests, 'ood_rate', ood_rate FROM daily UNION ALL SELECT date, total_requests, 'latency_p95', latency_p95 FROM daily
+     UNION ALL SELECT date, total_requests, 'schema_error_rate', schema_error_rate FROM daily) JOIN
+    (VALUES ('coverage', 'high', 0.85, 0.80), ('fallback_rate', 'low', 0.10, 0.20), ('override_rate', 'low', 0.15, 0.25), ('ood_rate', 'low', 0.10, 0.20), ('latency_p95', 'low', 20.0, 50.0), ('schema_error_rate', 'low', 0.005, 0.01)) th(metric, better, warn, crit) USING (metric)""", ("daily",))
 def threshold_bands(spark, sf):
     return monitor.threshold_bands(daily(spark, sf)).select("date", "metric", *r6("value"), "band")
 
 
+@query("schema_error_bands", """SELECT date, round(rate, 6) AS value, CASE WHEN n < 10 THEN 'INSUFFICIENT' WHEN rate > 0.01 THEN 'CRITICAL' WHEN rate > 0.005 THEN 'WARNING' ELSE 'OK' END AS band FROM
+    (SELECT CAST(timestamp AS DATE) AS date, count(*) AS n, avg(CAST(t % 150 = 0 OR t % 400 = 1 OR t % 700 = 2 AS INT)) AS rate FROM decisions GROUP BY 1)""", ("decisions",))
+def schema_error_bands(spark, sf):
+    """Decisions that lack an action, are too sure, or took negative time."""
+    t = F.col("t")
+    broken = views.decisions(spark, sf).withColumns({
+        "action_id": F.when(t % 150 != 0, F.col("action_id")), "confidence": F.when(t % 400 == 1, 1.5).otherwise(F.col("confidence")),
+        "latency_ms": F.when(t % 700 == 2, -1.0).otherwise(F.col("latency_ms"))})
+    return monitor.threshold_bands(monitor.daily_metrics(broken)).where("metric = 'schema_error_rate'").select("date", *r6("value"), "band")
+
+
 @query("latency_histogram", """SELECT bin, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi, n FROM (SELECT CAST(least(floor((v - lo) * 10 / (hi - lo)), 9) AS INTEGER) AS bin, any_value(lo) AS lo, any_value((hi - lo) / 10) AS w, count(*) AS n
     FROM (SELECT latency_ms AS v, min(latency_ms) OVER () AS lo, max(latency_ms) OVER () AS hi FROM decisions) GROUP BY 1)""", ("decisions",))
 def latency_histogram(spark, sf):

@@ -17,6 +17,11 @@ def hash_int(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def hash_long(digest: Column) -> Column:
+    """The first fifteen hex digits of a digest as a number in [0, 2^60)."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def hash_unit(seed: int | str, *keys: Column | str) -> Column:
     """Uniform number in [0, 1)."""
     return hash_int(seeded_md5(seed, *keys)) / F.lit(4294967296.0)

@@ -15,6 +15,12 @@ from ..plans.sequence import ordered
 CASE, ACTIVITY, TIME = "case_id", "activity", "timestamp"
 
 
+#: A time of day followed by Z, an offset, or the name of a zone.
+ZONED = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?|\[?[A-Za-z]+/[A-Za-z_/]+\]?)\s*$"
+#: The features that a request must have.
+REQUEST_FEATURES = ("amount", "est_quality", "unc_quality", "cum_cost", "elapsed_time", "prefix_len")
+
+
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Apply ``{standard: original}``; originals that are missing are ignored."""
     return df.withColumnsRenamed({orig: std for std, orig in mapping.items() if orig in df.columns and orig != std})
@@ -23,20 +29,23 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def parse_timestamps(
     df: DataFrame, col: str = TIME, tz_in: str | None = None, tz_out: str | None = "UTC", fmt: str | None = None
 ) -> DataFrame:
-    """Strings to timestamps, bad values to NULL; naive times are read in ``tz_in``.
+    """Strings to timestamps, bad values to NULL; times without a zone are read in ``tz_in``.
 
-    ``tz_out=None`` drops the zone and keeps the wall clock (timestamp_ntz).
+    A string that names its zone or offset is an instant already, and so is a timestamp column; both
+    stay as they are. timestamp_ntz columns are times without a zone. ``tz_out`` never moves the
+    instant: a zone only says how it is to be shown, None drops it and gives the wall clock in UTC
+    (timestamp_ntz).
     """
     kind = dict(df.dtypes)[col]
-    ts = F.col(col)
+    text = F.col(col)
+    naive = F.lit(kind == "timestamp_ntz")
     if kind == "string":
-        ts = F.try_to_timestamp(ts, F.lit(fmt)) if fmt else F.try_to_timestamp(ts)
+        ts = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
+        naive = ~F.coalesce(text.rlike(ZONED), F.lit(False))
     else:
-        ts = ts.cast("timestamp")
+        ts = text.cast("timestamp")
     if tz_in and tz_in != "UTC":
-        ts = F.to_utc_timestamp(ts, tz_in)
-    if tz_out and tz_out != "UTC":
-        ts = F.from_utc_timestamp(ts, tz_out)
+        ts = F.when(naive, F.to_utc_timestamp(ts, tz_in)).otherwise(ts)
     if tz_out is None:
         ts = ts.cast("timestamp_ntz")
     return df.withColumn(col, ts)
@@ -100,7 +109,7 @@ def schema_violations(df: DataFrame, required: Sequence[str] = (CASE, ACTIVITY,
 
 def require_valid(df: DataFrame, required: Sequence[str] = (CASE, ACTIVITY, TIME)) -> DataFrame:
     """Raise when a minimum-schema check fails; otherwise return the log."""
-    bad = schema_violations(df, required).where("n > 0").limit(20).collect()
+    bad = schema_violations(df, required).where("n > 0").collect()
     if bad:
         raise ValueError("; ".join(f"{r['check']}({r['column_name']})={r['n']}" for r in bad))
     return df
@@ -195,12 +204,17 @@ def filter_split(df: DataFrame, splits: DataFrame, name: str, case: str = CASE)
     return df.join(splits.where(F.col("split") == name).select(case), case, "left_semi")
 
 
-def request_errors(df: DataFrame) -> DataFrame:
-    """Add ``errors``: one code per failed rule on the request features."""
+def request_errors(df: DataFrame, required: Sequence[str] = REQUEST_FEATURES) -> DataFrame:
+    """Add ``errors``: one code per failed rule on the request features.
+
+    A required feature that is no column at all is an error of every request. Activity counts may be
+    absent or NULL, but not negative.
+    """
     non_negative = ["amount", "cum_cost", "elapsed_time", "t"]
     unit = ["est_quality", "unc_quality"]
     positive = ["prefix_len"]
-    bad: list[Column] = []
+    bad: list[Column] = [F.lit(f"{c}:missing") for c in required if c not in df.columns]
+    bad += [F.when(F.col(c) < 0, F.lit(f"{c}:negative")) for c in sorted(c for c in df.columns if c.startswith("count_"))]
     for c in (c for c in non_negative + unit + positive if c in df.columns):
         x = F.col(c).cast("double")
         odd = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

@@ -17,6 +17,7 @@ from .clean import ACTIVITY, CASE, TIME
 
 # fixed values: ids of the special tokens and of the first real token
 PAD, UNK, FIRST = 0, 1, 2
+UNK_NAME = "<UNK>"
 
 
 def token_counts(df: DataFrame, col: str = ACTIVITY, min_freq: int = 1) -> DataFrame:
@@ -101,11 +102,12 @@ def encode_stats(prefixes: DataFrame) -> DataFrame:
 
 
 def decode_last(prefixes: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Add ``last_token``: the last real token of the prefix, by name."""
+    """Add ``last_token``: the last real token of the prefix, by name; UNK for an id without a name or an empty prefix."""
     real = F.filter(F.arrays_zip("x", "mask"), lambda p: p["mask"] > 0)
     with_id = prefixes.withColumn("_last", F.try_element_at(real, F.lit(-1)).getField("x"))
     names = dimension(vocab.select(F.col("id").alias("_last"), F.col("token").alias("last_token")))
-    return with_id.join(names, "_last", "left").drop("_last")
+    named = with_id.join(names, "_last", "left")
+    return named.withColumn("last_token", F.coalesce("last_token", F.lit(UNK_NAME))).drop("_last")
 
 
 def oov_audit(prefixes: DataFrame, vocab: DataFrame, col: str = "x") -> DataFrame:

@@ -99,7 +99,7 @@ def decide(requests: DataFrame, rules: Rules, spec: GuardSpec, features: Sequenc
     """Validate, score and guard requests; works on batch and streaming DataFrames alike."""
     from .clean import request_errors
 
-    scored = feature_row(request_errors(requests), features).withColumn("surrogate", rules.decision())
+    scored = feature_row(request_errors(requests, [f for f in features if not f.startswith("count_")]), features).withColumn("surrogate", rules.decision())
     out = guard(scored, spec, features, stats, rules.actions)
     return out.withColumn("accepted", F.size("errors") == 0)
 

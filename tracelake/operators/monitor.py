@@ -22,7 +22,15 @@ def _rates() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("total_requests"), share(src == "surrogate").alias("coverage"), share(src == "baseline").alias("fallback_rate"),
         share(src == "override").alias("override_rate"), share(F.coalesce(F.col("ood"), F.lit(False))).alias("ood_rate"),
-        F.avg("confidence").alias("confidence_mean"), F.stddev_samp("confidence").alias("confidence_std")]
+        F.avg("confidence").alias("confidence_mean"), F.stddev_samp("confidence").alias("confidence_std"),
+        share(schema_error()).alias("schema_error_rate")]
+
+
+def schema_error() -> Column:
+    """A logged decision without case, action or source, or with a confidence outside 0..1 or a negative latency."""
+    lacks = F.col("case_id").isNull() | F.col("action_id").isNull() | F.col("source").isNull()
+    odd = ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(True)) | F.coalesce(F.col("latency_ms") < 0, F.lit(False))
+    return lacks | odd
 
 
 def daily_metrics(decisions: DataFrame, exact: bool = True) -> DataFrame:
@@ -160,7 +168,7 @@ def threshold_bands(daily: DataFrame, thresholds: Sequence[tuple[str, str, float
     items = []
     for name, better, warn, crit in thresholds:
         if name not in daily.columns:
-            continue
+            raise ValueError(f"no daily metric {name!r}")
         v = F.col(name)
         bad, worse = (v < warn, v < crit) if better == "high" else (v > warn, v > crit)
         band = F.when(F.col("total_requests") < min_requests, "INSUFFICIENT").when(worse, "CRITICAL").when(bad, "WARNING").otherwise("OK")

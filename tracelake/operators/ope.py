@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.hashing import hash_int, hash_unit, seeded_md5
+from ..functions.hashing import hash_long, hash_unit, seeded_md5
 from ..plans.ranking import hash_rank, percentiles
 from .clean import CASE
+from ..session import stored_table
 from .values import poisson_count, softmax_policy, value
 
 RHO_CAP = 20.0
@@ -74,19 +75,20 @@ def bootstrap(steps: DataFrame, replicates: int = 200, seed: int = 42, method: s
     spark = steps.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    sums = case_sums(steps, group)
+    # one row per policy and case; everything below reads this table and not the log
+    sums = stored_table(case_sums(steps, group))
     if method == "multinomial":
-        ranked = hash_rank(steps.select(CASE).distinct(), f"{seed}:order", [CASE], rank="_rank", size="_n")
+        ranked = hash_rank(stored_table(sums.select(CASE).distinct()), f"{seed}:order", [CASE], rank="_rank", size="_n")
         ordinals = ranked.select(CASE, (F.col("_rank") - 1).alias("i"), F.col("_n"))
         draws = ordinals.select("i", "_n").repartition(tasks, "i").select("i", "_n", each.alias("b")).select(
-            "b", (hash_int(seeded_md5(seed, "b", "i")) % F.col("_n")).alias("i"))
+            "b", (hash_long(seeded_md5(seed, "b", "i")) % F.col("_n")).alias("i"))
         times = draws.groupBy("i", "b").agg(F.count(F.lit(1)).alias("m"))
         weighted = times.join(sums.join(ordinals.select(CASE, "i"), CASE), "i")
     elif method == "poisson":
         # one draw per case and replicate, shared by the policies (a handful of structs per case)
         wide = sums.groupBy(CASE).agg(F.collect_list(F.struct(group, "n", "s_dr", "s_rho", "s_rr")).alias("_p")).repartition(tasks, CASE)
         # no filter on the count: pushed below, it would evaluate the digest once per reference
-        drawn = wide.select(CASE, "_p", each.alias("b")).withColumn("_u", hash_unit(seed, "b", CASE)).withColumn("m", poisson_count(F.col("_u"), 1.0, 13))
+        drawn = wide.select(CASE, "_p", each.alias("b")).withColumn("_u", hash_unit(seed, "b", CASE)).withColumn("m", poisson_count(F.col("_u"), 1.0))
         weighted = drawn.select("b", "m", F.inline("_p"))
     else:
         raise ValueError(f"unknown method {method!r}")

@@ -77,23 +77,23 @@ def split_overlaps(splits: DataFrame, case: str = CASE) -> DataFrame:
 def split_profile(tr: DataFrame, splits: DataFrame, n_actions: int, case: str = CASE) -> DataFrame:
     """Per split: cases, transitions, episode length, terminal reward, action shares.
 
-    Transitions collapse to one row per case before they meet the split table.
+    The length of an episode is the largest t of the case, whether or not earlier steps were kept. A
+    case ends once, so its terminal reward is one value. Transitions collapse to one row per case before they meet the split table.
     """
     r, done = F.col("r").cast("double"), F.col("done") == 1
     per_case = tr.groupBy(case).agg(
-        F.count(F.lit(1)).alias("len"), F.sum(F.col("done").cast("long")).alias("d"),
-        F.sum(F.when(done, r)).alias("tr"), F.sum(F.when(done, r * r)).alias("trr"),
+        F.count(F.lit(1)).alias("kept"), F.max("t").alias("len"), F.sum(F.col("done").cast("long")).alias("d"), F.sum(F.when(done, r)).alias("tr"),
         *[F.count_if(F.col("a") == i).alias(f"a{i}") for i in range(n_actions)])
     agg = per_case.join(splits.select(case, "split"), case).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_cases"), F.sum("len").alias("n_transitions"), F.avg("len").alias("episode_len_mean"),
-        F.stddev_pop("len").alias("episode_len_std"), F.sum("d").alias("d"), F.sum("tr").alias("tr"), F.sum("trr").alias("trr"),
+        F.count(F.lit(1)).alias("n_cases"), F.sum("kept").alias("n_transitions"), F.avg("len").alias("episode_len_mean"),
+        F.stddev_pop("len").alias("episode_len_std"), F.sum("d").alias("d"), F.sum("tr").alias("tr"), F.stddev_pop("tr").alias("tr_std"),
         *[F.sum(f"a{i}").alias(f"a{i}") for i in range(n_actions)])
     d, n = F.col("d").cast("double"), F.col("n_transitions").cast("double")
     mean = F.try_divide(F.col("tr"), d)
     return agg.select(
         "split", "n_cases", "n_transitions", "episode_len_mean", "episode_len_std", (100.0 * F.col("d") / n).alias("done_pct"),
         mean.alias("terminal_reward_mean"),
-        F.sqrt(F.greatest(F.try_divide(F.col("trr"), d) - mean * mean, F.lit(0.0))).alias("terminal_reward_std"),
+        F.col("tr_std").alias("terminal_reward_std"),
         *[(F.col(f"a{i}") / n).alias(f"action_{i}_rate") for i in range(n_actions)])
 
 

@@ -6,6 +6,7 @@ state description: last activity, prefix-length bin and whether the trigger alre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -285,22 +286,30 @@ def replay_sample(df: DataFrame, fraction: float, seed: int = 42, with_replaceme
     """
     u = hash_unit(seed, *keys)
     if not with_replacement:
+        if fraction > 1:
+            raise ValueError("without replacement the fraction is at most 1")
         return df.where(u < fraction)
-    # slicing 1..16 instead of filtering: a filter on the count would be pushed below and repeat the hash
+    most = len(poisson_steps(fraction))
+    # slicing 1..most instead of filtering: a filter on the count would be pushed below and repeat the hash
     counted = df.withColumn("_u", u).withColumn("_m", poisson_count(F.col("_u"), fraction)).drop("_u")
-    return counted.withColumn("draw", F.explode(F.slice(F.sequence(F.lit(1), F.lit(16)), F.lit(1), F.col("_m")))).drop("_m")
+    return counted.withColumn("draw", F.explode(F.slice(F.sequence(F.lit(1), F.lit(most)), F.lit(1), F.col("_m")))).drop("_m")
 
 
-def poisson_count(u: Column, rate: float, most: int = 16) -> Column:
-    """Poisson(rate) by inverting the distribution at u."""
-    import math
-
-    total, p, count = 0.0, math.exp(-rate), F.lit(0)
-    for k in range(most):
+def poisson_steps(rate: float) -> list[float]:
+    """Distribution function of Poisson(rate) at 0, 1, ..., until less than 2^-53 is left above."""
+    steps, total, k = [], 0.0, 0
+    while True:
+        p = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
         total += p
-        count = count + F.when(u >= total, 1).otherwise(0)
-        p *= rate / (k + 1)
-    return count
+        steps.append(min(total, 1.0))
+        if k >= rate and p * (k + 1) < 2.0 ** -53 * max(1.0, k + 1 - rate):
+            return steps
+        k += 1
+
+
+def poisson_count(u: Column, rate: float) -> Column:
+    """Poisson(rate) by inverting the distribution at u, without an upper limit for u < 1."""
+    return F.size(F.filter(F.array(*[F.lit(s) for s in poisson_steps(rate)]), lambda s: s <= u))
 
 
 def balanced_weights(df: DataFrame, n_actions: int) -> DataFrame:

@@ -104,14 +104,13 @@ def percentiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
-    exact_below: int = 100_000,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles, one row per group, one column per name.
 
     ``percentile`` keeps every distinct value of a group in one task's memory. Here a mergeable
     sketch brackets each wanted rank first; values below a bracket collapse to one count, values
     above it are dropped, and only the bracket (about 6/``accuracy`` of the group) is shuffled and
-    sorted. Groups up to ``exact_below`` rows are sorted whole.
+    sorted. A bracket narrower than two rows has no ends, so that the neighbours of its rank stay in.
     """
     by = list(by)
     names, ps = list(probs), list(probs.values())
@@ -131,7 +130,7 @@ def percentiles(
         keys = ["_g"]
         one = data.agg(*sketch).select(F.struct("_n", "_a").alias("s")).scalar()
         sized = data.withColumn("_s", one).select(F.lit(0).alias("_g"), "_v", "_s._n", "_s._a")
-    whole = F.col("_n") <= exact_below
+    whole = F.col("_n") * F.lit(eps) < 2.0
     brackets = F.array(*[
         F.struct(
             F.lit(i).alias("i"),

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import last_n
 from ..session import stored
-from .sizing import stored_with_count
+from .sizing import dimension
 
 SEGMENT = "_segment"
 WHOLE = -1  # segment number of cases that are not cut
-_STEPS = (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
-_GRID = 4096
 
 
 def _as_number(time: Column, dtype: str) -> Column:
@@ -32,41 +30,42 @@ def segment_cases(
     case: str = "case_id",
     time: str = "timestamp",
     max_rows: int = 1_000_000,
-    max_cases: int = 10_000,
 ) -> DataFrame:
     """Add a segment number to the log when some case exceeds ``max_rows`` events.
 
-    Case sizes come from a partial aggregate over the key column alone. The table of oversized cases
-    holds at most ``max_cases`` rows: a case left out of it has under 1/``max_cases`` of all events,
-    so leaving it whole is safe. Cut points are time quantiles per oversized case, about one per
+    Case sizes come from a partial aggregate over the key column alone. Every oversized case is cut; there
+    are at most events / ``max_rows`` of them, and their tables are broadcast only while they are small. Cut points are time quantiles per oversized case, about one per
     ``max_rows`` events, stored once so that all readers agree on them. Equal times stay together.
     A log without oversized cases is returned unchanged.
     """
     moment = _as_number(F.col(time), dict(log.dtypes)[time])
     sizes = log.groupBy(case).agg(F.count(F.lit(1)).alias("_n"))
-    big, n_big = stored_with_count(sizes.where(F.col("_n") > max_rows).orderBy(F.desc("_n"), case).limit(max_cases))
-    if n_big == 0:
+    big = stored(sizes.where(F.col("_n") > max_rows))
+    largest = big.agg(F.max("_n")).first()[0]
+    if largest is None:
         return log
-    grid = F.array(*[F.lit(i / _GRID) for i in range(1, _GRID)])
+    # fine enough for the largest case, whatever its size
+    steps = max(64, 4 * -(-largest // max_rows))
+    grid = F.array(*[F.lit(i / steps) for i in range(1, steps)])
     cuts = (
-        log.join(F.broadcast(big), case)
+        log.join(dimension(big), case)
         .groupBy(case)
-        .agg(F.first("_n").alias("_n"), F.percentile_approx(moment, grid, F.lit(20_000)).alias("_grid"))
-        .withColumn("_pieces", F.least(F.lit(_GRID), F.ceil(F.col("_n") / max_rows)).cast("int"))
+        .agg(F.first("_n").alias("_n"), F.percentile_approx(moment, grid, F.lit(max(20_000, 5 * steps))).alias("_grid"))
+        .withColumn("_pieces", F.ceil(F.col("_n") / max_rows).cast("int"))
         .select(case, F.array_sort(F.array_distinct(F.expr(
-            f"transform(sequence(1, greatest(_pieces - 1, 1)), i -> _grid[cast(i * {_GRID} / _pieces as int) - 1])"
+            f"transform(sequence(1, greatest(_pieces - 1, 1)), i -> _grid[cast(i * {steps}L / _pieces as int) - 1])"
         ))).alias("_cuts"))
     )
-    cuts = stored(cuts)
+    cuts = dimension(cuts)
     found = F.aggregate(
-        F.array(*[F.lit(s) for s in _STEPS]),
+        F.array(*[F.lit(1 << b) for b in range(int(steps).bit_length(), -1, -1)]),
         F.lit(0),
         lambda at, step: F.when(
             (at + step <= F.size("_cuts")) & (F.get(F.col("_cuts"), at + step - 1) < moment), at + step
         ).otherwise(at),
     )
     return (
-        log.join(F.broadcast(cuts), case, "left")
+        log.join(cuts, case, "left")
         .withColumn(SEGMENT, F.when(F.col("_cuts").isNull(), F.lit(WHOLE)).otherwise(found))
         .drop("_cuts")
     )
@@ -89,11 +88,13 @@ def ordered(
 
     ``lead``/``lag`` map a new column to an expression of the neighbouring event, ``running`` to a
     number summed up to and including the event, ``history`` to (expression, n) for the last n
-    values, ``totals`` to ("sum" | "max" | "min", expression) over the whole case.
+    values, ``totals`` to (fold, expression) over the whole case; the folds are sum, max, min and last,
+    the last non-null value in event order.
     """
     lead, lag, running = dict(lead or {}), dict(lag or {}), dict(running or {})
     history, totals = dict(history or {}), dict(totals or {})
-    fold = {"sum": F.sum, "max": F.max, "min": F.min}
+    at = F.struct(*order)
+    fold = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), at))}
     if SEGMENT in log.columns:
         return _ordered_segments(log, order, case, lead, lag, running, history, totals, position, count, fold)
     w = Window.partitionBy(case).orderBy(*order)
@@ -132,7 +133,7 @@ def _ordered_segments(log, order, case, lead, lag, running, history, totals, pos
     aggs += [F.first(f"_tot_{k}").alias(f"_part_{k}") for k in totals]
     parts = rows.where(F.col(SEGMENT) != WHOLE).groupBy(*key).agg(*aggs)
 
-    # At most a few thousand segments per case: these windows run over summaries, not events.
+    # one row per segment of ``max_rows`` events: these windows run over summaries, not events.
     by_seg = Window.partitionBy(case).orderBy(SEGMENT)
     before = by_seg.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(case)
@@ -144,7 +145,7 @@ def _ordered_segments(log, order, case, lead, lag, running, history, totals, pos
         if n > 1:
             earlier = by_seg.rowsBetween(-(n - 1), -1)
             carry[f"_c_hist_{k}"] = last_n(F.flatten(F.collect_list(f"_recent_{k}").over(earlier)), n - 1)
-    carry |= {f"_c_tot_{k}": fold[how](f"_part_{k}").over(whole) for k, (how, _) in totals.items()}
+    carry |= {f"_c_tot_{k}": (F.max_by(F.col(f"_part_{k}"), F.when(F.col(f"_part_{k}").isNotNull(), F.col(SEGMENT))) if how == "last" else fold[how](f"_part_{k}")).over(whole) for k, (how, _) in totals.items()}
     carried = parts.select(*key, *[c.alias(k) for k, c in carry.items()])
 
     # rows are already placed by (case, segment), so only the summaries move for this join

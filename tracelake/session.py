@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +40,10 @@ def build_session(app: str = "tracelake", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; only local sessions get one of their own.
+    """Return the folder for stages and checkpoints, which every executor must reach.
 
-    A cluster names a folder every executor reaches in ``spark.checkpoint.dir``. A machine-local
-    folder would not survive the loss of an executor, so a cluster without the setting is an error.
+    ``spark.checkpoint.dir`` names it. Where it is unset, the session gets a folder of its own beside
+    its tables, under ``spark.sql.warehouse.dir``, which is deleted when the driver ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,9 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="tracelake-ckpt-")
+        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), f"_stages-{sc.applicationId}")
+        path = sc._jvm.org.apache.hadoop.fs.Path(configured)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

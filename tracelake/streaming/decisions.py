@@ -20,10 +20,10 @@ def decision_stream(requests: DataFrame, rules: Rules, spec: GuardSpec, features
     return decided.where("accepted").select(*[c for c in LOG_COLUMNS if c in decided.columns], "reason")
 
 
-def rejected_stream(requests: DataFrame) -> DataFrame:
+def rejected_stream(requests: DataFrame, required: Sequence[str] = ()) -> DataFrame:
     from ..operators.clean import request_errors
 
-    return request_errors(requests).where(F.size("errors") > 0).select("request_id", F.array_join("errors", ",").alias("errors"))
+    return request_errors(requests, required).where(F.size("errors") > 0).select("request_id", F.array_join("errors", ",").alias("errors"))
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
