@@ -325,6 +325,15 @@ def unk_rate(spark, sf):
     return encode.unk_rate(encode.encode_tokens(views.log_user(spark, sf, segment=False), user_vocab(spark, sf))).select(*r6("unk_pct"))
 
 
+@query("encode_flow", """SELECT case_id, t, array_to_string(list_concat(list_resize([]::INTEGER[], 10 - len(toks), 0), toks), ',') AS x FROM
+    (SELECT case_id, t, list(CAST(v.id AS INTEGER)) OVER (PARTITION BY case_id ORDER BY t ROWS 9 PRECEDING) AS toks FROM seq_session JOIN vocab v ON v.token = activity)""",
+       ("seq_session", "vocab"))
+def encode_flow(spark, sf):
+    """Vocabulary and prefixes of a log in one call."""
+    _, prefixes = encode.encode_log(views.log_session(spark, sf), max_len=10)
+    return prefixes.select("case_id", "t", render(F.col("x")).alias("x"))
+
+
 @query("decode_last", """SELECT case_id, t, CASE WHEN token_id = 1 THEN '<UNK>' ELSE activity END AS last_token FROM enc_user""", ("enc_user",))
 def decode_last(spark, sf):
     v = user_vocab(spark, sf)
