@@ -495,12 +495,15 @@ def transition_store(spark, sf):
 @query("item_unwrap", "SELECT case_id, t, round(delta_q, 6) AS delta_q FROM scored WHERE delta_q > 0", ("scored",))
 def item_unwrap(spark, sf):
     # documents of {"items": [...]}: one per case and hundred steps, never a whole case
-    path = scratch_dir(spark, "items")
-    rows = _greedy(spark, sf).where("delta_q > 0").withColumn("_part", F.floor(F.col("t") / 100))
+    wrapped, bare = scratch_dir(spark, "items"), scratch_dir(spark, "bare-items")
+    found = _greedy(spark, sf).where("delta_q > 0").select("case_id", "t", "delta_q", F.floor(F.col("t") / 100).alias("_part"))
+    rows = found.where("t % 2 = 0")
     docs = rows.groupBy("case_id", "_part").agg(F.collect_list(F.struct("case_id", "t", "delta_q")).alias("items")).select("items")
-    writers.write_json_documents(docs, path)
-    back = spark.read.schema("items array<struct<case_id:string,t:int,delta_q:double>>").json(path)
-    return back.select(F.explode("items").alias("i")).select("i.case_id", "i.t", F.round("i.delta_q", 6).alias("delta_q"))
+    writers.write_json_documents(docs, wrapped)
+    writers.write_json_documents(found.where("t % 2 = 1").drop("_part"), bare)
+    item = "case_id string, t int, delta_q double"
+    back = readers.read_items(spark, wrapped, item, lines=True).unionByName(readers.read_items(spark, bare, item, lines=True))
+    return back.select("case_id", "t", F.round("delta_q", 6).alias("delta_q"))
 
 
 @query("vocab_store", "SELECT token, id, cnt, 'run-1' AS run FROM vocab", ("vocab",))

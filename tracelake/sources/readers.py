@@ -57,11 +57,15 @@ def read_json_document(spark: SparkSession, path: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_items(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """Items of ``{"items": [...]}`` documents or bare lists of items; ``item`` is a DDL field list."""
+def read_items(spark: SparkSession, path: str, item: str, lines: bool = False) -> DataFrame:
+    """Items of ``{"items": [...]}`` documents or bare items; ``item`` is a DDL field list.
+
+    A file is one document or one list of items; with ``lines`` every line is a document or an item, and
+    files can be split.
+    """
     fields = T.StructType.fromDDL(item)
     schema = T.StructType([T.StructField("items", T.ArrayType(fields)), *fields.fields])
-    docs = spark.read.option("multiLine", True).schema(schema).json(path)
+    docs = spark.read.option("multiLine", not lines).schema(schema).json(path)
     # a bare list is read as one row per element; a wrapper document has no item columns
     own = F.array(F.struct(*[F.col(f.name) for f in fields.fields]))
     return docs.select(F.explode(F.coalesce("items", own)).alias("i")).select("i.*")
