@@ -279,6 +279,16 @@ def split_drift(spark, sf):
     return monitor.psi(clean.filter_split(log, split, "test"), clean.filter_split(log, split, "train"), ["value"]).select("feature", *r6("psi"), "level")
 
 
+@query("split_ks", """SELECT 'value' AS feature, round(max(abs(cc / nc - cb / nb)), 6) AS ks, max(abs(cc / nc - cb / nb)) > 0.02 AS drifted FROM
+    (SELECT v, sum(c) OVER (ORDER BY v)::DOUBLE AS cc, sum(b) OVER (ORDER BY v)::DOUBLE AS cb, sum(c) OVER ()::DOUBLE AS nc, sum(b) OVER ()::DOUBLE AS nb FROM
+      (SELECT value AS v, count(*) FILTER (split = 'test') AS c, count(*) FILTER (split = 'train') AS b
+       FROM log_session JOIN splits USING (case_id) WHERE split <> 'val' AND value IS NOT NULL GROUP BY 1))""", ("log_session", "splits"))
+def split_ks(spark, sf):
+    """The other drift method between splits, with its threshold."""
+    log, split = views.log_session(spark, sf, segment=False), session_splits(spark, sf)
+    return monitor.ks(clean.filter_split(log, split, "test"), clean.filter_split(log, split, "train"), "value", 0.02).select("feature", *r6("ks"), "drifted")
+
+
 cte("signals", """SELECT * , (ood_rate - ood_b) / (ood_b + 1e-6) AS ood_spike, (cov_b - coverage) / (cov_b + 1e-6) AS coverage_drop, (override_rate - ov_b) / (ov_b + 1e-6) AS override_spike FROM
     (SELECT date, ood_rate, coverage, override_rate, avg(ood_rate) OVER b AS ood_b, avg(coverage) OVER b AS cov_b, avg(override_rate) OVER b AS ov_b, row_number() OVER (ORDER BY date) AS d
      FROM daily WINDOW b AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING)) WHERE d >= 7""", "daily")
