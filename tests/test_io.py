@@ -81,9 +81,13 @@ def test_metrics_stream_updates_over_batches(spark, tmp_path):
         df = spark.createDataFrame(rows_, "ts string, source string, confidence double, ood boolean, latency_ms double")
         df.select(F.to_timestamp("ts").alias("timestamp"), "source", "confidence", "ood", "latency_ms").coalesce(1).write.mode("append").json(src)
 
+    late = []
+
     def run():
         stream = spark.readStream.schema(schema).json(src)
-        mstream.start_daily(mstream.daily_stream(stream), out, ck).awaitTermination()
+        query = mstream.start_daily(mstream.daily_stream(stream), out, ck)
+        query.awaitTermination()
+        late.append(mstream.late_rows(query))
         return rows(mstream.read_daily(spark, out).select(F.date_format("date", "dd"), "total_requests", F.round("coverage", 3)))
 
     add([("2024-01-01 10:00:00", "surrogate", 0.9, False, 1.0)])
@@ -93,6 +97,7 @@ def test_metrics_stream_updates_over_batches(spark, tmp_path):
     # day 1 closed with the watermark: a late event no longer changes it
     add([("2024-01-01 23:00:00", "override", 0.9, False, 1.0), ("2024-01-05 01:00:00", "surrogate", 0.5, False, 1.0)])
     assert run() == [("01", 2, 0.5), ("05", 2, 1.0)]
+    assert late == [0, 0, 1]
 
 
 def test_feedback_stream_extends_cases(spark, tmp_path):
@@ -113,3 +118,16 @@ def test_feedback_stream_extends_cases(spark, tmp_path):
     add([3])
     assert run() == [(1, [1.0], [2.0], 1), (2, [2.0], [3.0], 0)]
     assert fstream.consolidate(spark, store, ["x"]).count() == 2
+
+
+def test_feedback_batch_reads_the_buckets_of_its_cases(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for batch, cases in ((0, range(60)), (1, [7])):
+        fb = spark.createDataFrame([(str(c), batch) for c in cases], "case_id string, t int")
+        fb.withColumn("bucket", fstream.bucket()).write.partitionBy("bucket").parquet(f"{store}/batch={batch}")
+    found = fstream.touched_rows(spark, store, 1)
+    assert rows(found, "case_id", "t") == [("7", 0), ("7", 1)]
+    bucket = spark.createDataFrame([("7",)], "case_id string").select(fstream.bucket()).first()[0]
+    read = {f for f in found.inputFiles()}
+    plan = found._jdf.queryExecution().toString()
+    assert read and f"(bucket#" in plan and f"= {bucket})" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0] + "]"

@@ -20,13 +20,13 @@ def daily_stream(decisions: DataFrame, delay: str = "1 day", accuracy: int = 10_
 
     agg = decisions.withWatermark("timestamp", delay).groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("total_requests"), n(src == "surrogate").alias("n_surrogate"), n(src == "baseline").alias("n_baseline"),
-        n(src == "override").alias("n_override"), n(F.coalesce(F.col("ood"), F.lit(False))).alias("n_ood"), F.avg("confidence").alias("confidence_mean"),
+        n(src == "override").alias("n_override"), n(F.coalesce(F.col("ood"), F.lit(False))).alias("n_ood"), F.avg("confidence").alias("confidence_mean"), F.stddev_samp("confidence").alias("confidence_std"),
         F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy)).alias("_p"))
     total = F.col("total_requests")
     return agg.select(
         F.to_date("w.start").alias("date"), F.col("w.end").alias("window_end"), "total_requests", (F.col("n_surrogate") / total).alias("coverage"),
         (F.col("n_baseline") / total).alias("fallback_rate"), (F.col("n_override") / total).alias("override_rate"), (F.col("n_ood") / total).alias("ood_rate"),
-        "confidence_mean", F.col("_p")[0].alias("latency_p50"), F.col("_p")[1].alias("latency_p95"), F.col("_p")[2].alias("latency_p99"))
+        "confidence_mean", "confidence_std", F.col("_p")[0].alias("latency_p50"), F.col("_p")[1].alias("latency_p95"), F.col("_p")[2].alias("latency_p99"))
 
 
 def start_daily(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -39,6 +39,11 @@ def start_daily(stream: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed their window, over the batches the query remembers."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """Latest version of every window end."""
     rows = spark.read.parquet(path)
