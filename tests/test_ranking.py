@@ -92,3 +92,18 @@ def test_dimension_broadcasts_only_when_small(numbers):
     assert hinted(dimension(numbers.limit(10)))
     big = dimension(numbers, max_rows=100)
     assert not hinted(big) and rows(big) == rows(numbers)
+
+
+def test_spearman_of_large_values(spark):
+    rows_ = [(1e9 + i, 1e9 - i + (i % 3)) for i in range(200)]
+    data = spark.createDataFrame(rows_, "x double, y double")
+    frame = data.toPandas()
+    assert spearman(data, "x", "y").first()["spearman"] == pytest.approx(frame["x"].corr(frame["y"].rank(), method="pearson"), abs=1e-6)
+
+
+def test_deviation_of_large_rewards(spark):
+    from tracelake.operators.transitions import transition_stats
+
+    tr = spark.createDataFrame([(i // 2, 1e9 + i % 2, 1) for i in range(100)], "case_id long, r double, done int")
+    got = transition_stats(tr).first()
+    assert got["reward_std"] == pytest.approx(0.5) and got["n_cases"] == 50 and got["n_transitions"] == 100

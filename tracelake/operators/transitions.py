@@ -163,20 +163,16 @@ def transition_violations(tr: DataFrame, n_actions: int) -> DataFrame:
 def transition_stats(tr: DataFrame) -> DataFrame:
     """One row: counts, terminal share, reward moments (population) and terminal percentiles."""
     r, done = F.col("r").cast("double"), F.col("done") == 1
-    # every case contributes one smallest t, so cases are counted through a pre-aggregated group-by
-    per_case = tr.groupBy(CASE).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("done").cast("long")).alias("d"), F.sum(r).alias("sr"), F.sum(r * r).alias("srr"),
+    # with one distinct column Spark groups by case first and merges the other partial results, the deviation's too
+    agg = tr.agg(
+        F.count(F.lit(1)).alias("n_transitions"), F.count_distinct(CASE).alias("n_cases"), F.sum(F.col("done").cast("long")).alias("d"),
+        F.avg(r).alias("reward_mean"), F.stddev_pop(r).alias("reward_std"),
         F.count_if(~done & (r == 0)).alias("z"), F.count_if(done & (r != 0)).alias("nz"))
-    agg = per_case.agg(
-        F.sum("n").alias("n_transitions"), F.count(F.lit(1)).alias("n_cases"), F.sum("d").alias("d"),
-        F.sum("sr").alias("sr"), F.sum("srr").alias("srr"), F.sum("z").alias("z"), F.sum("nz").alias("nz"))
     n = F.col("n_transitions").cast("double")
-    mean = F.col("sr") / n
     pct = percentiles(tr.where(done).select(r.alias("r")), "r", {"terminal_p50": 0.5, "terminal_p95": 0.95})
     tail = pct.select(F.struct("terminal_p50", "terminal_p95").alias("p")).scalar()
     return agg.withColumn("_p", tail).select(
-        "n_transitions", "n_cases", (100.0 * F.col("d") / n).alias("done_pct"), mean.alias("reward_mean"),
-        F.sqrt(F.greatest(F.col("srr") / n - mean * mean, F.lit(0.0))).alias("reward_std"),
+        "n_transitions", "n_cases", (100.0 * F.col("d") / n).alias("done_pct"), "reward_mean", "reward_std",
         F.col("_p.terminal_p50").alias("terminal_p50"), F.col("_p.terminal_p95").alias("terminal_p95"),
         (100.0 * F.try_divide(F.col("z").cast("double"), n - F.col("d"))).alias("nonterminal_zero_pct"),
         (100.0 * F.try_divide(F.col("nz").cast("double"), F.col("d").cast("double"))).alias("terminal_nonzero_pct"))

@@ -72,18 +72,22 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str = "rank"
     return running_totals(df, order, {rank: F.lit(1).cast("long")})
 
 
-def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """(value, rank) with ties sharing their mean rank; hot values are counted, never grouped."""
+def average_ranks(df: DataFrame, value: str, rank: str, centred: bool = False) -> DataFrame:
+    """(value, rank) with ties sharing their mean rank; hot values are counted, never grouped.
+
+    ``centred`` ranks are taken from the middle rank, so that their squares stay exact for longer.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_w"))
     upto = running_totals(counts, [value], {"_upto": F.col("_w")})
-    return upto.select(value, (F.col("_upto") - (F.col("_w") - 1) / 2.0).alias(rank))
+    middle = (upto.agg(F.max("_upto").alias("n")).scalar() + 1) / 2.0 if centred else F.lit(0.0)
+    return upto.select(value, (F.col("_upto") - (F.col("_w") - 1) / 2.0 - middle).alias(rank))
 
 
 def spearman(df: DataFrame, x: str, y: str, name: str = "spearman") -> DataFrame:
     """One-row rank correlation over pair counts; NULL when a side is constant."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     counted = pairs.groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = counted.join(average_ranks(pairs, x, "_rx"), x).join(average_ranks(pairs, y, "_ry"), y)
+    ranked = counted.join(average_ranks(pairs, x, "_rx", True), x).join(average_ranks(pairs, y, "_ry", True), y)
     w, rx, ry = F.col("_w").cast("double"), F.col("_rx"), F.col("_ry")
     sums = ranked.agg(
         F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),
