@@ -314,10 +314,13 @@ def prefixes_chat(spark, sf):
 
 @query("encode_stats", """SELECT count(*) AS n_prefixes, count(*) FILTER (t = n_events) AS n_cases, round(100.0 * avg(CASE WHEN token_id = 1 THEN 1.0 ELSE 0.0 END), 6) AS unk_pct,
     CAST(min(len(toks)) AS INTEGER) AS len_min, round(avg(len(toks)), 6) AS len_mean, round(quantile_cont(len(toks), 0.5), 6) AS len_p50,
-    round(quantile_cont(len(toks), 0.95), 6) AS len_p95, CAST(max(len(toks)) AS INTEGER) AS len_max FROM enc_user""", ("enc_user",))
+    round(quantile_cont(len(toks), 0.95), 6) AS len_p95, CAST(max(len(toks)) AS INTEGER) AS len_max, (SELECT count(*) + 2 FROM vocab4) AS vocab_size,
+    (SELECT string_agg(token || ':' || cnt, ',' ORDER BY cnt DESC, token) FROM vocab4) AS top_tokens FROM enc_user""", ("enc_user", "vocab4"))
 def encode_stats(spark, sf):
-    s = encode.encode_stats(encode.encode_prefixes(views.log_user(spark, sf), user_vocab(spark, sf), 50))
-    return s.select("n_prefixes", "n_cases", *r6("unk_pct"), "len_min", *r6("len_mean", "len_p50", "len_p95"), "len_max")
+    v = user_vocab(spark, sf)
+    s = encode.encode_stats(encode.encode_prefixes(views.log_user(spark, sf), v, 50), v)
+    top = F.array_join(F.transform("top_tokens", lambda x: F.concat_ws(":", x["token"], x["cnt"])), ",")
+    return s.select("n_prefixes", "n_cases", *r6("unk_pct"), "len_min", *r6("len_mean", "len_p50", "len_p95"), "len_max", "vocab_size", top.alias("top_tokens"))
 
 
 @query("unk_rate", """SELECT round(100.0 * avg(CASE WHEN token_id = 1 THEN 1.0 ELSE 0.0 END), 6) AS unk_pct FROM pre_user""", ("pre_user",))
@@ -396,7 +399,7 @@ def drop_counts(spark, sf):
 
 @query("transition_stats", """SELECT count(*) AS n_transitions, count(DISTINCT case_id) AS n_cases, round(100.0 * avg(done), 6) AS done_pct, round(avg(r), 6) AS reward_mean,
     round(stddev_pop(r), 6) AS reward_std, round(quantile_cont(r, 0.5) FILTER (done = 1), 6) AS terminal_p50,
-    round(quantile_cont(r, 0.95) FILTER (done = 1), 6) AS terminal_p95, CAST(100.0 AS DOUBLE) AS nonterminal_zero_pct,
+    round(quantile_cont(r, 0.95) FILTER (done = 1), 6) AS terminal_p95, round(100.0 * count(*) FILTER (done = 0 AND r = 0) / count(*) FILTER (done = 0), 6) AS nonterminal_zero_pct,
     round(100.0 * count(*) FILTER (done = 1 AND r <> 0) / count(*) FILTER (done = 1), 6) AS terminal_nonzero_pct FROM tr_session""", ("tr_session",))
 def transition_stats(spark, sf):
     s = transitions.transition_stats(session_transitions(spark, sf))
@@ -404,10 +407,18 @@ def transition_stats(spark, sf):
                                                     "nonterminal_zero_pct", "terminal_nonzero_pct"))
 
 
-@query("transition_violations", """SELECT count(*) AS n, CAST(0 AS BIGINT) AS bad_mask_width, CAST(0 AS BIGINT) AS action_out_of_range,
-    count(*) FILTER (a = 1 AND valid1 = 0) AS invalid_action, CAST(0 AS BIGINT) AS bad_done, CAST(0 AS BIGINT) AS negative_t FROM steps_session""", ("steps_session",))
+@query("transition_violations", """SELECT count(*) AS n, count(*) FILTER (t % 7 = 0) AS bad_mask_width, count(*) FILTER (t % 9 = 0) AS action_out_of_range,
+    count(*) FILTER (t % 9 = 0 OR a = 1 AND (valid1 = 0 OR t % 7 = 0)) AS invalid_action, count(*) FILTER (t % 11 = 0) AS bad_done, count(*) FILTER (t % 13 = 0) AS negative_t FROM steps_user""", ("steps_user",))
 def transition_violations(spark, sf):
-    return transitions.transition_violations(transitions.steps(views.log_session(spark, sf), SPEC, outcome_value()), 2)
+    return transitions.transition_violations(broken(transitions.steps(views.log_user(spark, sf), SPEC, outcome_value())), 2)
+
+
+def broken(tr):
+    """Steps that break every rule now and then: mask width, action, flag and position."""
+    t = F.col("t")
+    return tr.withColumns({
+        "valid_actions": F.when(t % 7 == 0, F.slice("valid_actions", 1, 1)).otherwise(F.col("valid_actions")), "a": F.when(t % 9 == 0, 5).otherwise(F.col("a")),
+        "done": F.when(t % 11 == 0, 2).otherwise(F.col("done")), "t": F.when(t % 13 == 0, -t).otherwise(t)})
 
 
 cte("fb", """SELECT case_id, t, n_events, value, activity, lead(value) OVER (PARTITION BY case_id ORDER BY t) AS next_value FROM seq_user""", "seq_user")
@@ -525,8 +536,17 @@ def position_order(spark, sf):
     return splits.position_order_violations(log, ["timestamp", "activity", "event_id"])
 
 
-@query("structure_violations", """SELECT * FROM (VALUES ('empty', CAST(0 AS BIGINT)), ('width:s', 0), ('width:s_mask', 0), ('width:s_next', 0), ('width:s_next_mask', 0),
-    ('binary:s_mask', 0), ('binary:s_next_mask', 0), ('width:valid_actions', 0), ('invalid_action', 0), ('binary:done', 0), ('negative:t', 0)) v("check", n)""")
+@query("structure_violations", """SELECT unnest(['empty', 'width:s', 'width:s_mask', 'width:s_next', 'width:s_next_mask', 'binary:s_mask', 'binary:s_next_mask', 'width:valid_actions', 'invalid_action',
+    'binary:done', 'negative:t', 'missing:case_id']) AS "check", unnest([CAST(count(*) = 0 AS BIGINT), count(*) FILTER (t % 2 = 0), count(*) FILTER (t % 3 = 0), count(*) FILTER (t % 4 = 0), count(*) FILTER (t % 5 = 0),
+    count(*) FILTER (t % 6 = 1), count(*) FILTER (t % 8 = 1), count(*) FILTER (t % 7 = 0), count(*) FILTER (t % 9 = 0 OR a = 1 AND t % 7 = 0), count(*) FILTER (t % 11 = 0), count(*) FILTER (t % 13 = 0), 1]) AS n FROM tr_user""", ("tr_user",))
 def structure_violations(spark, sf):
     v = encode.build_vocab(views.log_session(spark, sf, segment=False))
-    return splits.structure_violations(session_transitions(spark, sf, v), MAX_LEN, 2)
+    tr = transitions.build_transitions(views.log_user(spark, sf), SPEC, outcome_value(), v, MAX_LEN)
+    t, two = F.col("t"), F.lit(2).cast("tinyint")
+    spoilt = tr.withColumns({
+        "s": F.when(t % 2 == 0, F.slice("s", 1, 3)).otherwise(F.col("s")), "s_next": F.when(t % 4 == 0, F.slice("s_next", 1, 3)).otherwise(F.col("s_next")),
+        "s_mask": F.when(t % 3 == 0, F.slice("s_mask", 1, 3)).otherwise(F.col("s_mask")), "s_next_mask": F.when(t % 5 == 0, F.slice("s_next_mask", 1, 3)).otherwise(F.col("s_next_mask")),
+    }).withColumns({
+        "s_mask": F.when(t % 6 == 1, F.transform("s_mask", lambda _: two)).otherwise(F.col("s_mask")),
+        "s_next_mask": F.when(t % 8 == 1, F.transform("s_next_mask", lambda _: two)).otherwise(F.col("s_next_mask"))})
+    return splits.structure_violations(broken(spoilt).drop("case_id"), MAX_LEN, 2)

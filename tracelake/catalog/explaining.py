@@ -95,9 +95,10 @@ def select_transitions(spark, sf):
     return explain.select_transitions(test, explain.select_cases_random(test, N_CASES), 2).select("case_id", "t")
 
 
-@query("valid_action_gaps", "SELECT count(*) AS n_items, CAST(0 AS BIGINT) AS n_without_valid_action FROM tr_session", ("tr_session",))
+@query("valid_action_gaps", "SELECT count(*) AS n_items, count(*) FILTER (t % 3 = 0) AS n_without_valid_action FROM tr_session", ("tr_session",))
 def valid_action_gaps(spark, sf):
-    return explain.valid_action_gaps(session_transitions(spark, sf))
+    none = F.transform("valid_actions", lambda _: F.lit(0).cast("tinyint"))
+    return explain.valid_action_gaps(session_transitions(spark, sf).withColumn("valid_actions", F.when(F.col("t") % 3 == 0, none).otherwise(F.col("valid_actions"))))
 
 
 # ---- attribution ---------------------------------------------------------------------------------
@@ -214,8 +215,8 @@ def state_features(spark, sf):
 
 cte("grid", f"""SELECT case_id, t, p, rep, CAST(greatest(1, ceil(p * n)) AS BIGINT) AS k FROM (SELECT DISTINCT case_id, t, n FROM pos),
     (VALUES {', '.join(f'({p}::DOUBLE)' for p in P_REMOVE)}) g(p), range(-1, {N_RANDOM}) r(rep)""", "pos")
-cte("fid_removed", """SELECT g.case_id, g.t, g.p, g.rep, x.position FROM grid g JOIN top x ON x.case_id = g.case_id AND x.t = g.t AND g.rep = -1 AND x.rank <= g.k UNION ALL
-    SELECT case_id, t, p, rep, position FROM (SELECT g.*, o.position, row_number() OVER (PARTITION BY g.case_id, g.t, g.p, g.rep
+cte("fid_removed", """SELECT g.case_id, g.t, g.p, g.rep, x.position, x.rank AS rk FROM grid g JOIN top x ON x.case_id = g.case_id AND x.t = g.t AND g.rep = -1 AND x.rank <= g.k UNION ALL
+    SELECT case_id, t, p, rep, position, rk FROM (SELECT g.*, o.position, row_number() OVER (PARTITION BY g.case_id, g.t, g.p, g.rep
       ORDER BY md5('123:' || g.case_id || ':' || g.t || ':' || g.rep || ':' || o.position), o.position) AS rk FROM grid g JOIN pos o ON o.case_id = g.case_id AND o.t = g.t WHERE g.rep >= 0) WHERE rk <= k""",
     "grid", "top", "pos")
 cte("fid_all", "SELECT case_id, t, p, rep FROM grid", "grid")
@@ -267,9 +268,23 @@ def deletion_zero(spark, sf):
     return explain.fidelity_pivot(rows, ["drop_topk"]).select("p_remove", *r6("drop_topk"))
 
 
-@query("deletion_permute")
+# every listed position takes the token of the next one in the list; the last position and with it the last activity may change
+cte("turned", """SELECT a.case_id, a.t, a.p, a.rep, o.activity FROM (SELECT *, count(*) OVER (PARTITION BY case_id, t, p, rep) AS m FROM fid_removed) a
+    JOIN fid_removed b ON b.case_id = a.case_id AND b.t = a.t AND b.p = a.p AND b.rep = a.rep AND b.rk = a.rk % a.m + 1
+    JOIN pos o ON o.case_id = a.case_id AND o.t = a.t AND o.position = b.position WHERE a.position = 9""", "fid_removed", "pos")
+cte("perm", """SELECT s.*, CASE WHEN valid1 = 1 THEN greatest(coalesce(q.q0, e.q0), coalesce(q.q1, e.q1)) ELSE coalesce(q.q0, e.q0) END AS nv FROM
+    (SELECT g.case_id, g.t, g.p, g.rep, o.valid1, o.v, o.n, coalesce(m.activity, o.activity) AS la, k.seen FROM grid g JOIN pos o ON o.case_id = g.case_id AND o.t = g.t AND o.position = 9
+     JOIN (SELECT case_id, t, bool_or(activity = 'click') AS seen FROM pos GROUP BY ALL) k ON k.case_id = g.case_id AND k.t = g.t
+     LEFT JOIN turned m ON m.case_id = g.case_id AND m.t = g.t AND m.p = g.p AND m.rep = g.rep) s
+    LEFT JOIN q_table q ON q.last_activity = s.la AND q.len_bin = CASE WHEN s.n < 5 THEN 0 WHEN s.n < 10 THEN 1 ELSE 2 END AND q.seen = s.seen
+    JOIN (SELECT q0, q1 FROM q_table WHERE last_activity = '' AND len_bin = 0 AND NOT seen) e ON true""", "grid", "pos", "turned", "q_table")
+
+
+@query("deletion_permute", """SELECT p AS p_remove, round(avg(top), 6) + 0.0 AS drop_topk, round(avg(rnd), 6) + 0.0 AS drop_rand_mean FROM
+    (SELECT p, case_id, t, max(v - nv) FILTER (rep = -1) AS top, avg(v - nv) FILTER (rep >= 0) AS rnd FROM perm GROUP BY ALL) GROUP BY 1""", ("perm",))
 def deletion_permute(spark, sf):
-    return explain.q_drop(variants(spark, sf, "permute_topk"))
+    rows = explain.q_drop(variants(spark, sf, "permute_topk"))
+    return explain.fidelity_pivot(rows, ["drop_topk", "drop_rand_mean"]).select("p_remove", *r6("drop_topk", "drop_rand_mean"))
 
 
 @query("rank_consistency", """SELECT metric, round(value, 6) AS value, n AS n_items FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import render
+from ..operators.encode import build_vocab
 from ..operators import cases, clean, distill, explain, guard, monitor, ope, splits, values
 from ..plans.sequence import ordered
 from ..session import scratch_dir, stored
@@ -12,7 +13,7 @@ from ..sources import readers, views, writers
 from ..streaming import decisions as dstream
 from ..streaming import feedback as fstream
 from ..streaming import metrics as mstream
-from .base import SEED, SPEC, cte, query, r6, session_splits, session_transitions, sql6
+from .base import MAX_LEN, SEED, SPEC, cte, query, r6, session_splits, session_transitions, sql6
 from .explaining import variants
 from .policy import policy_columns, rated, scored
 
@@ -241,11 +242,13 @@ def action_map(spark, sf):
     return m.select("date", F.array_join(F.transform(F.map_entries("action_distribution"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("actions"))
 
 
-@query("metrics_upsert", """SELECT date, CASE WHEN date >= DATE '2024-01-10' AND date < DATE '2024-01-15' THEN total_requests ELSE -1 END AS total_requests FROM daily WHERE date < DATE '2024-01-15'""", ("daily",))
+@query("metrics_upsert", """SELECT date, CASE WHEN date >= DATE '2024-01-10' AND date < DATE '2024-01-15' THEN total_requests ELSE -1 END AS total_requests FROM daily
+    UNION ALL SELECT max(date) + 1, 7 FROM daily""", ("daily",))
 def metrics_upsert(spark, sf):
     d = daily(spark, sf).select("date", "total_requests")
-    history = d.where("date < DATE '2024-01-15'").withColumn("total_requests", F.lit(-1).cast("long"))
-    return monitor.upsert_daily(history, d.where("date >= DATE '2024-01-10' AND date < DATE '2024-01-15'"))
+    history = d.withColumn("total_requests", F.lit(-1).cast("long"))
+    new_day = d.agg(F.date_add(F.max("date"), 1).alias("date"), F.lit(7).cast("long").alias("total_requests"))
+    return monitor.upsert_daily(history, d.where("date >= DATE '2024-01-10' AND date < DATE '2024-01-15'").unionByName(new_day))
 
 
 def _psi_sql(feature: str) -> str:
@@ -401,14 +404,18 @@ def decision_stream(spark, sf):
         (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("confidence"), (kind == "error").alias("ood"), F.col("value").alias("latency_ms"))
 
 
-STREAMED = ("coverage", "fallback_rate", "override_rate", "ood_rate", "confidence_mean")
+STREAMED = ("coverage", "fallback_rate", "override_rate", "ood_rate", "confidence_mean", "confidence_std")
+STREAMED_LATENCY = ("latency_p50", "latency_p95", "latency_p99")
 
 
-@query("stream_daily_metrics", f"SELECT date, total_requests, {sql6(*STREAMED)} FROM daily", ("daily",))
+@query("stream_daily_metrics", f"""SELECT date, total_requests, {sql6(*STREAMED)},
+    {', '.join(f"(SELECT round(min(v), 6) FROM (SELECT latency_ms AS v, row_number() OVER (ORDER BY latency_ms) AS r FROM decisions WHERE CAST(timestamp AS DATE) = daily.date) WHERE r >= ceil({p} * daily.total_requests)) AS {c}"
+               for c, p in zip(STREAMED_LATENCY, (0.5, 0.95, 0.99)))} FROM daily""", ("daily", "decisions"))
 def stream_daily_metrics(spark, sf):
     out, ck = scratch_dir(spark, "daily"), scratch_dir(spark, "daily-ck")
     mstream.start_daily(mstream.daily_stream(decision_stream(spark, sf)), out, ck).awaitTermination()
-    return mstream.read_daily(spark, out).select("date", "total_requests", *r6(*STREAMED))
+    # a sketch of 10,000: exact ranks on days of fewer rows
+    return mstream.read_daily(spark, out).select("date", "total_requests", *r6(*STREAMED, *STREAMED_LATENCY))
 
 
 @query("stream_weekly_sliding", """SELECT CAST(d AS DATE) AS date, count(*) AS total_requests FROM decisions, range(0, 7) g(k), LATERAL (SELECT CAST(timestamp AS DATE) - CAST(k AS INTEGER) AS d) GROUP BY 1""", ("decisions",))
@@ -447,6 +454,31 @@ def stream_feedback(spark, sf):
     return fstream.read_transitions(spark, out).select(F.col("case_id").cast("long").alias("case_id"), "t", render(F.col("s")).alias("s"), "a", "r")
 
 
+cte("fb_week", """SELECT *, lead(t) OVER w AS next_t, lead(value) OVER w AS nv, count(*) OVER (PARTITION BY case_id) AS n_week FROM
+    (SELECT f.case_id, f.t, f.value, f.activity, f.n_events FROM fb f JOIN seq_user s ON s.case_id = f.case_id AND s.t = f.t WHERE timestamp >= TIMESTAMP '2024-01-08' AND timestamp < TIMESTAMP '2024-01-15')
+    WINDOW w AS (PARTITION BY case_id ORDER BY t)""", "fb", "seq_user")
+
+
+def _weekly(spark, sf, min_cases):
+    store = scratch_dir(spark, "fb-store")
+    views.feedback(spark, sf).write.parquet(store)
+    out = fstream.consolidate(spark, store, ["value", "prefix_len"], since="2024-01-08", until="2024-01-15", min_cases=min_cases)
+    return out.select("case_id", "t", render(F.col("s")).alias("s"), render(F.col("s_next")).alias("s_next"), "a", "r")
+
+
+@query("feedback_weekly", """SELECT case_id, t, value || ',' || CAST(t AS DOUBLE) AS s, nv || ',' || CAST(next_t AS DOUBLE) AS s_next, CASE WHEN activity = 'purchase' THEN 1 ELSE 0 END AS a,
+    CASE WHEN t >= n_events - 1 THEN value ELSE 0.0 END AS r FROM fb_week WHERE next_t IS NOT NULL AND (SELECT count(DISTINCT case_id) FROM fb_week WHERE n_week >= 2) >= 5""", ("fb_week",))
+def feedback_weekly(spark, sf):
+    """One week of feedback from the store, if at least five cases can be used."""
+    return _weekly(spark, sf, 5)
+
+
+@query("feedback_weekly_few", "SELECT count(*) AS n FROM fb_week WHERE (SELECT count(DISTINCT case_id) FROM fb_week WHERE n_week >= 2) >= 1000000000", ("fb_week",))
+def feedback_weekly_few(spark, sf):
+    """A week with fewer usable cases than asked for gives nothing."""
+    return _weekly(spark, sf, 1_000_000_000).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- storage round trips -------------------------------------------------------------------------
 
 
@@ -495,11 +527,20 @@ def feedback_log(spark, sf):
     return back.select(F.col("case_id").cast("long").alias("case_id"), "t", F.try_element_at("state_features", F.lit("value")).alias("value"), "action_executed")
 
 
-@query("transition_store", "SELECT split, count(*) AS n, CAST(sum(a) AS BIGINT) AS n_actions FROM tr_session JOIN splits USING (case_id) GROUP BY 1", ("tr_session", "splits"))
+def _padded(tokens):
+    return f"array_to_string(list_concat(list_resize([]::INTEGER[], {MAX_LEN} - len({tokens}), 0), {tokens}), ',')"
+
+
+@query("transition_store", f"""SELECT split, t.case_id, t.t, a, 1 + valid1 AS n_valid, {_padded('toks')} AS s, {_padded('next_toks')} AS s_next, CAST(len(toks) AS INTEGER) AS n_mask,
+    CAST(len(next_toks) AS INTEGER) AS n_next_mask FROM tr_session t JOIN enc_session e ON e.case_id = t.case_id AND e.t = t.t JOIN splits ON splits.case_id = t.case_id""", ("tr_session", "enc_session", "splits"))
 def transition_store(spark, sf):
     path = scratch_dir(spark, "transitions")
-    writers.write_transitions(session_transitions(spark, sf), session_splits(spark, sf), path)
-    return readers.read_parquet(spark, path, ["split", "a"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("n_actions"))
+    vocab = build_vocab(views.log_session(spark, sf, segment=False))
+    writers.write_transitions(session_transitions(spark, sf, vocab), session_splits(spark, sf), path)
+    back = readers.read_parquet(spark, path, ["split", "case_id", "t", "a", "valid_actions", "s", "s_next", "s_mask", "s_next_mask"])
+    ones = {n: F.aggregate(c, F.lit(0), lambda acc, x: acc + x.cast("int")) for n, c in (("n_valid", "valid_actions"), ("n_mask", "s_mask"), ("n_next_mask", "s_next_mask"))}
+    return back.select("split", "case_id", "t", "a", ones["n_valid"].alias("n_valid"), render(F.col("s")).alias("s"), render(F.col("s_next")).alias("s_next"),
+                       ones["n_mask"].alias("n_mask"), ones["n_next_mask"].alias("n_next_mask"))
 
 
 @query("item_unwrap", "SELECT case_id, t, round(delta_q, 6) AS delta_q FROM scored WHERE delta_q > 0", ("scored",))
@@ -518,8 +559,6 @@ def item_unwrap(spark, sf):
 
 @query("vocab_store", "SELECT token, id, cnt, 'run-1' AS run FROM vocab", ("vocab",))
 def vocab_store(spark, sf):
-    from ..operators.encode import build_vocab
-
     path = scratch_dir(spark, "vocab")
     writers.write_vocab(build_vocab(views.log_session(spark, sf, segment=False)), path, run="run-1")
     return readers.read_parquet(spark, path)
@@ -533,12 +572,23 @@ def split_store(spark, sf):
     return readers.read_parquet(spark, f"{path}/cases")
 
 
-@query("daily_store", f"SELECT date, total_requests, {sql6('coverage')} FROM daily", ("daily",))
+@query("manifest_store", f"""SELECT split, count(*) AS n_cases, 'random_case' AS method, {SEED} AS seed, CASE split WHEN 'train' THEN 0.7 WHEN 'val' THEN 0.1 ELSE 0.2 END::DOUBLE AS ratio
+    FROM splits GROUP BY 1""", ("splits",))
+def manifest_store(spark, sf):
+    """The manifest as it is read back from where the splits are stored."""
+    path = scratch_dir(spark, "splits")
+    s = stored(session_splits(spark, sf))
+    writers.write_splits(s, splits.split_manifest(s, "random_case", SEED), path)
+    return spark.read.schema("split string, n_cases long, method string, seed int, ratio double").json(f"{path}/manifest")
+
+
+@query("daily_store", "SELECT date, total_requests + CASE WHEN date >= DATE '2024-01-20' THEN 1000 ELSE 0 END AS total_requests, round(coverage, 6) AS coverage FROM daily", ("daily",))
 def daily_store(spark, sf):
     path = scratch_dir(spark, "daily-table")
     d = stored(daily(spark, sf).select("date", "total_requests", "coverage"))
     writers.append_daily(spark, d, path)
-    return writers.append_daily(spark, d.where("date >= DATE '2024-01-20'"), path).select("date", "total_requests", *r6("coverage"))
+    changed = d.where("date >= DATE '2024-01-20'").withColumn("total_requests", F.col("total_requests") + 1000)
+    return writers.append_daily(spark, changed, path).select("date", "total_requests", *r6("coverage"))
 
 
 @query("report_store", """SELECT policy, metric, value FROM (SELECT policy, unnest(['n', 'dr_mean']) AS metric, unnest([count(*)::DOUBLE, round(avg(dr), 6)]) AS value FROM dr GROUP BY policy)""", ("dr",))
@@ -550,6 +600,7 @@ def report_store(spark, sf):
     return back.select("policy", "metric", F.round("value", 6).alias("value"))
 
 
-@query("fingerprint")
+@query("fingerprint", """SELECT count(*) AS n_rows, substr(sha256(CAST(sum(CAST(('0x' || substr(d, 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(d, 16, 15))::BIGINT AS HUGEINT)) AS VARCHAR)), 1, 16) AS digest FROM
+    (SELECT md5('=' || case_id || chr(31) || '=' || activity || chr(31) || '=' || epoch_us(timestamp) || chr(31) || '=' || event_id || chr(31) || '=' || value) AS d FROM log_session)""", ("log_session",))
 def fingerprint(spark, sf):
-    return readers.fingerprint(views.log_session(spark, sf, segment=False))
+    return readers.fingerprint(views.log_session(spark, sf, segment=False).select("case_id", "activity", F.unix_micros("timestamp").alias("us"), "event_id", "value"))

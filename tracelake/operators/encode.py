@@ -88,11 +88,23 @@ def unk_rate(ids: DataFrame, col: str = "token_id") -> DataFrame:
     return ids.agg((100.0 * F.avg((F.col(col) == UNK).cast("double"))).alias("unk_pct"))
 
 
-def encode_stats(prefixes: DataFrame) -> DataFrame:
+def encode_stats(prefixes: DataFrame, vocab: DataFrame | None = None, top: int = 10) -> DataFrame:
     """One row: prefix count, cases, UNK share and length distribution.
 
-    Lengths are bounded by the encoding width, so the percentile sees few distinct values.
+    Lengths are bounded by the encoding width, so the percentile sees few distinct values. With
+    ``vocab`` its size (PAD and UNK included) and its ``top`` most frequent tokens are added.
     """
+    stats = _prefix_stats(prefixes)
+    if vocab is None:
+        return stats
+    size = vocab.agg((F.count(F.lit(1)) + UNK + 1).alias("v")).scalar()
+    # ids follow the frequency, so the first ids are the most frequent tokens: ``top`` rows
+    first = vocab.where(F.col("id") <= UNK + top).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "token", "cnt"))), lambda s: F.struct(s["token"].alias("token"), s["cnt"].alias("cnt"))).alias("l")).scalar()
+    return stats.withColumns({"vocab_size": size, "top_tokens": first})
+
+
+def _prefix_stats(prefixes: DataFrame) -> DataFrame:
     return prefixes.agg(
         F.count(F.lit(1)).alias("n_prefixes"), F.sum((F.col("t") == F.col("n_events")).cast("long")).alias("n_cases"),
         (100.0 * F.avg((F.col("token_id") == UNK).cast("double"))).alias("unk_pct"),

@@ -91,7 +91,12 @@ def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> Da
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (n_rows, digest): order-insensitive table hash, summed as a decimal so it cannot overflow."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    total = F.sum(h.cast("decimal(20,0)"))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.sha2(F.coalesce(total.cast("string"), F.lit("")), 256), 1, 16).alias("digest"))
+    """One row (n_rows, digest): order-insensitive table hash.
+
+    Every row has an MD5 over its values as text (a mark before each value tells NULL from empty); two
+    60-bit parts of it are summed as decimals, which cannot overflow.
+    """
+    values = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]
+    h = F.md5(F.concat_ws("\x1f", *values).cast("binary"))
+    low, high = (F.coalesce(F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 16))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.sha2(F.concat_ws(":", low, high), 256), 1, 16).alias("digest"))
