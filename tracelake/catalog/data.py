@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators import cases, clean, encode, splits, transitions
+from ..plans import flows
 from ..plans.sequence import segment_cases
 from ..sources import views
 from .base import (MAX_LEN, POSITIVE, SEED, SPEC, cte, outcome_value, query, r6, session_splits, session_transitions, sql6)
@@ -391,10 +392,14 @@ def behavior_inclusive(spark, sf):
     return st.select("case_id", "t", "a")
 
 
-@query("drop_counts", """SELECT count(*) AS n_steps, CAST(0 AS BIGINT) AS n_not_decision, count(*) FILTER (a = 1 AND valid1 = 0) AS n_masked,
-    count(*) FILTER (a = 0 OR valid1 = 1) AS n_kept, count(*) FILTER (done = 1 AND a = 1 AND valid1 = 0) AS n_lost_terminal FROM steps_session""", ("steps_session",))
+@query("drop_counts", """SELECT count(*) AS n_steps, count(*) FILTER (NOT d) AS n_not_decision, count(*) FILTER (d AND a = 1 AND valid1 = 0) AS n_masked,
+    count(*) FILTER (d AND (a = 0 OR valid1 = 1)) AS n_kept, count(*) FILTER (done = 1 AND NOT (d AND (a = 0 OR valid1 = 1))) AS n_lost_terminal
+    FROM (SELECT *, last_activity IN ('view', 'error') AS d FROM steps_session)""", ("steps_session",))
 def drop_counts(spark, sf):
-    return transitions.drop_counts(transitions.steps(views.log_session(spark, sf), SPEC, outcome_value()))
+    from dataclasses import replace
+
+    spec = replace(SPEC, mode="by_last_activity", decision_activities=("view", "error"))
+    return transitions.drop_counts(transitions.steps(views.log_session(spark, sf), spec, outcome_value()))
 
 
 @query("transition_stats", """SELECT count(*) AS n_transitions, count(DISTINCT case_id) AS n_cases, round(100.0 * avg(done), 6) AS done_pct, round(avg(r), 6) AS reward_mean,
@@ -463,10 +468,48 @@ def _mixed(spark, sf):
     return session_splits(spark, sf).union(split_temporal(spark, sf)).distinct()
 
 
-@query("split_checks", """SELECT (SELECT count(*) FROM (SELECT case_id FROM mixed GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS n_overlapping,
-    (SELECT count(DISTINCT case_id) FROM log_session WHERE case_id NOT IN (SELECT case_id FROM mixed)) AS n_uncovered, CAST(0 AS BIGINT) AS n_unknown""", ("mixed", "log_session"))
+@query("split_checks", """SELECT (SELECT count(*) FROM (SELECT case_id FROM mixed WHERE split <> 'test' GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS n_overlapping,
+    (SELECT count(DISTINCT case_id) FROM log_session WHERE case_id NOT IN (SELECT case_id FROM mixed WHERE split <> 'test')) AS n_uncovered,
+    (SELECT count(DISTINCT case_id) FROM mixed WHERE split = 'val') AS n_unknown""", ("mixed", "log_session"))
 def split_checks(spark, sf):
-    return splits.split_checks(_mixed(spark, sf), views.log_session(spark, sf, segment=False))
+    """Splits that overlap, leave the test cases out and name cases nobody knows."""
+    kept = _mixed(spark, sf).where("split <> 'test'")
+    unknown = kept.where("split = 'val'").withColumn("case_id", F.concat(F.lit("no-"), "case_id"))
+    return splits.split_checks(kept.unionByName(unknown), views.log_session(spark, sf, segment=False))
+
+
+@query("validation_report", f"""SELECT section, name, round(CAST(value AS DOUBLE), 6) + 0.0 AS value FROM (
+    SELECT 'structure' AS section, unnest(['empty', 'width:s', 'width:s_mask', 'width:s_next', 'width:s_next_mask', 'binary:s_mask', 'binary:s_next_mask', 'width:valid_actions', 'invalid_action', 'binary:done', 'negative:t']) AS name,
+      unnest([CAST(count(*) = 0 AS INT), count(*) FILTER (len(toks) > {MAX_LEN}), count(*) FILTER (len(toks) > {MAX_LEN}), count(*) FILTER (len(next_toks) > {MAX_LEN}), count(*) FILTER (len(next_toks) > {MAX_LEN}),
+        count(*) FILTER (len(toks) < 1), count(*) FILTER (len(next_toks) < 2), count(*) FILTER (valid1 NOT IN (0, 1)), count(*) FILTER (a = 1 AND valid1 = 0), count(*) FILTER (done NOT IN (0, 1)), count(*) FILTER (t.t < 0)])::DOUBLE AS value
+      FROM tr_session t JOIN enc_session e ON e.case_id = t.case_id AND e.t = t.t
+    UNION ALL SELECT 'reward', unnest(['n_bad_intermediate', 'n_terminal', 'terminal_mean', 'terminal_std']),
+      unnest([count(*) FILTER (done = 0 AND r <> 0), count(*) FILTER (done = 1), avg(r) FILTER (done = 1), stddev_pop(r) FILTER (done = 1)]) FROM tr_session
+    UNION ALL SELECT 'continuity', 'n_gaps', count(*) FROM tr_session x WHERE done = 0 AND NOT EXISTS (SELECT 1 FROM tr_session y WHERE y.case_id = x.case_id AND y.t = x.t + 1)
+    UNION ALL SELECT 'splits', unnest(['n_overlapping', 'n_uncovered', 'n_unknown']), unnest([(SELECT count(*) FROM (SELECT case_id FROM splits GROUP BY 1 HAVING count(DISTINCT split) > 1)),
+      (SELECT count(DISTINCT case_id) FROM log_session WHERE case_id NOT IN (SELECT case_id FROM splits)), (SELECT count(DISTINCT case_id) FROM splits WHERE case_id NOT IN (SELECT case_id FROM log_session))])
+    UNION ALL SELECT 'drift', unnest(['train_mean', 'test_mean', 'drift_pct', 'flagged']), unnest([a, b, 100.0 * abs(b - a) / a, CAST(100.0 * abs(b - a) / a > 20 AS INT)]) FROM
+      (SELECT avg(l) FILTER (split = 'train') AS a, avg(l) FILTER (split = 'test') AS b FROM (SELECT case_id, max(t) AS l FROM tr_session GROUP BY 1) JOIN splits USING (case_id)))""", ("tr_session", "enc_session", "splits"))
+def validation_report(spark, sf):
+    """Raw events to a checked decision dataset, in one flow."""
+    raw = views.events(spark, sf).select(
+        F.concat_ws("-", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("case_nr"), "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_id", "value")
+    log = flows.prepare_log(raw, {"case_id": "case_nr", "activity": "event_type", "timestamp": "at"}, dense_ids=False, dedupe=False)
+    data = flows.decision_dataset(log, SPEC, outcome_value(), max_len=MAX_LEN, seed=SEED)
+    return flows.validation_report(data, 2, MAX_LEN).select("section", "name", *r6("value"))
+
+
+@query("schema_document", """SELECT x.name AS column_name, x.kind AS expected, CASE c.column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS actual,
+    (SELECT count(*) FROM events) AS n_rows FROM (VALUES ('event_id', 'string'), ('event_type', 'string'), ('resource', 'string'), ('value', 'double')) x(name, kind)
+    LEFT JOIN (SELECT column_name, column_type FROM (DESCRIBE events)) c ON c.column_name = x.name WHERE c.column_type IS NULL OR
+    CASE c.column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END <> x.kind""")
+def schema_document(spark, sf):
+    """Where the events differ from a schema document, and how many rows that concerns."""
+    from pyspark.sql import types as T
+
+    log = views.events(spark, sf)
+    document = T.StructType.fromDDL("event_id string, event_type string, resource string, value double")
+    return clean.schema_differences(log, document).withColumn("n_rows", log.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 @query("split_leakage", """SELECT p.x || '&' || p.y AS pair, (SELECT count(*) FROM (SELECT case_id FROM mixed WHERE split = p.x INTERSECT SELECT case_id FROM mixed WHERE split = p.y)) AS n_shared

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators import cases, clean, encode, explain, values
-from ..session import stored
+from ..session import scratch_dir, stored
 from ..sources import views
 from .base import MAX_LEN, SPEC, cte, query, r6, session_splits, session_transitions, sql6
 from .policy import GAMMA, N
@@ -287,12 +287,13 @@ def deletion_permute(spark, sf):
     return explain.fidelity_pivot(rows, ["drop_topk", "drop_rand_mean"]).select("p_remove", *r6("drop_topk", "drop_rand_mean"))
 
 
-@query("rank_consistency", """SELECT metric, round(value, 6) AS value, n AS n_items FROM (
+@query("rank_consistency", """SELECT metric, round(value, 6) AS value, n AS n_items, 'mean_v' AS score_q_used,
+    (SELECT string_agg(DISTINCT CASE WHEN mean_policy_margin IS NOT NULL THEN 'mean_policy_margin' WHEN std_v IS NOT NULL THEN 'std_v' ELSE 'mean_v' END, ',') FROM clusters) AS score_ope_used FROM (
     SELECT 'spearman' AS metric, corr(rx, ry) AS value, count(*) AS n FROM (SELECT rank() OVER (ORDER BY mean_v) AS rx, rank() OVER (ORDER BY mean_policy_margin) + (count(*) OVER (PARTITION BY mean_policy_margin) - 1) / 2.0 AS ry FROM clusters)
     UNION ALL SELECT 'kendall', sum(sign(a.mean_v - b.mean_v) * sign(a.mean_policy_margin - b.mean_policy_margin)) / sqrt(sum(abs(sign(a.mean_v - b.mean_v))) * sum(abs(sign(a.mean_policy_margin - b.mean_policy_margin)))),
       (SELECT count(*) FROM clusters) FROM clusters a, clusters b)""", ("clusters",))
 def rank_consistency(spark, sf):
-    return explain.rank_consistency(clusters(spark, sf)).select("metric", *r6("value"), "n_items")
+    return explain.rank_consistency(clusters(spark, sf)).select("metric", *r6("value"), "n_items", "score_q_used", "score_ope_used")
 
 
 @query("cluster_fit", "SELECT round(regr_slope(mean_policy_margin, mean_v), 6) AS slope, round(regr_intercept(mean_policy_margin, mean_v), 6) AS intercept, count(*) AS n FROM clusters", ("clusters",))
@@ -307,3 +308,13 @@ def fidelity_pivot(spark, sf):
     top = explain.top_tokens(e.attributions(), 10)
     rows = explain.fidelity(e.rows, top, e.table, e.trigger_id, P_REMOVE, N_RANDOM, cap=10, run={"config_hash": "default"})
     return explain.fidelity_pivot(rows.where("test = 'q_drop'"), ["drop_topk", "drop_rand_mean", "gap"]).select("p_remove", *r6("drop_topk", "drop_rand_mean", "gap"))
+
+
+@query("fidelity_store", "SELECT p AS p_remove, metric, round(value, 6) + 0.0 AS value, n_items, 'c1' AS config_hash, 'g1' AS git_commit FROM qdrop", ("qdrop",))
+def fidelity_store(spark, sf):
+    """The table of the tests with the columns of its run, written and read back."""
+    e = Explained(spark, sf)
+    top = explain.top_tokens(e.attributions(), 10)
+    path = scratch_dir(spark, "fidelity")
+    explain.fidelity(e.rows, top, e.table, e.trigger_id, P_REMOVE, N_RANDOM, cap=10, tests=("q_drop",), run={"config_hash": "c1", "git_commit": "g1"}).write.parquet(path)
+    return spark.read.parquet(path).select("p_remove", "metric", (F.round("value", 6) + F.lit(0.0)).alias("value"), "n_items", "config_hash", "git_commit")

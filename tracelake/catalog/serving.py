@@ -58,6 +58,16 @@ def distill_sample(spark, sf):
     return _states(spark, sf)
 
 
+@query("high_impact_by_row", f"""SELECT case_id, t FROM scored ORDER BY round(delta_q, 9) DESC, CASE WHEN t % 2 = 1 THEN case_id END NULLS FIRST, CASE WHEN t % 2 = 1 THEN t END NULLS FIRST,
+    md5(case_id || ':' || t) LIMIT {N_HIGH}""", ("scored",))
+def high_impact_by_row(spark, sf):
+    """Half of the explained states lack their case and are found by their row key."""
+    rows = _greedy(spark, sf).withColumn("row", F.md5(F.concat_ws(":", "case_id", "t").cast("binary")))
+    odd = F.col("t") % 2 == 1
+    explained = rows.select(F.when(odd, F.col("case_id")).alias("case_id"), F.when(odd, F.col("t")).alias("t"), F.round("delta_q", 9).alias("delta_q"), "row")
+    return distill.select_high_impact(explained, rows, N_HIGH, "row")
+
+
 @query("selection_summary", f"""SELECT count(*) FILTER (is_common) AS n_common, count(*) FILTER (is_high_impact) AS n_high_impact, count(*) AS n_total,
     count(*) FILTER (is_common AND is_high_impact) AS n_overlap, count(*) FILTER (is_high_impact) / {N_HIGH}.0::DOUBLE AS match_rate,
     count(*) FILTER (is_high_impact) / {N_HIGH}.0::DOUBLE < 0.8 AS fallback_used FROM dstates""", ("dstates",))

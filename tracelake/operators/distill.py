@@ -34,10 +34,19 @@ def select_common_states(test: DataFrame, n_target: int, seed: int = 42, action:
     return both.orderBy("_part", "_rank", CASE, "t").limit(n_target).select(CASE, "t")
 
 
-def select_high_impact(explained: DataFrame, dataset: DataFrame, n: int) -> DataFrame:
-    """Top-n explained states by delta_q that exist in the dataset."""
-    top = explained.orderBy(F.desc_nulls_last("delta_q"), CASE, "t").limit(n).select(CASE, "t")
-    return top.join(dataset.select(CASE, "t").distinct(), [CASE, "t"], "left_semi")
+def select_high_impact(explained: DataFrame, dataset: DataFrame, n: int, row_key: str | None = None) -> DataFrame:
+    """Top-n explained states by delta_q that exist in the dataset.
+
+    States without case or position are found by ``row_key``, a column of both sides that is unique
+    in the dataset.
+    """
+    keys = [row_key] if row_key else []
+    top = explained.orderBy(F.desc_nulls_last("delta_q"), CASE, "t", *keys).limit(n).select(CASE, "t", *keys)
+    direct = top.select(CASE, "t").join(dataset.select(CASE, "t").distinct(), [CASE, "t"], "left_semi")
+    if not row_key:
+        return direct
+    lost = top.where(F.col(CASE).isNull() | F.col("t").isNull()).select(row_key)
+    return direct.unionByName(dataset.select(CASE, "t", row_key).join(lost, row_key, "left_semi").select(CASE, "t"))
 
 
 def distillation_states(common: DataFrame, high: DataFrame) -> DataFrame:

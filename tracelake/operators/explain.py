@@ -331,10 +331,14 @@ def rank_consistency(clusters: DataFrame, seed: int = 123) -> DataFrame:
     """Spearman and Kendall tau-b between mean value and its proxy over clusters; undefined means 0.
 
     The proxy is the margin, else the value spread, else the mean value. Clusters are a model
-    parameter (eight by default), so one row holds them all.
+    parameter (eight by default), so one row holds them all. The last two columns name the scores
+    that were compared.
     """
-    pair = F.struct(F.col("mean_v").alias("x"), F.coalesce("mean_policy_margin", "std_v", "mean_v").alias("y"))
-    one = clusters.where(F.col("mean_v").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.collect_list(pair).alias("c"))
+    proxies = ("mean_policy_margin", "std_v", "mean_v")
+    pair = F.struct(F.col("mean_v").alias("x"), F.coalesce(*proxies).alias("y"))
+    used = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in proxies])
+    one = clusters.where(F.col("mean_v").isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(pair).alias("c"), F.array_join(F.sort_array(F.collect_set(used)), ",").alias("used"))
 
     def mean_rank(f: str) -> Column:
         def of(e: Column) -> Column:
@@ -351,7 +355,7 @@ def rank_consistency(clusters: DataFrame, seed: int = 123) -> DataFrame:
         return F.signum(d.cast("double"))
 
     taus = one.select(
-        "n", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"),
+        "n", "used", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"),
         sign_sum(lambda e, o: sgn(e["x"] - o["x"]) * sgn(e["y"] - o["y"])).alias("s"),
         sign_sum(lambda e, o: F.abs(sgn(e["x"] - o["x"]))).alias("nx"), sign_sum(lambda e, o: F.abs(sgn(e["y"] - o["y"]))).alias("ny"))
     kendall = F.coalesce(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))), F.lit(0.0))
@@ -361,10 +365,10 @@ def rank_consistency(clusters: DataFrame, seed: int = 123) -> DataFrame:
         return A.array_sum(F.zip_with(a, b, lambda u, v: (u - mean) * (v - mean)))
 
     rho = F.coalesce(F.try_divide(cross("rx", "ry"), F.sqrt(cross("rx", "rx") * cross("ry", "ry"))), F.lit(0.0))
-    both = taus.where(F.col("n") >= 2).select("n", F.explode(F.array(
+    both = taus.where(F.col("n") >= 2).select("n", "used", F.explode(F.array(
         F.struct(F.lit("spearman").alias("metric"), rho.alias("value")), F.struct(F.lit("kendall").alias("metric"), kendall.alias("value")))).alias("m"))
     return both.select(F.lit("rank_consistency").alias("test"), F.lit("cluster").alias("level"), "m.metric", "m.value", F.col("n").alias("n_items"),
-                       F.col("n").alias("n_units"), F.lit(seed).alias("seed"))
+                       F.col("n").alias("n_units"), F.lit(seed).alias("seed"), F.lit("mean_v").alias("score_q_used"), F.col("used").alias("score_ope_used"))
 
 
 def fidelity(
