@@ -83,6 +83,7 @@ def guard(df: DataFrame, spec: GuardSpec, features: Sequence[str], stats: Column
     def pick(on_override: Column, on_fallback: Column, on_surrogate: Column) -> Column:
         return F.when(overridden, on_override).when(masked | odd | unsure, on_fallback).otherwise(on_surrogate)
 
+    # fixed values: the reason texts
     return base.withColumns({
         "action_id": pick(override.getField("action_id"), F.lit(spec.fallback_id), act).cast("int"),
         "action_name": pick(F.coalesce(override.getField("action_name"), F.lit("unknown")), F.lit(spec.fallback_name), F.get(names, act)),

@@ -21,6 +21,7 @@ from .encode import PAD, encode_tokens
 class DecisionSpec:
     """What counts as an action, where it may be taken and how cases are rewarded."""
 
+    # fixed values: default action names and the reward mode
     actions: tuple[str, ...] = ("do_nothing", "contact_headquarters")
     trigger: str = "contact_headquarters"
     noop: str = "do_nothing"
