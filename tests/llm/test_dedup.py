@@ -73,6 +73,9 @@ def test_int8_bound_never_loses_a_pair():
     base = draw.normal(size=(40, 64))
     x = np.concatenate([base + draw.normal(scale=s, size=base.shape) for s in (0.1, 0.26, 0.28, 0.3, 0.5)])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for scale in (1e-200, 1e200):
+        a, b = embeddings.similar_pairs(x[:50] * scale, x[:50], 0.93)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(u[:50] @ u[:50].T >= 0.93)), strict=True))
     want = set(zip(*map(list, np.nonzero(u @ u.T >= 0.93)), strict=True))
     a, b = embeddings.similar_pairs(x, x, 0.93)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
@@ -104,15 +107,20 @@ def test_against_sql(spark, sf, name):
 
 def test_lines_of_awkward_rows(spark):
     out = linededup.dedup_lines(docs(spark, AWKWARD))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "component_id", "n_lines", "n_dropped"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "th", "component_id", "n_lines", "n_dropped"]
     got = {}
     for r in out.collect():
+        assert (r.score, r.th, r.component_id) == ("x", "y", -1)
         got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
     assert got[3] == [("  SHARED line of text\t\nown words here are long", 2, 0)]
     assert got[5] == [("one two three four five six", 3, 2)] * 2
     assert got[6] == [("", 1, 1)] and got[8] == [("", 1, 0)] and got[7] == [("\n\n", 3, 0)]
     assert got[None] == [("shared line of text\nnobody", 2, 0)]
     assert linededup.dedup_lines(docs(spark, AWKWARD).limit(0)).count() == 0
+    odd = docs(spark, AWKWARD).selectExpr("doc_id", "text", "'a' as words", "'b' as `lines`", "'c' as kept", "'d' as `dense`", "'e' as `a.b`", "'f' as N_LINES")
+    assert {tuple(r)[2:7] for r in linededup.dedup_lines(odd).collect()} == {tuple("abcde")}
+    bare = linededup.dedup_lines(docs(spark, AWKWARD).select("text", "doc_id"))
+    assert bare.columns == ["text", "doc_id", "n_lines", "n_dropped"] and bare.count() == len(AWKWARD)
 
 
 def test_a_hot_line_over_many_partitions(spark):

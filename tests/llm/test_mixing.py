@@ -131,8 +131,11 @@ def check_packing(rows, capacity):
 def test_packing_near_the_bound(spark, group):
     draw = np.random.default_rng(12)
     lengths = np.minimum(draw.lognormal(3.2, 0.8, 900).astype(int) + 1, 100).tolist()
-    table = spark.createDataFrame([(i % 50, 0, n, "k") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, extra string").repartition(4)
-    rows = packing.pack(table, capacity=100, group=group).collect()
+    table = spark.createDataFrame(
+        [(i % 50, 0, n, "k", "l", "m") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, bin string, room string, offset string").repartition(4)
+    packed = packing.pack(table, capacity=100, group=group)
+    rows = packed.collect()
+    assert packed.columns == ["doc_id", "piece", "length", "bin", "room", "offset", "sequence_id"] and {(r.bin, r.room) for r in rows} == {("k", "l")}
     assert Counter(r.length for r in rows) == Counter(lengths)
     bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
     assert check_packing(rows, 100) <= bound + 1 + 0.01 * bound
@@ -200,6 +203,16 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert sum(r.length for r in rows) == sum(len(ids(r.text)) + 1 for r in mixed.select(F.coalesce("text", F.lit("")).alias("text")).collect())
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    added = {"score": "a", "predicted": "b", "words": "c", "n_lines": "d", "th": "e", "fp": "f", "component_id": "g", "taken": "h", "shard": "i", "_rest": "j", "_row": "k"}
+    table = spark.read.parquet(f"{sf}/documents.parquet").withColumns({k: F.lit(v) for k, v in added.items()})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf).cache()
+        assert out.columns == table.columns and [tuple(r) for r in out.select(*added).distinct().collect()] == [tuple(added.values())]
+        table = out
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() >= table.count() > 0
+
+
 def test_pipeline_of_an_empty_table(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

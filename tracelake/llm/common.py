@@ -40,6 +40,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def bundled(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns ``apart`` and a struct ``_rest`` of all others, whose names cannot clash any more."""
+    return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in apart]).alias("_rest"))
+
+
+def unbundled(docs: DataFrame, names: list[str], **apart: Column) -> DataFrame:
+    """The columns ``names`` in order: those in ``apart`` as given there, the others as they were bundled."""
+    return docs.select(*[(apart[c.lower()] if c.lower() in apart else F.col(f"_rest.`{c}`")).alias(c) for c in names])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -32,7 +32,9 @@ def similar_pairs(left: np.ndarray, right: np.ndarray, threshold: float) -> tupl
     are computed again from the vectors. The integer products are exact: int8 codes are multiplied as
     float32 while every sum stays below 2^24, as float64 for longer vectors.
     """
-    units = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right)]
+    # by the largest component first, so that no square overflows or vanishes
+    units = [x / np.abs(x).max(axis=1, keepdims=True) for x in (left, right)]
+    units = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in units]
     (q, s, e), (p, t, f) = (quantise(u) for u in units)
     kind = np.float32 if left.shape[1] * 127 * 127 < 1 << 24 else np.float64
     rows, cols = [], []

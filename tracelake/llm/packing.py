@@ -102,7 +102,7 @@ def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     lengths = pdf["length"].to_numpy()
     bins, offsets, left = best_fit(lengths, capacity)
     bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-    return pdf.assign(bin=bins, offset=offsets, room=left[bins], bins=len(left), bound=bound)
+    return pdf.assign(_bin=bins, _offset=offsets, _room=left[bins], _bins=len(left), _bound=bound)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 6) -> DataFrame:
@@ -114,18 +114,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     items, full bins stay, and the items of bins with room are exchanged: they are dealt anew into
     fewer groups and packed again. It ends when certified, when one group is left, when a round gains
     nothing, or after ``rounds`` rounds. Items are dealt by their row number in a stored table, so
-    neither equal lengths nor repeated ids fill one group. An empty table gives no row.
+    neither equal lengths nor repeated ids fill one group. An empty table gives no row. Columns named
+    sequence_id or offset are replaced.
     """
-    names = items.columns
+    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    items = items.select(*[F.col(f"`{c}`") for c in names])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    packed_type = f"{fields}, _group int, bin long, offset long, room long, bins long, bound long"
+    packed_type = f"{fields}, _group int, _bin long, _offset long, _room long, _bins long, _bound long"
     done = [items.where(F.col("length") == capacity).select(
         *names, F.lit(0).cast("long").alias("offset"), (F.monotonically_increasing_id() * 2).alias("sequence_id"))]
 
     def placed(packed: DataFrame, base: int) -> DataFrame:
         # odd ids: a group has far fewer than 2^22 bins
-        number = (F.lit(base).cast("long") + F.col("_group")) * F.lit(1 << 22) + F.col("bin")
-        return packed.select(*names, "offset", (number * 2 + 1).alias("sequence_id"))
+        number = (F.lit(base).cast("long") + F.col("_group")) * F.lit(1 << 22) + F.col("_bin")
+        return packed.select(*names, F.col("_offset").alias("offset"), (number * 2 + 1).alias("sequence_id"))
 
     rest = items.where(F.col("length") < capacity)
     histogram = np.zeros(capacity + 1, np.int64)
@@ -139,7 +141,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         row = F.monotonically_increasing_id()
         dealt = rest.withColumn("_group", F.pmod(row + F.shiftright(row, 33), F.lit(groups)).cast("int"))
         packed = stored_table(dealt.groupBy("_group").applyInPandas(lambda pdf: pack_group(pdf, capacity), packed_type))
-        bins = packed.groupBy("_group").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+        bins = packed.groupBy("_group").agg(F.first("_bins").alias("_bins")).agg(F.sum("_bins")).first()[0]
         if before is not None and closed + bins > before:
             done.append(earlier)
             break
@@ -147,10 +149,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         if closed + bins <= target or groups == 1 or not gained or turn == rounds - 1:
             done.append(placed(packed, base))
             break
-        full, rest = packed.where("room = 0"), packed.where("room > 0").select(*names)
+        full, rest = packed.where("_room = 0"), packed.where("_room > 0").select(*names)
         done.append(placed(full, base))
-        earlier = placed(packed.where("room > 0"), base)
-        before, closed = closed + bins, closed + full.select("_group", "bin").distinct().count()
+        earlier = placed(packed.where("_room > 0"), base)
+        before, closed = closed + bins, closed + full.select("_group", "_bin").distinct().count()
         base, total = base + groups, rest.count()
         groups = -(-total // group)
     return reduce(DataFrame.unionByName, done)

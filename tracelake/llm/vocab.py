@@ -9,8 +9,9 @@ import numpy as np
 
 from .common import vocabulary
 
-#: Entries a worker remembers; the memory is emptied when it is full.
+#: Entries a worker remembers; the memory is emptied when it is full. Longer stretches are not remembered.
 REMEMBER = 250_000
+LONG = 64
 #: The pre-tokenizer's split pattern of the vocabulary file, spelled out for lower-case Latin-1 text.
 PIECE = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc\xbd\xbe]"
@@ -59,7 +60,8 @@ class WordIds:
         ids = np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
         if len(self.pieces) >= REMEMBER:
             self.pieces.clear()
-        self.pieces[piece] = ids
+        if len(piece) <= LONG:
+            self.pieces[piece] = ids
         return ids
 
     def word(self, word: str) -> bytes:
@@ -80,9 +82,12 @@ class WordIds:
             new = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if len(known) >= REMEMBER:
             known.clear()
+        own: dict[str, bytes] = {}
         for w in set(stretches).difference(known):
-            known[w] = new(w)
-        return b"".join(map(known.__getitem__, stretches))
+            (known if len(w) <= LONG else own)[w] = new(w)
+        if not own:
+            return b"".join(map(known.__getitem__, stretches))
+        return b"".join([own[w] if w in own else known[w] for w in stretches])
 
 
 @cache
