@@ -35,6 +35,12 @@ def test_duplicates_are_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(QUERIES["clean_dedupe"](spark, sf))
 
 
+@pytest.mark.parametrize("name, most", [("split_random", 0), ("ope_bootstrap", 0), ("ope_policies", 2), ("surrogate_fidelity", 2), ("guard_decisions", 1)])
+def test_scans_of_the_log(spark, sf, name, most):
+    """Upstream work is stored once; what is left in the plan reads the log this often."""
+    assert plan(QUERIES[name](spark, sf)).count("events.parquet") <= most
+
+
 @pytest.mark.parametrize("name", ["transitions", "split_profile", "greedy_policy", "ope_policies", "case_features", "prefixes_left", "daily_metrics", "guard_decisions"])
 def test_no_cartesian_and_no_python_in_the_plan(spark, sf, name):
     p = plan(QUERIES[name](spark, sf))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranking import percentiles
+from ..session import stored
 from .distill import Rules
 
 
@@ -25,9 +26,9 @@ class GuardSpec:
 
 
 def stats_column(stats: DataFrame) -> Column:
-    """(feature, mean, std) as a map literal read once; one entry per feature."""
+    """(feature, mean, std) as a stored one-row map, computed once for all z-scores; one entry per feature."""
     entries = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std"))))
-    return stats.agg(entries.alias("m")).scalar()
+    return stored(stats.agg(entries.alias("m"))).scalar()
 
 
 def feature_row(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -78,7 +78,7 @@ def bootstrap(steps: DataFrame, replicates: int = 200, seed: int = 42, method: s
     # one row per policy and case; everything below reads this table and not the log
     sums = stored_table(case_sums(steps, group))
     if method == "multinomial":
-        ranked = hash_rank(stored_table(sums.select(CASE).distinct()), f"{seed}:order", [CASE], rank="_rank", size="_n")
+        ranked = hash_rank(sums.select(CASE).distinct(), f"{seed}:order", [CASE], rank="_rank", size="_n")
         ordinals = ranked.select(CASE, (F.col("_rank") - 1).alias("i"), F.col("_n"))
         draws = ordinals.select("i", "_n").repartition(tasks, "i").select("i", "_n", each.alias("b")).select(
             "b", (hash_long(seeded_md5(seed, "b", "i")) % F.col("_n")).alias("i"))

@@ -24,7 +24,8 @@ def hash_rank(
     """Rank rows 1..n in seeded random order, per ``by`` group if given.
 
     The digest prefix splits every group into 16^digits even buckets that keep the order, so a group
-    holding most rows is still ranked by thousands of tasks. Bucket counts give the offsets.
+    holding most rows is still ranked by thousands of tasks. Bucket counts give the offsets. The rows
+    ranked inside their buckets are stored, so that counting them does not compute ``df`` once more.
     """
     by = list(by)
     # a struct key equals itself even where a field is NULL, so window and join share one partitioning
@@ -32,14 +33,15 @@ def hash_rank(
     hashed = df.withColumn("_h", seeded_md5(seed, *keys)).withColumn("_b", hash_bucket(F.col("_h"), digits))
     if by:
         hashed = hashed.withColumn("_g", F.struct(*by))
-    counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_h", *keys)
+    placed = stored_table(hashed.withColumn("_r", F.row_number().over(inside)).drop("_h"))
+    counts = placed.groupBy(*group, "_b").agg(F.max("_r").alias("_c"))
     # one row per (group, bucket): at most 16^digits rows in a window
     whole = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("_n"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_h", *keys)
-    joined = hashed.withColumn("_r", F.row_number().over(inside)).join(offsets, [*group, "_b"])
+    joined = placed.join(offsets, [*group, "_b"])
     out = [F.col(c) for c in df.columns] + [(F.col("_o") + F.col("_r")).alias(rank)]
     if size:
         out.append(F.col("_n").alias(size))
