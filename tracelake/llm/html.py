@@ -50,14 +50,16 @@ CLOSES = {
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-#: Elements and class or id words that never hold article text.
-CHROME = frozenset("head nav header footer aside form button script style noscript template select textarea iframe svg dialog menu".split())
+#: Elements that never hold article text, and class or id words of elements that do not unless most of the page's text is inside.
+CHROME = frozenset("head nav header footer aside button script style noscript template select textarea iframe svg dialog menu".split())
 CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|"
     r"sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that hold a piece of an article, not the whole.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th".split())
 
 LEXER = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -66,29 +68,44 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\
 
 
 @lru_cache(1 << 14)
-def _read_tag(tag: str) -> tuple[str, bool, bool, str, bool]:
-    """Name, whether it closes, whether it is chrome, the name with its first class or id, whether it is the article."""
+def _read_tag(tag: str) -> tuple[str, bool, int, str, bool]:
+    """Name, whether it closes, whether it is chrome (2 for certain, 1 by a name or as a form), the name with its first class or id, whether it is the article."""
     closing = tag.startswith("</")
     name = re.match(r"</?([^\s/>]+)", tag)[1].lower()
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(tag)} if not closing and " " in tag else {}
     words = f"{found.get('class', '')} {found.get('id', '')}"
-    chrome = (name in CHROME or bool(CHROME_WORDS.search(words)) or found.get("role", "").lower() in CHROME_ROLES
-              or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
+    role = found.get("role", "").lower()
+    certain = name in CHROME or role in CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     mark = re.sub(r"\d{3,}", "0", (found.get("class") or found.get("id") or "").split(" ")[0])
-    main = name in MAIN or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
+    main = name in MAIN or role == "main" or found.get("itemprop", "").lower() == "articlebody"
+    named = name == "form" or role == "form" or bool(CHROME_WORDS.search(words))
+    chrome = 2 if certain or named else 0
     return name, closing, chrome, f"{name}.{mark}" if mark else name, main
 
 
+class Doubt:
+    """An element that looks like chrome by its class, id or as a form; ``on`` as long as it does not hold the article."""
+
+    __slots__ = ("key", "on", "text", "main")
+
+    def __init__(self, key: int) -> None:
+        self.key, self.on, self.text, self.main = key, True, 0, 0
+
+
 class Node:
     """An open element."""
 
-    __slots__ = ("name", "path", "chrome", "main", "link")
+    __slots__ = ("name", "path", "certain", "doubts", "main", "link", "box")
 
-    def __init__(self, name: str, path: str, chrome: bool, main: bool, link: bool) -> None:
-        self.name, self.path, self.chrome, self.main, self.link = name, path, chrome, main, link
+    def __init__(self, name: str, path: str, certain: bool, doubts: tuple[Doubt, ...], main: bool, link: bool, box: str) -> None:
+        self.name, self.path, self.certain, self.doubts, self.main, self.link, self.box = name, path, certain, doubts, main, link, box
 
+    @property
+    def chrome(self) -> bool:
+        return self.certain or any(d.on for d in self.doubts)
 
-ROOT = Node("", "", False, False, False)
+
+ROOT = Node("", "", False, (), False, False, "")
 
 
 def events(page: str) -> Iterator[tuple]:
@@ -136,7 +153,9 @@ def events(page: str) -> Iterator[tuple]:
                 if stack[i].name not in INLINE and stack[i].name not in close:
                     break
         top = stack[-1]
-        node = Node(name, f"{top.path}>{mark}", top.chrome or chrome, top.main or main, top.link or name == "a")
+        path = f"{top.path}>{mark}"
+        node = Node(name, path, top.certain or chrome == 2, (*top.doubts, Doubt(_signed(_hash(path)))) if chrome == 1 else top.doubts, top.main or main, top.link or name == "a",
+                    top.box if name in INLINE or name in BLOCKS else path)
         yield "open", node
         if name == "br":
             yield "text", top, " "
@@ -146,14 +165,43 @@ def events(page: str) -> Iterator[tuple]:
         yield "text", stack[-1], page[at:]
 
 
+def judged(page: str, chromes: frozenset = frozenset(), cleared: frozenset = frozenset()) -> list[tuple]:
+    """The events of a page, with its doubtful elements judged: one that holds most of the text is no chrome.
+
+    What most pages of the group say of an element's path comes first. Text is that of long nodes, or of all where none is long. An article or main element outside that
+    has at least half as much text speaks against it.
+    """
+    found = list(events(page))
+    texts = [(e[1], len(e[2])) for e in found if e[0] == "text" and not e[1].certain and not e[1].link and len(e[2].split()) > SHORT]
+    if not any(n.doubts for n, _ in texts):
+        texts = texts or [(e[1], len(e[2].strip())) for e in found if e[0] == "text" and not e[1].certain and not e[1].link]
+    total = sum(n for _, n in texts)
+    mains = sum(n for node, n in texts if node.main)
+    for node, n in texts:
+        for d in node.doubts:
+            d.text += n
+            d.main += n * node.main
+    for node, _ in texts:
+        for d in node.doubts:
+            d.on = d.key in chromes or d.key not in cleared and not (d.text * 2 >= total and (mains - d.main) * 2 < d.text)
+    return found
+
+
+@lru_cache(1 << 14)
+def around(path: str) -> tuple[int, ...]:
+    """Hashes of the paths of an element and all around it, outermost first."""
+    names = path.split(">")
+    return tuple(_signed(_hash(">".join(names[:i]))) for i in range(1, len(names) + 1))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-def page_tokens(page: str) -> list[tuple[int, Node, str]]:
+def page_tokens(page: str, judge: bool = False) -> list[tuple[int, Node, str]]:
     """(token, node, text) in page order; token 0 is data. Text of the head is left out."""
     out = []
-    for e in events(page):
+    for e in judged(page) if judge else events(page):
         if e[0] == "open":
             out.append((_hash(e[1].path), e[1], ""))
         elif e[0] == "text" and not e[1].path.startswith(">html>head"):
@@ -235,6 +283,8 @@ def class_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     Kind 0: smallest and largest hash of the order of a class's tokens on a page; its occurrences must
     repeat one order without overlap. Kind 1: the same for the template slots it occurs in. Kind 2: for
     every slot, named by the template token before it, characters of data and of data inside links.
+    Kind 3: characters of its data inside article or main elements. Kind 4: smallest and largest slot of a
+    word that all pages have once. Kind 6: how often a doubtful element is chrome, and is there. Kind 100 and up: characters of data outside links in an element, by its depth.
     """
     seen: dict[tuple[int, int, int], list[int]] = {}
 
@@ -257,22 +307,36 @@ def class_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             orders: dict[int, list[int]] = {}
             places: dict[int, set[int]] = {}
             slot = 0
-            for token, node, text in page_tokens(page or ""):
+            doubts: set[Doubt] = set()
+            for token, node, text in page_tokens(page or "", judge=True):
                 token = _signed(token)
+                doubts.update(node.doubts if text else ())
                 of = member.get(token)
                 if of is None:
                     if text and not node.chrome:
                         v = seen.setdefault((group, 2, slot), [0, 0])
                         v[0] += len(text)
                         v[1] += len(text) * node.link
+                        if node.main:
+                            seen.setdefault((group, 3, slot), [0, 0])[0] += len(text)
+                        if not node.link:
+                            for depth, key in enumerate(around(node.box)):
+                                seen.setdefault((group, 100 + depth, key), [0, 0])[0] += len(text)
+                    continue
+                if of == root and text:
+                    note((group, 4, token), slot)
                     continue
                 if of == root and not text:
                     slot = token
                 orders.setdefault(of, []).append(token)
                 if of != root:
                     places.setdefault(of, set()).add(slot)
+            for d in doubts:
+                v = seen.setdefault((group, 6, d.key), [0, 0])
+                v[0] += d.on
+                v[1] += 1
             for of, order in orders.items():
-                n = size[of]
+                n = size[of] if of != root else len(order)
                 regular = len(order) % n == 0 and len(set(order[:n])) == n and order == order[:n] * (len(order) // n)
                 note((group, 0, of), _signed(_hash(str(order[:n] if regular else order))))
             for of, slots in places.items():
@@ -287,7 +351,10 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``root`` are the tokens that every page has once and in one order; they bound the slots. ``fixed``
     are the tokens of valid classes, the root's too, that nearly all pages have. ``links`` names the
-    slots whose data is mostly link text. A class is valid if all pages agree on its order and slots.
+    slots whose data is mostly link text, ``mains`` those whose data is mostly in article or main elements. If
+    these elements hold most of the group's data outside link slots, ``trusted`` says so and ``side`` names the other slots.
+    ``chromes`` and ``cleared`` are the paths of doubtful elements as most pages judge them. ``box`` is the innermost element below body that holds at least half of the data. A class is valid if all pages agree on
+    its order and slots; words that all pages have once need the same slot everywhere.
     """
     groups, classes = equivalence_classes(pages)
     known = classes.groupBy("group").agg(F.collect_list(F.struct("class", "once", "tokens")).alias("classes"))
@@ -295,23 +362,43 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     evidence = stored_table(read.mapInArrow(class_evidence, "group long, kind long, key long, lo long, hi long"))
     agreed = evidence.where("kind < 2").groupBy("group", F.col("key").alias("class"), "kind").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     valid = agreed.groupBy("group", "class").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("valid")).where("valid")
+    moved = evidence.where("kind = 4").groupBy("group", F.col("key").alias("token")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+    loose = moved.groupBy("group").agg(F.collect_list("token").alias("loose"))
     kept = classes.join(valid.drop("valid"), ["group", "class"]).groupBy("group").agg(
         F.flatten(F.collect_list(F.when(F.col("once"), F.col("tokens")))).alias("root"), F.flatten(F.collect_list(F.when(F.col("constant"), F.col("tokens")))).alias("fixed"))
-    slots = evidence.where("kind = 2").groupBy("group", "key").agg(F.sum("lo").alias("chars"), F.sum("hi").alias("linked"))
-    links = slots.where("linked * 2 > chars").groupBy("group").agg(F.collect_list("key").alias("links"))
-    return groups, dimension(kept.join(links, "group", "left"), FEW_TEMPLATES)
-
-
-def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozenset) -> str:
+    none = F.array().cast("array<bigint>")
+    kept = kept.join(loose, "group", "left").select("group", *[F.array_except(c, F.coalesce("loose", none)).alias(c) for c in ("root", "fixed")])
+    amount = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    slots = evidence.where("kind IN (2, 3)").groupBy("group", "key").agg(amount(2, "lo").alias("chars"), amount(2, "hi").alias("linked"), amount(3, "lo").alias("main"))
+    slots = slots.select("group", "key", "chars", "main", F.expr("linked * 2 > chars").alias("link"))
+    all_data = slots.where("NOT link").groupBy("group").agg(F.expr("sum(main) * 2 >= sum(chars)").alias("trusted"))
+    names = lambda where: F.collect_list(F.when(F.expr(where), F.col("key")))
+    told = slots.join(all_data, "group", "left").groupBy("group").agg(
+        names("link").alias("links"), names("NOT link AND main * 2 >= chars").alias("mains"), names("NOT link AND trusted AND main * 2 < chars").alias("side"),
+        F.coalesce(F.first("trusted"), F.lit(False)).alias("trusted"))
+    held = evidence.where("kind >= 100").groupBy("group", "kind", "key").agg(F.sum("lo").alias("chars"))
+    whole = held.where("kind = 100").select("group", F.col("chars").alias("total"))
+    # depth 0 is the page, 1 and 2 are html and body
+    votes = evidence.where("kind = 6").groupBy("group", "key").agg(F.expr("sum(lo) * 2 > sum(hi)").alias("chrome")).groupBy("group").agg(
+        names("chrome").alias("chromes"), names("NOT chrome").alias("cleared"))
+    boxes = held.where("kind > 102").join(whole, "group").where("chars * 2 >= total").groupBy("group").agg(F.max_by("key", "kind").alias("box"))
+    return groups, dimension(kept.join(told, "group", "left").join(boxes, "group", "left").join(votes, "group", "left"), FEW_TEMPLATES)
+
+
+def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozenset, mains: frozenset = frozenset(), side: frozenset = frozenset(),
+            chromes: frozenset = frozenset(), cleared: frozenset = frozenset(), trusted: bool = False, box: int | None = None) -> str:
     """Text of the slots that hold the article, one line for each block.
 
     Text inside navigation, headers, footers, asides, forms and the like is left out, also by their usual class names, and
-    so are short nodes that consist of template words only. If a page has an article or main element with text, only that is
-    the article; otherwise the slots are taken that are not mostly links.
+    so are short nodes that consist of template words only, but not inside the article: a trusted article or main element, or
+    the box. Slots are taken that are neither mostly links nor beside the article; of those that are mostly in article or main
+    elements, and of a page without template, only these elements. If that leaves out more text than it takes, the page is not like
+    its group and all slots are taken that are not mostly links.
     """
     blocks: list[tuple[str, bool, int]] = []
     now: list[tuple[str, bool]] = []
     slot = 0
+    mains = mains if root else frozenset((0,))
 
     def end_block() -> None:
         for main in (True, False):
@@ -320,7 +407,7 @@ def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozense
                 blocks.append((text, main, slot))
         now.clear()
 
-    for e in events(page or ""):
+    for e in judged(page or "", chromes, cleared):
         if e[0] == "break":
             end_block()
         elif e[0] == "open":
@@ -334,9 +421,12 @@ def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozense
             else:
                 now.append((entities.unescape(e[2]), e[1].main))
     end_block()
-    if any(main for _, main, _ in blocks):
-        return "\n".join(text for text, main, _ in blocks if main)
-    return "\n".join(text for text, _, slot in blocks if slot not in links)
+    blocks = [b for b in blocks if b[2] not in links or trusted and b[1]]
+    taken = [b for b in blocks if b[1] and trusted or b[2] not in side and (b[1] or b[2] not in mains)]
+    size = sum(len(text) for text, _, _ in taken)
+    if sum(len(text) for text, _, _ in blocks) > 2 * size:
+        taken = blocks
+    return "\n".join(text for text, _, _ in taken)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -351,19 +441,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     needed = pages.select("page_id", host_key(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     groups, known = templates(needed)
     joined = pages.withColumn("_host", host_key(F.col("url"))).join(groups.withColumnRenamed("host", "_host"), "_host", "left").withColumnRenamed("group", "_group").join(
-        known.select(F.col("group").alias("_group"), F.col("root").alias("_root"), F.col("fixed").alias("_fixed"), F.col("links").alias("_links")), "_group", "left")
+        known.select(F.col("group").alias("_group"), F.col("root").alias("_root"), *[F.col(c).alias(f"_{c}") for c in ("fixed", "links", "mains", "side", "chromes", "cleared", "trusted", "box")]), "_group", "left")
 
     @F.pandas_udf("string")
-    def run(html: pd.Series, group: pd.Series, root: pd.Series, fixed: pd.Series, links: pd.Series) -> pd.Series:
+    def run(html: pd.Series, group: pd.Series, *template: pd.Series) -> pd.Series:
         known: dict = {}
         out = []
-        for page, g, *template in zip(html, group, root, fixed, links, strict=True):
+        for page, g, *parts, trusted, box in zip(html, group, *template, strict=True):
             if g not in known:
-                known[g] = [frozenset(() if t is None else t) for t in template]
+                known[g] = [*(frozenset(() if t is None else t) for t in parts), trusted is True or trusted == 1, None if pd.isna(box) else int(box)]
             out.append(extract(page, *known[g]))
         return pd.Series(out, dtype=object)
 
-    text = run(F.col("html").cast("string"), "_group", "_root", "_fixed", "_links")
+    template = ["_root", "_fixed", "_links", "_mains", "_side", "_chromes", "_cleared", "_trusted", F.col("_box").cast("string")]
+    text = run(F.col("html").cast("string"), "_group", *template)
     return joined.select(*own, text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
