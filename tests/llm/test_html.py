@@ -57,3 +57,21 @@ def test_slots_decide_with_and_without_the_article_tag(spark):
     assert extracted(spark, rows) == want
 
 
+def test_shared_headings_of_articles_are_kept(spark):
+    for tag in ("article", "div"):
+        rows, want = built(5, 30, lambda inner, d, tag=tag: f"{MENU}<{tag} class=x2>{inner.replace('</h1>', '</h1><h2>Short summary</h2>')}</{tag}>{FOOT}")
+        want = {i: t.replace("\n", "\nShort summary\n", 1) for i, t in want.items()}
+        assert extracted(spark, rows) == want
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    rows, want = built(6, 2, lambda inner, d: f"<div class=x2>{inner}</div><p>{d.words(3)}</p>")
+    short = {i: re.search(r"<p>([a-h ]+)</p></body>", r[2])[1] for i, r in enumerate(rows)}
+    copies = [(100 + k, f"http://h.example/c{k}", rows[0][2]) for k in range(30)]
+    got = extracted(spark, rows + copies)
+    assert all(got[i] == f"{want[0 if i >= 100 else i]}\n{short[0 if i >= 100 else i]}" for i in got)
+    assert len(got) == 32
+    three = extracted(spark, [(i, "http://h.example/", rows[0][2]) for i in range(3)])
+    assert set(three.values()) == {f"{want[0]}\n{short[0]}"}
+
+

@@ -238,8 +238,8 @@ def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
     for part in slices(batches, 64):
-        for host, page_id, page in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-            identity = _hash(f"{page_id} {page or ''}")
+        for host, page in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
+            identity = _hash(page or "")
             counts = Counter(t for t, _, _ in page_tokens(page or ""))
             counts[0] = 1
             for token, n in counts.items():
@@ -255,6 +255,17 @@ def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
+def distinct_contents(pages: DataFrame) -> DataFrame:
+    """(host, html), each content of a host once. Only pages that have copies are shuffled."""
+    pages = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
+    copied = stored_table(pages.groupBy("host", F.xxhash64("html").alias("content")).count().where("count > 1").select("host", "content"))
+    if copied.isEmpty():
+        return pages
+    copied, keyed = dimension(copied), pages.withColumn("content", F.xxhash64("html"))
+    firsts = keyed.join(copied, ["host", "content"]).groupBy("host", "content").agg(F.first("html").alias("html"))
+    return keyed.join(copied, ["host", "content"], "left_anti").select("host", "html").unionByName(stored_table(firsts.select("host", "html")))
+
+
 def equivalence_classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, group) and (group, class, once, constant, tokens).
 
@@ -262,7 +273,7 @@ def equivalence_classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     of theirs. Kept are the classes of frequent tokens that are large, and the class of tokens that are on every page just
     once. A group keeps at most 1 / MIN_SHARE times the tokens of a mean page, whatever its size.
     """
-    rows = pages.select("host", "page_id", "html").mapInArrow(occurrence_rows, "host long, token long, pages long, times long, high long, low long")
+    rows = pages.select("host", "html").mapInArrow(occurrence_rows, "host long, token long, pages long, times long, high long, low long")
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "high", "low")]
     by_host = stored_table(rows.groupBy("host", "token").agg(*sums))
     own = by_host.where("token = 0").select("host", F.when(F.col("pages") >= FEW_PAGES, F.col("host")).alias("group"), F.col("pages").alias("n_pages"))
@@ -356,6 +367,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``chromes`` and ``cleared`` are the paths of doubtful elements as most pages judge them. ``box`` is the innermost element below body that holds at least half of the data. A class is valid if all pages agree on
     its order and slots; words that all pages have once need the same slot everywhere.
     """
+    pages = distinct_contents(pages)
     groups, classes = equivalence_classes(pages)
     known = classes.groupBy("group").agg(F.collect_list(F.struct("class", "once", "tokens")).alias("classes"))
     read = pages.join(groups, "host").join(dimension(known, FEW_TEMPLATES), "group").select("group", "html", "classes")
@@ -416,7 +428,8 @@ def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozense
                 slot = token
         elif not e[1].chrome:
             words = e[2].split()
-            if words and len(words) <= SHORT and fixed and all(_signed(_hash(f"{e[1].path} {w}")) in fixed for w in words):
+            inside = trusted and e[1].main or box is not None and box in around(e[1].path)
+            if words and len(words) <= SHORT and fixed and not inside and all(_signed(_hash(f"{e[1].path} {w}")) in fixed for w in words):
                 now.append((" ", e[1].main))
             else:
                 now.append((entities.unescape(e[2]), e[1].main))
