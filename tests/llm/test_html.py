@@ -75,3 +75,13 @@ def test_copies_of_a_page_are_one_page(spark):
     assert set(three.values()) == {f"{want[0]}\n{short[0]}"}
 
 
+def test_layout_names_and_page_wide_forms_are_no_chrome():
+    long, comment = "word " * 20, "other " * 15
+    for start, end in (("<div id=content class='content right-sidebar'>", "</div>"), ("<article class='post comment-open'>", "</article>"), ("<form>", "</form>"), ("<form><div class=with-nav>", "</div></form>")):
+        assert text_of(page(f"<nav>Menu</nav>{start}<p>{long}</p><div class=comments><p>short one</p></div>{end}")) == long.strip()
+    for body in ("<body class='has-sidebar'>", "<body class=no-sidebar>", "<body id=with-nav>"):
+        assert text_of(f"<html class=nav>{body}<p>{long}</p>") == long.strip()
+    assert text_of(page(f"<article><p>{long}</p></article><form>Your mail</form><div class=sidebar><p>{comment}</p></div>")) == long.strip()
+    assert text_of(page("<article><p>Short text</p></article><div class=promo>Buy</div>")) == "Short text"
+
+

@@ -79,7 +79,7 @@ def _read_tag(tag: str) -> tuple[str, bool, int, str, bool]:
     mark = re.sub(r"\d{3,}", "0", (found.get("class") or found.get("id") or "").split(" ")[0])
     main = name in MAIN or role == "main" or found.get("itemprop", "").lower() == "articlebody"
     named = name == "form" or role == "form" or bool(CHROME_WORDS.search(words))
-    chrome = 2 if certain or named else 0
+    chrome = 2 if certain else int(named and not main and name not in ("html", "body"))
     return name, closing, chrome, f"{name}.{mark}" if mark else name, main
 
 
