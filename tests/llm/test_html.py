@@ -85,3 +85,12 @@ def test_layout_names_and_page_wide_forms_are_no_chrome():
     assert text_of(page("<article><p>Short text</p></article><div class=promo>Buy</div>")) == "Short text"
 
 
+def test_hosts_of_few_pages_have_their_own_template(spark):
+    rows, want = [], {}
+    for host, n in enumerate((3, 5, 19, 20)):
+        name = "".join("abcdefghij"[host] * 4)
+        body = lambda inner, d, name=name: f"<div class={name}1><a href=/>Start {name}</a></div><div class={name}2>{inner}</div><div class={name}4>Some notice by {name} here</div>"
+        some, texts = built(10 + host, n, body, f"http://{name}.example/{{}}")
+        rows += [(1000 * host + i, u, h) for i, u, h in some]
+        want |= {1000 * host + i: t for i, t in texts.items()}
+    assert extracted(spark, rows) == want

@@ -26,8 +26,8 @@ from .common import slices
 
 #: Text nodes of more words are data; their words are no tokens.
 SHORT = 12
-#: Hosts with fewer pages are pooled, because few pages cannot tell template from data.
-FEW_PAGES = 20
+#: Hosts with fewer distinct pages are pooled; three that agree tell template from data.
+FEW_PAGES = 3
 #: A class needs this share of the host's pages and this many tokens.
 MIN_SHARE = 0.5
 MIN_TOKENS = 3
