@@ -50,6 +50,19 @@ def unbundled(docs: DataFrame, names: list[str], **apart: Column) -> DataFrame:
     return docs.select(*[(apart[c.lower()] if c.lower() in apart else F.col(f"_rest.`{c}`")).alias(c) for c in names])
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever else the table holds: names with dots or in other case."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(places, names, strict=True)])
+
+
+def finite_vectors(vectors: DataFrame, vec_id: str, embedding: str, *others: str) -> DataFrame:
+    """(vec_id, vec) and the columns ``others`` of rows whose vector is there with finite components only."""
+    rows = picked(vectors, vec_id, embedding, *others).withColumnsRenamed({vec_id: "vec_id", embedding: "vec"})
+    whole = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return rows.withColumn("vec_id", F.col("vec_id").cast("long")).where(F.col("vec").isNotNull() & whole)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, langid, linededup, mixing, packing, quality, simhash, tokens, winnow
+from . import divergence, embeddings, html, langid, linededup, lloyd, mixing, packing, quality, simhash, tokens, vptree, winnow
 
 QUERIES = {
     "op1_template_text": html.query,
@@ -15,5 +15,11 @@ QUERIES = {
     "op8_int8_vectors": embeddings.query,
     "op9_winnowing": winnow.query,
     "op10_line_dedup": linededup.query,
+    "op11_vantage_trees": vptree.query,
+    "op12_resident_lloyd": lloyd.query,
+    "op13_source_divergence": divergence.query,
+}
+ORACLES = {
+    "op8_int8_vectors": embeddings.ORACLE, "op10_line_dedup": linededup.ORACLE, "op11_vantage_trees": vptree.ORACLE,
+    "op12_resident_lloyd": lloyd.ORACLE, "op13_source_divergence": divergence.ORACLE,
 }
-ORACLES = {"op8_int8_vectors": embeddings.ORACLE, "op10_line_dedup": linededup.ORACLE}
