@@ -398,3 +398,9 @@ def test_upsert_replaces_days(spark):
     old = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, n int")
     new = spark.createDataFrame([("2024-01-02", 9), ("2024-01-03", 3)], "date string, n int")
     assert rows(monitor.upsert_daily(old, new)) == [("2024-01-01", 1), ("2024-01-02", 9), ("2024-01-03", 3)]
+
+
+def test_a_poisson_draw_hashes_once(spark):
+    rows = spark.range(10).select(F.col("id").alias("case_id"), F.col("id").alias("t"))
+    plan = values.replay_sample(rows, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1

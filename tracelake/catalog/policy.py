@@ -194,7 +194,7 @@ def fitted_q(spark, sf):
     return t.select("last_activity", "len_bin", "seen", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1")).select("last_activity", "len_bin", "seen", *r6("q0", "q1"))
 
 
-cte("unit", "SELECT *, ('0x' || substr(md5('7:' || case_id || ':' || t), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr_session", "tr_session")
+cte("unit", "SELECT *, ('0x' || substr(md5('7:' || case_id || ':' || t), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM tr_session", "tr_session")
 
 
 def _poisson_sql(u: str, rate: float = 1.0) -> str:
@@ -279,7 +279,7 @@ def ope_bootstrap(spark, sf):
 
 
 cte("pboot", f"""SELECT policy, b, sum(m * s_dr) / sum(m * n) AS dr, sum(m * s_rr) / CASE WHEN sum(m * s_rho) > 0 THEN sum(m * s_rho) ELSE 1.0 END AS wis FROM
-    (SELECT *, {_poisson_sql('u')} AS m FROM (SELECT *, ('0x' || substr(md5('42:' || b || ':' || case_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM csum, range(0, 200) r(b)))
+    (SELECT *, {_poisson_sql('u')} AS m FROM (SELECT *, ('0x' || substr(md5('42:' || b || ':' || case_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM csum, range(0, 200) r(b)))
     WHERE m > 0 GROUP BY ALL""", "csum")
 
 

@@ -23,8 +23,8 @@ def hash_long(digest: Column) -> Column:
 
 
 def hash_unit(seed: int | str, *keys: Column | str) -> Column:
-    """Uniform number in [0, 1)."""
-    return hash_int(seeded_md5(seed, *keys)) / F.lit(4294967296.0)
+    """Uniform number from 60 bits of a digest, as fine as a double holds."""
+    return hash_long(seeded_md5(seed, *keys)) / F.lit(float(1 << 60))
 
 
 def hash_bucket(digest: Column, digits: int = 3) -> Column:

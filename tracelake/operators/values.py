@@ -308,8 +308,12 @@ def poisson_steps(rate: float) -> list[float]:
 
 
 def poisson_count(u: Column, rate: float) -> Column:
-    """Poisson(rate) by inverting the distribution at u, without an upper limit for u < 1."""
-    return F.size(F.filter(F.array(*[F.lit(s) for s in poisson_steps(rate)]), lambda s: s <= u))
+    """Poisson(rate) by inverting the distribution at u, without an upper limit for u < 1.
+
+    The lambda binds the number once; written into the filter itself, its digest would be computed per step.
+    """
+    steps = F.array(*[F.lit(s) for s in poisson_steps(rate)])
+    return F.transform(F.array(u), lambda x: F.size(F.filter(steps, lambda s: s <= x)))[0]
 
 
 def balanced_weights(df: DataFrame, n_actions: int) -> DataFrame:
