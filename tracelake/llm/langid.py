@@ -43,13 +43,22 @@ def ngram_features(text: str) -> np.ndarray:
     return f / np.linalg.norm(f)
 
 
+#: Languages up to which every split of them has a column.
+EXHAUSTIVE = 7
+
+
 def codewords(k: int, seed: int = 42) -> np.ndarray:
-    """k codewords of -1 and 1: the exhaustive code up to five languages, else seeded columns that split them."""
-    if k <= 5:
+    """k different codewords of -1 and 1: the exhaustive code up to seven languages, else seeded columns that split them in halves.
+
+    Beyond seven languages there are more halves than columns asked for (35 for eight), so the draw ends; columns are
+    added until all rows differ, which 8 log2 k random halves hardly ever need.
+    """
+    if k <= EXHAUSTIVE:
         return np.array([[1 if i == 0 or not (b >> (i - 1)) & 1 else -1 for b in range(1, 1 << max(0, k - 1))] for i in range(k)], np.int8).reshape(k, -1)
     draw = np.random.default_rng(seed)
     columns: set[tuple[int, ...]] = set()
-    while len(columns) < 8 * int(np.ceil(np.log2(k))):
+    wanted = 8 * int(np.ceil(np.log2(k)))
+    while len(columns) < wanted or len({row.tobytes() for row in np.array(sorted(columns), np.int8).T}) < k:
         column = draw.permutation([1] * (k // 2) + [-1] * (k - k // 2))
         columns.add(tuple((column * column[0]).tolist()))
     return np.array(sorted(columns), np.int8).T
