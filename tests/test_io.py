@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tracelake.sources import readers, writers
+from tracelake.sources.generations import GenerationStore
 from tracelake.streaming import feedback as fstream
 from tracelake.streaming import metrics as mstream
 
@@ -110,24 +111,36 @@ def test_feedback_stream_extends_cases(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).json(src)
-        fstream.start_consolidation(stream, store, out, ck, ["x"]).awaitTermination()
+        fstream.start_consolidation(stream, GenerationStore(store), out, ck, ["x"]).awaitTermination()
         return rows(fstream.read_transitions(spark, out), "t", "s", "s_next", "a")
 
     add([1, 2])
     assert run() == [(1, [1.0], [2.0], 1)]
     add([3])
     assert run() == [(1, [1.0], [2.0], 1), (2, [2.0], [3.0], 0)]
-    assert fstream.consolidate(spark, store, ["x"]).count() == 2
-
-
-def test_feedback_batch_reads_the_buckets_of_its_cases(spark, tmp_path):
-    store = str(tmp_path / "store")
-    for batch, cases in ((0, range(60)), (1, [7])):
-        fb = spark.createDataFrame([(str(c), batch) for c in cases], "case_id string, t int")
-        fb.withColumn("bucket", fstream.bucket()).write.partitionBy("bucket").parquet(f"{store}/batch={batch}")
-    found = fstream.touched_rows(spark, store, 1)
-    assert rows(found, "case_id", "t") == [("7", 0), ("7", 1)]
-    bucket = spark.createDataFrame([("7",)], "case_id string").select(fstream.bucket()).first()[0]
-    read = {f for f in found.inputFiles()}
-    plan = found._jdf.queryExecution().toString()
-    assert read and f"(bucket#" in plan and f"= {bucket})" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0] + "]"
+    assert fstream.consolidate(fstream.stored_feedback(spark, GenerationStore(store), schema), ["x"]).count() == 2
+
+
+def test_generations_bound_what_a_batch_lists(spark, tmp_path):
+    store = GenerationStore(str(tmp_path / "store"), buckets=3, fan=3)
+    schema, sent, most = "case_id string, t int", [], 0
+    for version in range(14):
+        batch = [(str(c), version) for c in range(version % 5, 12)]
+        sent += batch
+        keys = store.append(spark.createDataFrame(batch, schema), version, F.xxhash64("t"))
+        assert rows(keys, "case_id") == sorted((c,) for c, _ in batch)
+        live = store.live(spark, version)
+        # fewer than ``fan`` folders per bucket and level: 14 versions of 3 buckets would be 42
+        assert all(sum(f.bucket == b and f.level == k for f in live) < 3 for b in range(3) for k in range(4))
+        most = max(most, len(live))
+    assert most <= 3 * 2 * 3
+    assert store.latest(spark) == 13
+    assert rows(store.read(spark, schema, 13)) == sorted(sent, key=str)
+    touched = store.read(spark, schema, 13, [1])
+    assert rows(touched) == sorted((r for r in sent if r[0] in {x[0] for x in rows(touched)}), key=str)
+    # folders on disk belong to the last three versions, merged ones included
+    named = {f.name for v in (12, 13) for f, _ in store._manifest(spark, v)}
+    assert {f"data/{p.parent.name}/{p.name}" for p in (tmp_path / "store/data").glob("*/bucket=*")} <= named
+    # a replay of the last version replaces it
+    store.append(spark.createDataFrame([("x", 1)], schema), 13)
+    assert ("x", 1) in rows(store.read(spark, schema, 13)) and store.read(spark, schema, 13).where("t = 13").count() == 0

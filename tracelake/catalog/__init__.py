@@ -1,6 +1,6 @@
 """All registered queries and the SQL they are checked against."""
 
-from . import data, explaining, policy, serving  # noqa: F401
+from . import data, explaining, policy, serving, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,7 @@ from ..operators import cases, clean, distill, explain, guard, monitor, ope, spl
 from ..plans.sequence import ordered
 from ..session import scratch_dir, stored
 from ..sources import readers, views, writers
+from ..sources.generations import GenerationStore
 from ..streaming import decisions as dstream
 from ..streaming import feedback as fstream
 from ..streaming import metrics as mstream
@@ -460,7 +461,7 @@ def stream_feedback(spark, sf):
     path, store, out, ck = (scratch_dir(spark, n) for n in ("fb-log", "fb-store", "fb-out", "fb-ck"))
     writers.append_jsonl(views.feedback(spark, sf), path)
     stream = readers.read_feedback(spark, path, streaming=True).drop("_corrupt_record")
-    fstream.start_consolidation(stream, store, out, ck, ["value", "prefix_len"]).awaitTermination()
+    fstream.start_consolidation(stream, GenerationStore(store), out, ck, ["value", "prefix_len"]).awaitTermination()
     return fstream.read_transitions(spark, out).select(F.col("case_id").cast("long").alias("case_id"), "t", render(F.col("s")).alias("s"), "a", "r")
 
 
@@ -470,9 +471,9 @@ cte("fb_week", """SELECT *, lead(t) OVER w AS next_t, lead(value) OVER w AS nv,
 
 
 def _weekly(spark, sf, min_cases):
-    store = scratch_dir(spark, "fb-store")
-    views.feedback(spark, sf).write.parquet(store)
-    out = fstream.consolidate(spark, store, ["value", "prefix_len"], since="2024-01-08", until="2024-01-15", min_cases=min_cases)
+    store, rows = GenerationStore(scratch_dir(spark, "fb-store")), views.feedback(spark, sf)
+    store.append(rows, 0, F.xxhash64("t"))
+    out = fstream.consolidate(fstream.stored_feedback(spark, store, rows.schema), ["value", "prefix_len"], since="2024-01-08", until="2024-01-15", min_cases=min_cases)
     return out.select("case_id", "t", render(F.col("s")).alias("s"), render(F.col("s_next")).alias("s_next"), "a", "r")
 
 

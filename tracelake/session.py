@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def build_session(app: str = "tracelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started.
+
+    Executors on other machines get it as usual, by an installed package or --py-files.
+    """
+    known = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder for stages and checkpoints, which every executor must reach.
 

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.transitions import feedback_transitions
+from ..sources.generations import GenerationStore
 
-#: Folders of the store by a hash of the case; a batch reads those of its own cases.
-BUCKETS = 256
 
-
-def consolidate(spark: SparkSession, store: str, features: Sequence[str], since: str | None = None, until: str | None = None, min_cases: int = 1) -> DataFrame:
-    """Transitions of the stored feedback, optionally of one half-open time range (a week)."""
-    rows = spark.read.parquet(store).drop("bucket", "batch")
+def consolidate(rows: DataFrame, features: Sequence[str], since: str | None = None, until: str | None = None, min_cases: int = 1) -> DataFrame:
+    """Transitions of feedback rows, optionally of one half-open time range (a week)."""
     if since:
         rows = rows.where(F.col("timestamp") >= F.to_timestamp(F.lit(since)))
     if until:
@@ -24,29 +22,23 @@ def consolidate(spark: SparkSession, store: str, features: Sequence[str], since:
     return feedback_transitions(rows, features, min_cases)
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64(F.col("case_id").cast("string")), F.lit(BUCKETS)).cast("int")
-
-
-def touched_rows(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
-    """Everything stored of the cases of one batch."""
-    cases = spark.read.parquet(f"{store}/batch={batch_id}").select("case_id", "bucket").distinct()
-    buckets = [r[0] for r in cases.select("bucket").distinct().collect()]  # at most BUCKETS
-    stored = spark.read.parquet(store).where(F.col("bucket").isin(buckets))
-    return stored.drop("bucket", "batch").join(cases.select("case_id"), "case_id", "left_semi")
+def stored_feedback(spark: SparkSession, store: GenerationStore, schema: T.StructType | str) -> DataFrame:
+    """Everything stored so far."""
+    return store.read(spark, schema, store.latest(spark))
 
 
-def start_consolidation(stream: DataFrame, store: str, out: str, checkpoint: str, features: Sequence[str], available_now: bool = True) -> StreamingQuery:
+def start_consolidation(stream: DataFrame, store: GenerationStore, out: str, checkpoint: str, features: Sequence[str], available_now: bool = True) -> StreamingQuery:
     """Each batch is stored, then the cases it touches are rebuilt from what is stored of them.
 
-    Folders are named by batch and overwritten on replay. Untouched cases are not recomputed, and
-    only the buckets of touched cases are read.
+    Versions are batch numbers and replaced on replay. Untouched cases are not recomputed; the folders of
+    the touched buckets come from the store's manifest, so a batch lists no history.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
-        rows = touched_rows(spark, store, batch_id)
+        keys = store.append(batch, batch_id, F.xxhash64("t")).distinct()
+        touched = [r[0] for r in keys.select("bucket").distinct().collect()]  # at most as many as the store has buckets
+        rows = store.read(spark, batch.schema, batch_id, touched).join(keys.select("case_id"), "case_id", "left_semi")
         feedback_transitions(rows, features).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
