@@ -37,6 +37,22 @@ def test_xes_plain_and_gzip(spark, tmp_path):
         assert got == [("case-1", None, "A", "complete", None), ("case-1", None, "B", None, "7"), ("case-2", "2.5", "A", None, None)]
 
 
+def test_a_long_trace_is_read_by_several_tasks(spark, tmp_path):
+    events = "".join(f'<event>\n<string key="concept:name" value="a&amp;{i}"/><date key="time:timestamp" value="2024-01-01T00:00:00Z"/>\n</event>\n' for i in range(9000))
+    traces = [("first", 3), ("none", 0), ("long", 9000), ("last", 2)]
+    inside = "".join(f'<trace>\n<string key="concept:name" value="{n}"/>\n' + "".join(events.split("</event>\n")[i] + "</event>\n" for i in range(k)) + "</trace>\n" for n, k in traces)
+    (tmp_path / "x.xes").write_text(f"<log>\n<global scope='event'><string key='concept:name' value='?'/></global>\n{inside}</log>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        df = readers.read_xes(spark, str(tmp_path / "x.xes"), ("concept:name",))
+        got = rows(df, "`case:concept:name`", "`concept:name`")
+        assert spark.read.text(str(tmp_path / "x.xes")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(((n, f"a&{i}") for n, k in traces for i in range(k)), key=str)
+
+
 def test_decision_log_skips_blank_and_keeps_bad_lines(spark, tmp_path):
     good = {"timestamp": "2024-01-01T10:00:00Z", "request_id": "r1", "case_id": "c", "t": 1, "action_id": 0, "source": "surrogate", "confidence": 0.9, "ood": False, "latency_ms": 1.5}
     late = dict(good, request_id="r2", timestamp="2024-02-01T00:00:00Z")

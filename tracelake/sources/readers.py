@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.sizing import dimension
+from ..session import stored_table
+
 EVENT_SCHEMA = "case_id string, activity string, timestamp string"
 
 # fixed values: record layouts of the two append-only logs and of decision requests
@@ -23,9 +26,8 @@ REQUEST_SCHEMA = (
     "count_validate_application:int,count_skip_contact:int,count_contact_headquarters:int>, "
     "valid_actions array<int>, override struct<action_id:int,action_name:string,reason:string>, _corrupt_record string")
 _ATTR = "array<struct<_key:string,_value:string>>"
-XES_SCHEMA = (
-    f"string {_ATTR}, date {_ATTR}, int {_ATTR}, float {_ATTR}, boolean {_ATTR}, "
-    f"event array<struct<string:{_ATTR},date:{_ATTR},int:{_ATTR},float:{_ATTR},boolean:{_ATTR}>>")
+_KINDS = ("string", "date", "int", "float", "boolean")
+XES_SCHEMA = ", ".join(f"{k} {_ATTR}" for k in _KINDS)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, **options) -> DataFrame:
@@ -39,16 +41,39 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def read_xes(spark: SparkSession, path: str, event_keys: Sequence[str] = ("concept:name", "time:timestamp", "lifecycle:transition"), case_keys: Sequence[str] = ("concept:name",)) -> DataFrame:
-    """XES (or .gz): one row per event, event attributes by key, trace attributes as ``case:<key>``."""
-    traces = spark.read.format("xml").option("rowTag", "trace").schema(XES_SCHEMA).load(path)
-    kinds = ("string", "date", "int", "float", "boolean")
+    """XES: one row per event, event attributes by key, trace attributes as ``case:<key>``.
 
-    def pick(key: str, owner: str = ""):
-        found = [F.get(F.filter(F.col(f"{owner}{k}"), lambda a: a["_key"] == key), F.lit(0)).getField("_value") for k in kinds]
+    Files are read in blocks and cut at ``<event>``, so a trace of any length is read by several tasks. What stands
+    between the end of an event and the next one tells whether a trace begins; the attributes of the latest trace are
+    carried down the rows of a block and, through one summary row per block, into the blocks after it. Trace attributes
+    stand before the events, as the format has it. An ``<event/>`` without attributes is no event. A .gz file is one block.
+    """
+    # a record is an event, its end tag and whatever follows up to the next event; the first one is the head of the file
+    text = spark.read.option("lineSep", "<event>").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    body, end = F.substring_index("value", "</event>", 1), "</event>"
+    is_event = F.contains("value", F.lit(end))
+    rest = F.when(is_event, F.expr(f"substring(value, instr(value, '{end}') + {len(end)})")).otherwise(F.col("value"))
+    opened = F.element_at(F.split(rest, "<trace(?=[ >])[^>]*>"), -1)
+
+    def parsed(tag: str, inside):
+        return F.from_xml(F.concat(F.lit(f"<{tag}>"), inside, F.lit(f"</{tag}>")), XES_SCHEMA)
+
+    cut = text.select(
+        "_file", "_block", F.monotonically_increasing_id().alias("_at"), F.when(is_event, parsed("event", body)).alias("e"),
+        F.when(F.regexp_like(rest, F.lit("<trace[ >]")), parsed("trace", F.substring_index(opened, "</trace>", 1))).alias("c"))
+    records = stored_table(cut)
+    block = Window.partitionBy("_file", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = records.groupBy("_file", "_block").agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("_at"))).alias("c"))
+    carried = last.select("_file", "_block", F.last("c", ignorenulls=True).over(earlier).alias("before"))
+    rows = records.withColumn("_own", F.last("c", ignorenulls=True).over(block)).where(F.col("e").isNotNull())
+    rows = rows.join(dimension(carried), ["_file", "_block"]).withColumn("_trace", F.coalesce("_own", "before"))
+
+    def pick(key: str, owner: str):
+        found = [F.get(F.filter(F.col(f"{owner}.{k}"), lambda a: a["_key"] == key), F.lit(0)).getField("_value") for k in _KINDS]
         return F.coalesce(*found)
 
-    events = traces.select(*[pick(k).alias(f"case:{k}") for k in case_keys], F.explode("event").alias("e"))
-    return events.select(*[F.col(f"`case:{k}`") for k in case_keys], *[pick(k, "e.").alias(k) for k in event_keys])
+    return rows.select(*[pick(k, "_trace").alias(f"case:{k}") for k in case_keys], *[pick(k, "e").alias(k) for k in event_keys])
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
