@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ FIRST = 4
 TOP = 50
 #: Bytes of text whose terms a worker counts at once; small enough for its caches.
 UNIT = 1 << 20
+#: Bits of the filter of kept terms that workers get, whatever their number: 4 MB.
+BITS = 1 << 25
 #: Terms and sources of a cell in which shares are compared.
 TERM_BLOCK = 4096
 SOURCE_BLOCK = 128
@@ -80,10 +83,23 @@ def prefixes(batches: Iterable[pa.RecordBatch], shorter: int, length: int) -> It
             names=["lang", "prefix", "complete", "n"])
 
 
-def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each term occurs in a group of (lang, source)."""
+def term_filter(kept: DataFrame) -> np.ndarray:
+    """A bit for the hash of every kept term; a set bit lets other terms through as well, never keeps one out."""
+    at = F.pmod(F.xxhash64("term"), F.lit(BITS))
+    words = kept.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def occurrences(batches: Iterable[pa.RecordBatch], passing: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often each term that passes the filter occurs in a group of (lang, source)."""
     for unit in units(batches):
         row, code, terms = terms_of(unit["text"])
+        # seed 42 is that of Spark's xxhash64
+        at = np.fromiter((xxhash.xxh64_intdigest(t, 42) % BITS for t in terms.to_pylist()), np.uint64, len(terms))
+        passed = (passing[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)[code]
+        row, code = row[passed], code[passed]
         lang, source = unit["lang"].dictionary_encode(), unit["source"].dictionary_encode()
         of_row = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
         groups, group = np.unique(of_row, return_inverse=True)
@@ -138,7 +154,9 @@ def compared(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
     place = pc.index_in(terms["source"], names).to_numpy()
     table[place, column.indices.to_numpy()] = terms["p"].to_numpy()
     rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    sums = np.array([np.abs(table[i] - table[others]).sum(axis=1) for i in rows], dtype=np.int64).reshape(len(rows), len(others))
+    # terms of this part that no source of either block has: all of their shares are those of unseen terms
+    unseen, lacking = sources["unseen"].to_numpy(), sources["held"][0].as_py() - len(column.dictionary)
+    sums = np.array([np.abs(table[i] - table[others]).sum(axis=1) + lacking * np.abs(unseen[i] - unseen[others]) for i in rows], dtype=np.int64).reshape(len(rows), len(others))
     i, j = np.nonzero(rows[:, None] != others[None, :])
     return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "source": names.take(pa.array(rows[i])), "item": names.take(pa.array(others[j])), "value": pa.array(sums[i, j], pa.int64())})
 
@@ -158,8 +176,9 @@ def source_divergence(docs: DataFrame, threshold: int = THRESHOLD, top: int = TO
     rows = picked(docs, text, lang, source).toDF("text", "lang", "source")
     rows = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
     kept = stored_table(frequent_terms(rows, threshold))
-    found = rows.mapInArrow(occurrences, "lang string, source string, term binary, n long").join(dimension(kept), ["lang", "term"], "left_semi")
-    counts = stored_table(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    passing = rows.sparkSession.sparkContext.broadcast(term_filter(kept))
+    found = rows.mapInArrow(lambda b: occurrences(b, passing.value), "lang string, source string, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    counts = stored_table(found.join(dimension(kept), ["lang", "term"], "left_semi"))
     kinds = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")).drop("docs")
@@ -167,13 +186,13 @@ def source_divergence(docs: DataFrame, threshold: int = THRESHOLD, top: int = TO
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
     groups = stored_table(groups.withColumn("unseen", F.when(F.col("kinds") > 0, share(F.lit(0), F.col("total"), F.col("kinds"))).otherwise(0).cast("long")))
     shares = stored_table(counts.join(dimension(groups), ["lang", "source"]).select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("kinds")).alias("p")))
-    result = _pairs(groups, shares, kinds).unionByName(_terms(groups, shares, kinds, top))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = result.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    # the limit on ranks also runs before the shuffle, so a source hands on ``top`` terms per task
+    terms = _terms(groups, shares, kinds, top).withColumn("rank", rank).where(F.col("rank") <= top)
+    return _pairs(groups, shares, kept, kinds).withColumn("rank", rank).unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
 
 
-def _pairs(groups: DataFrame, shares: DataFrame, kinds: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, shares: DataFrame, kept: DataFrame, kinds: DataFrame) -> DataFrame:
     langs = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCE_BLOCK).cast("int").alias("blocks")).join(kinds, "lang", "left")
     langs = dimension(langs.select("lang", "blocks", F.greatest(F.lit(1), F.ceil(F.coalesce("kinds", F.lit(0)) / TERM_BLOCK)).cast("int").alias("parts")))
     at = F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("at")
@@ -185,8 +204,11 @@ def _pairs(groups: DataFrame, shares: DataFrame, kinds: DataFrame) -> DataFrame:
         sides = F.array_distinct(F.concat(F.transform(other, lambda o: F.struct(F.col("at").alias("i"), o.alias("j"))), F.transform(other, lambda o: F.struct(o.alias("i"), F.col("at").alias("j")))))
         return df.withColumn("side", F.explode(sides)).select("*", "side.i", "side.j").drop("side", "blocks", "parts")
 
-    terms = cells(placed(shares.select("lang", "source", "term", "p")).withColumn("part_no", F.pmod(F.xxhash64("term"), "parts").cast("int")))
-    sources = cells(placed(groups.select("lang", "source", "unseen")).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    part_no = F.pmod(F.xxhash64("term"), "parts").cast("int").alias("part_no")
+    terms = cells(placed(shares.select("lang", "source", "term", "p")).withColumn("part_no", part_no))
+    held = dimension(kept.join(langs, "lang").groupBy("lang", part_no).agg(F.count(F.lit(1)).alias("held")))
+    sources = placed(groups.select("lang", "source", "unseen")).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sources = cells(sources.join(held, ["lang", "part_no"], "left").fillna(0, "held"))
     cell = ["lang", "part_no", "i", "j"]
     sums = terms.groupBy(*cell).cogroup(sources.groupBy(*cell)).applyInArrow(compared, "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
