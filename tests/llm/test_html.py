@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from tests.llm.test_text import page, text_of
 from tracelake.llm import html
@@ -94,3 +95,51 @@ def test_hosts_of_few_pages_have_their_own_template(spark):
         rows += [(1000 * host + i, u, h) for i, u, h in some]
         want |= {1000 * host + i: t for i, t in texts.items()}
     assert extracted(spark, rows) == want
+
+
+def test_threads_and_boxes_longer_than_the_article_are_left_out(spark):
+    """What is named as comments, related or sidebar goes however long it is; so does a column beside the article."""
+    thread = lambda d, name: f"<div class='{name}'>{''.join(f'<p>{d.words(40)}</p>' for _ in range(10))}</div>"
+    kinds = [("article", "comments"), ("div", "comments"), ("div", "comment-list replies"), ("article", "sidebar"), ("div", "sidebar"), ("article", "col2")]
+    for seed, (tag, name) in enumerate(kinds):
+        rows, want = built(20 + seed, 30, lambda inner, d, tag=tag, name=name: f"{MENU}<{tag} class=x2>{inner}</{tag}>{thread(d, name)}{FOOT}")
+        assert extracted(spark, rows) == want, (tag, name)
+    draw, rows, want = Draw(40), [], {}
+    for i in range(30):
+        want[i] = draw.words(15)
+        rows.append((i, f"http://h.example/{i}", page(f"{MENU}<div class=x2><p>{want[i]}</p></div>{thread(draw, 'related')}{FOOT}")))
+    assert extracted(spark, rows) == want
+
+
+def test_threads_inside_the_article_and_in_front_of_it():
+    long, thread = "word " * 20, "<p>" + "other " * 200 + "</p>"
+    for body in (f"<article><h1>T</h1><p>{long}</p><div class=comments>{thread}<article>{thread}</article></div></article>",
+                 f"<div class=sidebar>{thread}</div><main><h1>T</h1><p>{long}</p></main>", f"<div class=ads>{thread}</div><div><h1>T</h1><p>{long}</p></div>"):
+        assert text_of(page(body)) == f"T\n{long.strip()}"
+
+
+def test_classes_equal_a_plain_deduction(spark):
+    draw = random.Random(7)
+    rows = []
+    for i in range(200):
+        host = draw.randrange(12) ** 2 // 12
+        parts = [f"<div class=c{k}><a>t{k} u{k}</a></div>" * draw.choice((1, 1, 1, 2)) for k in range(6) if k < 3 or draw.random() < 0.7]
+        rows.append((host, page(f"<div class=h{host}>{''.join(parts)}<p>{draw.choice('xyz')}</p></div>")))
+    groups, classes = html.equivalence_classes(html.distinct_contents(spark.createDataFrame(rows, "host long, html string")))
+    of = {r.host: r.group for r in groups.collect()}
+    got = {(r.group, r.once, frozenset(r.tokens)) for r in classes.collect()}
+    pages = {}
+    for host, text in set(rows):
+        pages.setdefault(of[host], []).append(text)
+    assert set(of.values()) > {0}
+    want = set()
+    for group, texts in pages.items():
+        counts = [Counter(html._signed(t) for t, _, _ in html.page_tokens(html.events(x))) for x in texts]
+        vectors = {}
+        for token in {t for c in counts for t in c if t}:
+            vectors.setdefault(tuple(c[token] for c in counts), set()).add(token)
+        for vector, tokens in vectors.items():
+            n, once = sum(v > 0 for v in vector), set(vector) == {1}
+            if n >= max(3, len(texts) * html.MIN_SHARE) and (once or len(tokens) >= html.MIN_TOKENS):
+                want.add((group, once, frozenset(tokens)))
+    assert got == want

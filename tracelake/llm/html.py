@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -56,6 +56,8 @@ CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|"
     r"sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+#: Names that tell what an element has around it, not what it is: right-sidebar, with-nav, comment-open.
+LAYOUT = re.compile(r"(?:has|have|no|with|without|left|right|one|two|show|hide)[-_](?:\w+)|(?:comments?|replies|reply|sidebar)[-_](?:open|closed|on|off|enabled|disabled|left|right|none)", re.I)
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that hold a piece of an article, not the whole.
@@ -73,12 +75,15 @@ def _read_tag(tag: str) -> tuple[str, bool, int, str, bool]:
     closing = tag.startswith("</")
     name = re.match(r"</?([^\s/>]+)", tag)[1].lower()
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(tag)} if not closing and " " in tag else {}
-    words = f"{found.get('class', '')} {found.get('id', '')}"
+    words = f"{found.get('class', '')} {found.get('id', '')}".split()
+    named_by = [w for w in words if CHROME_WORDS.search(w)]
+    # beside other names, one that describes the layout says nothing about the element
+    told = [w for w in named_by if not LAYOUT.fullmatch(w)] if len(named_by) < len(words) else named_by
     role = found.get("role", "").lower()
     certain = name in CHROME or role in CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     mark = re.sub(r"\d{3,}", "0", (found.get("class") or found.get("id") or "").split(" ")[0])
     main = name in MAIN or role == "main" or found.get("itemprop", "").lower() == "articlebody"
-    named = name == "form" or role == "form" or bool(CHROME_WORDS.search(words))
+    named = name == "form" or role == "form" or bool(told)
     chrome = 2 if certain else int(named and not main and name not in ("html", "body"))
     return name, closing, chrome, f"{name}.{mark}" if mark else name, main
 
@@ -86,26 +91,26 @@ def _read_tag(tag: str) -> tuple[str, bool, int, str, bool]:
 class Doubt:
     """An element that looks like chrome by its class, id or as a form; ``on`` as long as it does not hold the article."""
 
-    __slots__ = ("key", "on", "text", "main")
+    __slots__ = ("key", "on", "text", "headed", "mains")
 
     def __init__(self, key: int) -> None:
-        self.key, self.on, self.text, self.main = key, True, 0, 0
+        self.key, self.on, self.text, self.headed, self.mains = key, True, False, False, 0
 
 
 class Node:
     """An open element."""
 
-    __slots__ = ("name", "path", "certain", "doubts", "main", "link", "box")
+    __slots__ = ("name", "path", "certain", "doubts", "main", "starts", "link", "box")
 
-    def __init__(self, name: str, path: str, certain: bool, doubts: tuple[Doubt, ...], main: bool, link: bool, box: str) -> None:
-        self.name, self.path, self.certain, self.doubts, self.main, self.link, self.box = name, path, certain, doubts, main, link, box
+    def __init__(self, name: str, path: str, certain: bool, doubts: tuple[Doubt, ...], main: bool, starts: bool, link: bool, box: str) -> None:
+        self.name, self.path, self.certain, self.doubts, self.main, self.starts, self.link, self.box = name, path, certain, doubts, main, starts, link, box
 
     @property
     def chrome(self) -> bool:
         return self.certain or any(d.on for d in self.doubts)
 
 
-ROOT = Node("", "", False, (), False, False, "")
+ROOT = Node("", "", False, (), False, False, False, "")
 
 
 def events(page: str) -> Iterator[tuple]:
@@ -154,7 +159,7 @@ def events(page: str) -> Iterator[tuple]:
                     break
         top = stack[-1]
         path = f"{top.path}>{mark}"
-        node = Node(name, path, top.certain or chrome == 2, (*top.doubts, Doubt(_signed(_hash(path)))) if chrome == 1 else top.doubts, top.main or main, top.link or name == "a",
+        node = Node(name, path, top.certain or chrome == 2, (*top.doubts, Doubt(_signed(_hash(path)))) if chrome == 1 else top.doubts, top.main or main, main and not top.main, top.link or name == "a",
                     top.box if name in INLINE or name in BLOCKS else path)
         yield "open", node
         if name == "br":
@@ -166,27 +171,48 @@ def events(page: str) -> Iterator[tuple]:
 
 
 def judged(page: str, chromes: frozenset = frozenset(), cleared: frozenset = frozenset()) -> list[tuple]:
-    """The events of a page, with its doubtful elements judged: one that holds most of the text is no chrome.
+    """The events of a page, with its doubtful elements judged by what they hold and where they sit, never by size.
 
-    What most pages of the group say of an element's path comes first. Text is that of long nodes, or of all where none is long. An article or main element outside that
-    has at least half as much text speaks against it.
+    What most pages of the group say of an element's path comes first. Else it holds the article, and is no chrome, if
+    it has a heading (h1) and text; or all article and main elements of a page without text outside doubtful elements; or the first
+    text of such a page, if neither heading nor article lies outside it. Text is that of long nodes, or of all where none is long.
     """
     found = list(events(page))
-    texts = [(e[1], len(e[2])) for e in found if e[0] == "text" and not e[1].certain and not e[1].link and len(e[2].split()) > SHORT]
-    if not any(n.doubts for n, _ in texts):
-        texts = texts or [(e[1], len(e[2].strip())) for e in found if e[0] == "text" and not e[1].certain and not e[1].link]
-    total = sum(n for _, n in texts)
-    mains = sum(n for node, n in texts if node.main)
-    for node, n in texts:
-        for d in node.doubts:
-            d.text += n
-            d.main += n * node.main
-    for node, _ in texts:
-        for d in node.doubts:
-            d.on = d.key in chromes or d.key not in cleared and not (d.text * 2 >= total and (mains - d.main) * 2 < d.text)
+    texts = [e[1] for e in found if e[0] == "text" and not e[1].certain and not e[1].link and len(e[2].split()) > SHORT]
+    texts = texts or [e[1] for e in found if e[0] == "text" and not e[1].certain and not e[1].link and e[2].strip()]
+    doubts = {d for e in found if e[0] == "open" for d in e[1].doubts}
+    if not doubts:
+        return found
+    plain = any(not n.doubts for n in texts)
+    first = texts[0].doubts if texts and not plain else ()
+    headings = [e[1] for e in found if e[0] == "open" and e[1].name == "h1" and not e[1].certain]
+    mains = [e[1] for e in found if e[0] == "open" and e[1].starts and not e[1].certain]
+    for n in texts:
+        for d in n.doubts:
+            d.text = True
+    for n in headings:
+        for d in n.doubts:
+            d.headed = True
+    for n in mains:
+        for d in n.doubts:
+            d.mains += 1
+    for d in doubts:
+        holds = d.headed and d.text or not plain and d.mains == len(mains) > 0 or (
+            d in first and d.mains == len(mains) and all(d in n.doubts or n.doubts for n in headings))
+        d.on = d.key in chromes or d.key not in cleared and not holds
     return found
 
 
+def in_article(found: list[tuple]) -> bool:
+    """Whether article or main elements hold the article: the first heading, or the first text after it, or of a page without heading."""
+    shown = [e for e in found if e[0] != "break" and not e[1].chrome and not e[1].link]
+    start = next((i for i, e in enumerate(shown) if e[0] == "open" and e[1].name == "h1"), None)
+    if start is not None and shown[start][1].main:
+        return True
+    texts = [e for e in shown[start or 0:] if e[0] == "text" and e[2].strip() and e[1].name != "h1" and not e[1].path.startswith(">html>head")]
+    return next((e[1].main for e in texts if len(e[2].split()) > SHORT), next((e[1].main for e in texts), False))
+
+
 @lru_cache(1 << 14)
 def around(path: str) -> tuple[int, ...]:
     """Hashes of the paths of an element and all around it, outermost first."""
@@ -198,10 +224,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-def page_tokens(page: str, judge: bool = False) -> list[tuple[int, Node, str]]:
-    """(token, node, text) in page order; token 0 is data. Text of the head is left out."""
+def page_tokens(found: Iterable[tuple]) -> list[tuple[int, Node, str]]:
+    """(token, node, text) of a page's events in order; token 0 is data. Text of the head is left out."""
     out = []
-    for e in judged(page) if judge else events(page):
+    for e in found:
         if e[0] == "open":
             out.append((_hash(e[1].path), e[1], ""))
         elif e[0] == "text" and not e[1].path.startswith(">html>head"):
@@ -240,7 +266,7 @@ def occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part in slices(batches, 64):
         for host, page in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
             identity = _hash(page or "")
-            counts = Counter(t for t, _, _ in page_tokens(page or ""))
+            counts = Counter(t for t, _, _ in page_tokens(events(page or "")))
             counts[0] = 1
             for token, n in counts.items():
                 v = ((identity ^ (n * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9) & MASK
@@ -294,8 +320,8 @@ def class_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     Kind 0: smallest and largest hash of the order of a class's tokens on a page; its occurrences must
     repeat one order without overlap. Kind 1: the same for the template slots it occurs in. Kind 2: for
     every slot, named by the template token before it, characters of data and of data inside links.
-    Kind 3: characters of its data inside article or main elements. Kind 4: smallest and largest slot of a
-    word that all pages have once. Kind 6: how often a doubtful element is chrome, and is there. Kind 100 and up: characters of data outside links in an element, by its depth.
+    Kind 4: smallest and largest slot of a word that all pages have once. Kind 5: pages whose article is in article
+    or main elements, and all. Kind 6: how often a doubtful element is chrome, and is there. Kind 100 and up: characters of data outside links in an element, by its depth.
     """
     seen: dict[tuple[int, int, int], list[int]] = {}
 
@@ -319,7 +345,11 @@ def class_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             places: dict[int, set[int]] = {}
             slot = 0
             doubts: set[Doubt] = set()
-            for token, node, text in page_tokens(page or "", judge=True):
+            found = judged(page or "")
+            v = seen.setdefault((group, 5, 0), [0, 0])
+            v[0] += in_article(found)
+            v[1] += 1
+            for token, node, text in page_tokens(found):
                 token = _signed(token)
                 doubts.update(node.doubts if text else ())
                 of = member.get(token)
@@ -328,8 +358,6 @@ def class_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         v = seen.setdefault((group, 2, slot), [0, 0])
                         v[0] += len(text)
                         v[1] += len(text) * node.link
-                        if node.main:
-                            seen.setdefault((group, 3, slot), [0, 0])[0] += len(text)
                         if not node.link:
                             for depth, key in enumerate(around(node.box)):
                                 seen.setdefault((group, 100 + depth, key), [0, 0])[0] += len(text)
@@ -362,8 +390,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``root`` are the tokens that every page has once and in one order; they bound the slots. ``fixed``
     are the tokens of valid classes, the root's too, that nearly all pages have. ``links`` names the
-    slots whose data is mostly link text, ``mains`` those whose data is mostly in article or main elements. If
-    these elements hold most of the group's data outside link slots, ``trusted`` says so and ``side`` names the other slots.
+    slots whose data is mostly link text. If on most pages article or main elements hold the article, ``trusted`` says so.
     ``chromes`` and ``cleared`` are the paths of doubtful elements as most pages judge them. ``box`` is the innermost element below body that holds at least half of the data. A class is valid if all pages agree on
     its order and slots; words that all pages have once need the same slot everywhere.
     """
@@ -380,37 +407,34 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.flatten(F.collect_list(F.when(F.col("once"), F.col("tokens")))).alias("root"), F.flatten(F.collect_list(F.when(F.col("constant"), F.col("tokens")))).alias("fixed"))
     none = F.array().cast("array<bigint>")
     kept = kept.join(loose, "group", "left").select("group", *[F.array_except(c, F.coalesce("loose", none)).alias(c) for c in ("root", "fixed")])
-    amount = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
-    slots = evidence.where("kind IN (2, 3)").groupBy("group", "key").agg(amount(2, "lo").alias("chars"), amount(2, "hi").alias("linked"), amount(3, "lo").alias("main"))
-    slots = slots.select("group", "key", "chars", "main", F.expr("linked * 2 > chars").alias("link"))
-    all_data = slots.where("NOT link").groupBy("group").agg(F.expr("sum(main) * 2 >= sum(chars)").alias("trusted"))
     names = lambda where: F.collect_list(F.when(F.expr(where), F.col("key")))
-    told = slots.join(all_data, "group", "left").groupBy("group").agg(
-        names("link").alias("links"), names("NOT link AND main * 2 >= chars").alias("mains"), names("NOT link AND trusted AND main * 2 < chars").alias("side"),
-        F.coalesce(F.first("trusted"), F.lit(False)).alias("trusted"))
+    slots = evidence.where("kind = 2").groupBy("group", "key").agg(F.expr("sum(hi) * 2 > sum(lo)").alias("link"))
+    links = slots.groupBy("group").agg(names("link").alias("links"))
+    told = evidence.where("kind = 5").groupBy("group").agg(F.expr("sum(lo) * 2 > sum(hi)").alias("trusted"))
     held = evidence.where("kind >= 100").groupBy("group", "kind", "key").agg(F.sum("lo").alias("chars"))
     whole = held.where("kind = 100").select("group", F.col("chars").alias("total"))
     # depth 0 is the page, 1 and 2 are html and body
     votes = evidence.where("kind = 6").groupBy("group", "key").agg(F.expr("sum(lo) * 2 > sum(hi)").alias("chrome")).groupBy("group").agg(
         names("chrome").alias("chromes"), names("NOT chrome").alias("cleared"))
     boxes = held.where("kind > 102").join(whole, "group").where("chars * 2 >= total").groupBy("group").agg(F.max_by("key", "kind").alias("box"))
-    return groups, dimension(kept.join(told, "group", "left").join(boxes, "group", "left").join(votes, "group", "left"), FEW_TEMPLATES)
+    return groups, dimension(kept.join(links, "group", "left").join(told, "group", "left").join(boxes, "group", "left").join(votes, "group", "left"), FEW_TEMPLATES)
 
 
-def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozenset, mains: frozenset = frozenset(), side: frozenset = frozenset(),
-            chromes: frozenset = frozenset(), cleared: frozenset = frozenset(), trusted: bool = False, box: int | None = None) -> str:
+def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozenset, chromes: frozenset = frozenset(), cleared: frozenset = frozenset(),
+            trusted: bool = False, box: int | None = None) -> str:
     """Text of the slots that hold the article, one line for each block.
 
-    Text inside navigation, headers, footers, asides, forms and the like is left out, also by their usual class names, and
-    so are short nodes that consist of template words only, but not inside the article: a trusted article or main element, or
-    the box. Slots are taken that are neither mostly links nor beside the article; of those that are mostly in article or main
-    elements, and of a page without template, only these elements. If that leaves out more text than it takes, the page is not like
-    its group and all slots are taken that are not mostly links.
+    Text inside navigation, headers, footers, asides, forms and the like is left out, also by their usual names, and
+    so are short nodes that consist of template words only, but not inside the article: an article or main element, or
+    the box. Where the group, or a page without template for itself, has its article in article or main elements, only these are
+    taken; a page of such a group whose own elements do not hold its article is unlike its group and
+    gives all its slots that are not mostly links, as pages of other groups do. No amount of text decides.
     """
+    found = judged(page or "", chromes, cleared)
+    trusted = (trusted or not root) and in_article(found)
     blocks: list[tuple[str, bool, int]] = []
     now: list[tuple[str, bool]] = []
     slot = 0
-    mains = mains if root else frozenset((0,))
 
     def end_block() -> None:
         for main in (True, False):
@@ -419,7 +443,7 @@ def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozense
                 blocks.append((text, main, slot))
         now.clear()
 
-    for e in judged(page or "", chromes, cleared):
+    for e in found:
         if e[0] == "break":
             end_block()
         elif e[0] == "open":
@@ -434,12 +458,7 @@ def extract(page: str | None, root: frozenset, fixed: frozenset, links: frozense
             else:
                 now.append((entities.unescape(e[2]), e[1].main))
     end_block()
-    blocks = [b for b in blocks if b[2] not in links or trusted and b[1]]
-    taken = [b for b in blocks if b[1] and trusted or b[2] not in side and (b[1] or b[2] not in mains)]
-    size = sum(len(text) for text, _, _ in taken)
-    if sum(len(text) for text, _, _ in blocks) > 2 * size:
-        taken = blocks
-    return "\n".join(text for text, _, _ in taken)
+    return "\n".join(text for text, main, at in blocks if (main if trusted else at not in links))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -454,7 +473,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     needed = pages.select("page_id", host_key(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     groups, known = templates(needed)
     joined = pages.withColumn("_host", host_key(F.col("url"))).join(groups.withColumnRenamed("host", "_host"), "_host", "left").withColumnRenamed("group", "_group").join(
-        known.select(F.col("group").alias("_group"), F.col("root").alias("_root"), *[F.col(c).alias(f"_{c}") for c in ("fixed", "links", "mains", "side", "chromes", "cleared", "trusted", "box")]), "_group", "left")
+        known.select(F.col("group").alias("_group"), F.col("root").alias("_root"), *[F.col(c).alias(f"_{c}") for c in ("fixed", "links", "chromes", "cleared", "trusted", "box")]), "_group", "left")
 
     @F.pandas_udf("string")
     def run(html: pd.Series, group: pd.Series, *template: pd.Series) -> pd.Series:
@@ -466,7 +485,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             out.append(extract(page, *known[g]))
         return pd.Series(out, dtype=object)
 
-    template = ["_root", "_fixed", "_links", "_mains", "_side", "_chromes", "_cleared", "_trusted", F.col("_box").cast("string")]
+    template = ["_root", "_fixed", "_links", "_chromes", "_cleared", "_trusted", F.col("_box").cast("string")]
     text = run(F.col("html").cast("string"), "_group", *template)
     return joined.select(*own, text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
