@@ -51,6 +51,29 @@ def test_splices_equal_one_call():
         assert tokens.spliced_ids(text, library(NAME), 64, 16).tolist() == ids(text)
 
 
+def test_splicing_without_blanks():
+    draw = random.Random(12)
+    parts = ["ab1,x", "3.14", "x=y", "it's", "!!'s", "<|endoftext|>", "<|endoftext|", "|>9", "é́a", "東京、都。", "a≠b", "=\u0338", "Q7", "''re", "word", "ΑΣ,", "½1", "_z", "İ!", "1\u20e3"]
+    for chunk, overlap in ((24, 4), (64, 16), (200, 32)):
+        for _ in range(60):
+            text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 200)))
+            assert tokens.spliced_ids(text, library(NAME), chunk, overlap).tolist() == ids(text)
+
+
+def test_texts_without_blanks_take_linear_time():
+    import time
+
+    def seconds(text):
+        start = time.perf_counter()
+        assert len(tokens.text_ids(text)) // 4 == len(ids(text))
+        return time.perf_counter() - start
+
+    for part in ("ab1,x", "function(a){return(a)}"):
+        seconds(part * 1000)
+        small, large = seconds(part * (300_000 // len(part))), seconds(part * (2_400_000 // len(part)))
+        assert large < 25 * small
+
+
 def test_token_counts_of_a_table(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(docs(spark, AWKWARD).select("doc_id", "text"))
     got = tokens.with_token_counts(table.withColumn("n_tokens", F.lit("clash"))).collect()

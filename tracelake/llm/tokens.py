@@ -17,7 +17,11 @@ VOCABULARY = "word_bpe_49k.json"
 HUGE = 1 << 16
 CHUNK = 1 << 14
 OVERLAP = 256
-BLANK = re.compile(r"[\t\n\v\f\r ]")
+#: Places that no piece of the vocabulary's split pattern goes over: blanks, both sides of a digit, and a letter before a
+#: sign. The signs do not compose with a letter; special strings, the exception, are looked up apart.
+BORDER = re.compile(
+    r"[\t\n\v\f\r ]|(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])|(?<=[^\W\d_])(?=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\u300c\u300d])")
+SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
 def _encode(tokenizer, text: str, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -27,17 +31,23 @@ def _encode(tokenizer, text: str, at: int, end: int) -> tuple[np.ndarray, np.nda
     return np.array(got.ids, np.int64), spans[:, 0], spans[:, 1]
 
 
+def borders(text: str, lo: int, hi: int) -> list[int]:
+    """Places in (lo, hi) that every encoding of the text has a boundary at."""
+    inside = {p for m in SPECIAL.finditer(text, max(0, lo - 16), hi + 16) for p in range(m.start() + 1, m.end())}
+    return [m.start() for m in BORDER.finditer(text, lo, hi) if m.start() > lo and m.start() not in inside]
+
+
 def stable_boundary(text: str, lo: int, hi: int, left: tuple, right: tuple) -> int | None:
-    """A position in [lo, hi) where the encodings of both chunks may be joined, or None.
+    """A position in (lo, hi) where the encodings of both chunks may be joined, or None.
 
-    A blank is a proven boundary of this vocabulary: no token, normalisation or special string goes
+    A border is a proven boundary of this vocabulary: no piece, normalisation or special string goes
     over it, so what follows does not depend on what precedes. It is taken where both encodings also
-    agree token by token from the blank to the next one.
+    agree token by token from the border to the next one.
     """
-    blanks = [m.start() for m in BLANK.finditer(text, lo, hi)]
-    for p, q in zip(blanks, blanks[1:], strict=False):
+    places = borders(text, lo, hi)
+    for p, q in zip(places, places[1:], strict=False):
         cut = [slice(np.searchsorted(e[1], p), np.searchsorted(e[1], q)) for e in (left, right)]
-        if q > p + 1 and all(np.array_equal(x[cut[0]], y[cut[1]]) for x, y in zip(left, right, strict=True)):
+        if cut[0].stop > cut[0].start and all(np.array_equal(x[cut[0]], y[cut[1]]) for x, y in zip(left, right, strict=True)):
             return p
     return None
 
@@ -46,8 +56,8 @@ def spliced_ids(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP
     """Ids of a text of any length, equal to those of one call on the whole text.
 
     Chunks share ``overlap`` code points. Neighbours are spliced at a stable common boundary; where
-    their overlap has none, it is doubled and the next chunk starts earlier, down to one that starts
-    where the current one does, which then simply grows.
+    their overlap has none, it is doubled and the next chunk starts earlier. A chunk without any border, one
+    word so far, doubles in length, so that even a text of one word is encoded at most twice over.
     """
     out: list[np.ndarray] = []
     start, end = 0, min(chunk, len(text))
@@ -57,11 +67,12 @@ def spliced_ids(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP
         width, boundary, right = overlap, None, None
         while boundary is None and end - width > done:
             lo = end - width
-            right = _encode(tokenizer, text, lo, min(lo + chunk + width, len(text)))
-            boundary = stable_boundary(text, lo, end, now, right)
+            if len(borders(text, lo, end)) > 1:
+                right = _encode(tokenizer, text, lo, min(lo + chunk + width, len(text)))
+                boundary = stable_boundary(text, lo, end, now, right)
             width *= 2
         if boundary is None:
-            end = min(end + chunk, len(text))
+            end = min(max(done + 2 * (end - done), done + chunk), len(text))
             now = _encode(tokenizer, text, done, end)
             continue
         keep = (now[1] >= done) & (now[1] < boundary)
