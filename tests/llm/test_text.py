@@ -109,6 +109,23 @@ def test_codewords_differ(k):
     assert all(len(set(c)) == 2 for c in code.T)
 
 
+def test_positions_keep_the_match_guarantee(spark):
+    """Any shared passage of K + WINDOW - 1 code points holds a selected k-gram at its place in both texts."""
+    draw, long = random.Random(8), winnow.K + winnow.WINDOW - 1
+    rows = []
+    for i in range(20):
+        passage = "".join(draw.choice("abcdefgh ") for _ in range(long))
+        rows += [(2 * i + k, "".join(draw.choice("xyz ") for _ in range(draw.randrange(90))) + passage + "tail" * k, passage) for k in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, passage string")
+    places = {r.doc_id: r.positions for r in winnow.compare_with_next(table).collect()}
+    inside = {i: {p - text.index(passage) for p in places[i] if 0 <= p - text.index(passage) <= winnow.WINDOW - 1} for i, text, passage in rows}
+    assert all(inside[2 * i] & inside[2 * i + 1] for i in range(20))
+    own = {r.doc_id: [tuple(x) for x in r.selected] for r in winnow.with_fingerprints(table.withColumn("selected", F.lit(1))).collect()}
+    assert {i: [p for _, p in s] for i, s in own.items()} == places
+    empty = winnow.with_fingerprints(docs(spark, AWKWARD)).where("coalesce(text, '') = ''").collect()
+    assert len(empty) == 2 and all(r.selected == [] for r in empty)
+
+
 def test_quality_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -169,7 +186,7 @@ def test_fingerprints_of_neighbours(spark, sf):
         after = rows[(i + 1) % len(rows)][1]
         changed = winnow.edited(text, after)
         a, b, c = (winnow.digest(winnow.winnow(t)[0]) for t in (text, changed, after))
-        want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, winnow.likeness(a, b), winnow.likeness(a, c)))
+        want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, winnow.likeness(a, b), winnow.likeness(a, c), winnow.winnow(text)[1].tolist()))
     got = [tuple(r) for r in winnow.compare_with_next(table).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert winnow.compare_with_next(table.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,18 +88,15 @@ def likeness(a: str, b: str) -> float:
 
 
 def with_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``selected``: (hash, position) pairs in order of position (replaced if it exists)."""
+    """All columns of ``docs`` with ``selected``: (hash, position) pairs in order of position (replaced if it exists).
 
-    @F.pandas_udf("array<struct<hash:long,position:long>>")
-    def select(parts: Iterator) -> Iterator:
-        import pandas as pd
+    A NULL or empty text selects nothing; repeated rows select alike. Positions are code points from 0.
+    """
 
+    @F.pandas_udf("array<struct<hash:long,position:long>>")
+    def select(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            out = []
-            for t in texts:
-                h, p = winnow(t, k, window)
-                out.append([{"hash": x, "position": y} for x, y in zip(h.tolist(), p.tolist(), strict=True)])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([[{"hash": x, "position": y} for x, y in zip(*(a.tolist() for a in winnow(t, k, window)), strict=True)] for t in texts], dtype=object)
 
     return docs.select(*[c for c in docs.columns if c != "selected"], select(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("selected"))
 
@@ -110,7 +108,10 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and positions of every row.
+
+    ``positions`` are the places of the selected hashes in the text, ascending: any k + window - 1 code points
+    in a row hold the whole k-gram of at least one, and texts that share such a passage share its hash.
 
     The next document follows by (doc_id, text); after the last comes the first. Rows are dealt into
     ranges of doc_id, and the first row of a range is also sent, as a look-ahead, to the range before;
@@ -150,7 +151,7 @@ def _range_of(value: str, cuts: list[int]) -> str:
 
 
 def _compared(dealt: DataFrame, n: int, k: int, window: int) -> DataFrame:
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -159,21 +160,22 @@ def _compared(dealt: DataFrame, n: int, k: int, window: int) -> DataFrame:
         for part in slices(batches, 128):
             out: list[list] = [[] for _ in names]
             for doc, text, ahead in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                own = digest(winnow(text, k, window)[0])
+                hashes, places = winnow(text, k, window)
+                own = digest(hashes)
                 if held is not None:
-                    last, before, mark = held
+                    last, before, mark, spots = held
                     changed = edited(before, text)
                     near = digest(winnow(changed, k, window)[0])
-                    row = (last, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mark, near, likeness(mark, near), likeness(mark, own))
+                    row = (last, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mark, near, likeness(mark, near), likeness(mark, own), spots)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                held = None if ahead else (doc, text, own)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                held = None if ahead else (doc, text, own, places.astype(np.int32))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     sent = dealt.repartitionById(max(n, 1), F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "text")
     return sent.select("doc_id", "text", "ahead").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>")
 
 
 def query(spark, folder: str) -> DataFrame:
