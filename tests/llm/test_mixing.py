@@ -135,8 +135,12 @@ def test_packing_near_the_bound(spark, group):
         [(i % 50, 0, n, "k", "l", "m") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, bin string, room string, offset string").repartition(4)
     packed = packing.pack(table, capacity=100, group=group)
     rows = packed.collect()
-    assert packed.columns == ["doc_id", "piece", "length", "bin", "room", "offset", "sequence_id"] and {(r.bin, r.room) for r in rows} == {("k", "l")}
+    assert packed.columns == ["doc_id", "piece", "length", "bin", "room", "offset", "sequence_id", "group_bins", "group_bound"] and {(r.bin, r.room) for r in rows} == {("k", "l")}
     assert Counter(r.length for r in rows) == Counter(lengths)
+    assert all(r.group_bound <= r.group_bins for r in rows) and {r.group_bins for r in rows if r.length == 100} <= {1}
+    if group > 900:
+        # one group packed all items that do not fill a sequence: its certificate is that of the result
+        assert {(r.group_bins, r.group_bound) for r in rows if r.length < 100} == {(len({r.sequence_id for r in rows if r.length < 100}), packing.lower_bound(np.bincount([n for n in lengths if n < 100], minlength=101), 100))}
     bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
     assert check_packing(rows, 100) <= bound + 1 + 0.01 * bound
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored_table
-from .common import partitions, slices
+from .common import slices
 from .tokens import VOCABULARY, text_ids
 
 CAPACITY = 4096
@@ -106,42 +106,42 @@ def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 6) -> DataFrame:
-    """``items`` with sequence_id and offset; ``length`` is between 1 and ``capacity``.
-
-    Items of full length are sequences of their own. The others are dealt evenly into groups of at
-    most about ``group`` items, and each is packed by best-fit decreasing. Dual-feasible bounds certify
-    the bin count of every group and of all items together. While the total is above the bound of all
-    items, full bins stay, and the items of bins with room are exchanged: they are dealt anew into
-    fewer groups and packed again. It ends when certified, when one group is left, when a round gains
-    nothing, or after ``rounds`` rounds. Items are dealt by their row number in a stored table, so
-    neither equal lengths nor repeated ids fill one group. An empty table gives no row. Columns named
-    sequence_id or offset are replaced.
+    """``items`` with sequence_id, offset, group_bins and group_bound; ``length`` is between 1 and ``capacity``.
+
+    Items of full length are sequences of their own. The others are dealt evenly into groups of about
+    ``group`` items, as many as their number asks for, and each is packed by best-fit decreasing. Dual-feasible bounds
+    certify the bin count of every group and of all items together; ``group_bins`` and ``group_bound`` are those of the group
+    that packed the item last, equal where its packing is proven best. While the total is above the bound of all
+    items, items of bins with room are exchanged: dealt anew into fewer groups and packed again. If the
+    groups' bounds add up to the bound of all items, only groups with a gap can save a bin, so only these exchange; else
+    all do, as bins may be saved between them. It ends when certified, when one group is left, when a round gains
+    nothing, or after ``rounds`` rounds, which the certificates then show. Items are dealt by their row number in a stored table, so
+    neither equal lengths nor repeated ids fill one group. An empty table gives no row. Columns of the added names are replaced.
     """
-    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset", "group_bins", "group_bound")]
     items = items.select(*[F.col(f"`{c}`") for c in names])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     packed_type = f"{fields}, _group int, _bin long, _offset long, _room long, _bins long, _bound long"
     done = [items.where(F.col("length") == capacity).select(
-        *names, F.lit(0).cast("long").alias("offset"), (F.monotonically_increasing_id() * 2).alias("sequence_id"))]
+        *names, F.lit(0).cast("long").alias("offset"), (F.monotonically_increasing_id() * 2).alias("sequence_id"), *[F.lit(1).cast("long").alias(c) for c in ("group_bins", "group_bound")])]
 
     def placed(packed: DataFrame, base: int) -> DataFrame:
         # odd ids: a group has far fewer than 2^22 bins
         number = (F.lit(base).cast("long") + F.col("_group")) * F.lit(1 << 22) + F.col("_bin")
-        return packed.select(*names, F.col("_offset").alias("offset"), (number * 2 + 1).alias("sequence_id"))
+        return packed.select(*names, F.col("_offset").alias("offset"), (number * 2 + 1).alias("sequence_id"), F.col("_bins").alias("group_bins"), F.col("_bound").alias("group_bound"))
 
     rest = items.where(F.col("length") < capacity)
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in rest.groupBy("length").count().collect():  # at most capacity - 1 rows
         histogram[length] = n
     target, total = lower_bound(histogram, capacity), int(histogram.sum())
-    spread = partitions(items.sparkSession)
-    groups = max(-(-total // group), spread if total > 64 * spread else 1)
+    groups = max(1, -(-total // group))
     base, closed, before, earlier = 1, 0, None, None
     for turn in range(rounds if total else 0):
         row = F.monotonically_increasing_id()
         dealt = rest.withColumn("_group", F.pmod(row + F.shiftright(row, 33), F.lit(groups)).cast("int"))
         packed = stored_table(dealt.groupBy("_group").applyInPandas(lambda pdf: pack_group(pdf, capacity), packed_type))
-        bins = packed.groupBy("_group").agg(F.first("_bins").alias("_bins")).agg(F.sum("_bins")).first()[0]
+        bins, bounds = packed.groupBy("_group").agg(F.first("_bins").alias("_bins"), F.first("_bound").alias("_bound")).agg(F.sum("_bins"), F.sum("_bound")).first()
         if before is not None and closed + bins > before:
             done.append(earlier)
             break
@@ -149,10 +149,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         if closed + bins <= target or groups == 1 or not gained or turn == rounds - 1:
             done.append(placed(packed, base))
             break
-        full, rest = packed.where("_room = 0"), packed.where("_room > 0").select(*names)
-        done.append(placed(full, base))
-        earlier = placed(packed.where("_room > 0"), base)
-        before, closed = closed + bins, closed + full.select("_group", "_bin").distinct().count()
+        opened = "_room > 0" if closed + bounds > target else "_room > 0 AND _bins > _bound"
+        kept, rest = packed.where(f"NOT ({opened})"), packed.where(opened).select(*names)
+        done.append(placed(kept, base))
+        earlier = placed(packed.where(opened), base)
+        before, closed = closed + bins, closed + kept.select("_group", "_bin").distinct().count()
         base, total = base + groups, rest.count()
         groups = -(-total // group)
     return reduce(DataFrame.unionByName, done)
