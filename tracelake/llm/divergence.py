@@ -17,8 +17,8 @@ from .common import picked, read_table
 
 #: Documents of a language that must hold a term.
 THRESHOLD = 30
-#: Length in bytes of the first prefixes; every level doubles it.
-FIRST = 4
+#: Length in bytes of the first prefixes; every level doubles it. Longer ones need fewer readings of the texts and more counts.
+FIRST = 8
 #: Terms of a language that a report lists per source.
 TOP = 50
 #: Bytes of text whose terms a worker counts at once; small enough for its caches.
@@ -113,7 +113,7 @@ def occurrences(batches: Iterable[pa.RecordBatch], passing: np.ndarray) -> Itera
 def frequent_terms(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST) -> DataFrame:
     """(lang, term) in at least ``threshold`` documents of the language; ``docs`` has lang and text without NULL.
 
-    Prefixes of 4, 8, 16, ... bytes: at every level the distinct documents of each prefix are counted, but
+    Prefixes of 8, 16, 32, ... bytes: at every level the distinct documents of each prefix are counted, but
     only of prefixes whose shorter prefix reached the threshold, as a term cannot be in more documents
     than its prefix. Complete terms that reach it are kept, other prefixes that do are extended.
     Workers count a megabyte of text at a time; the join drops what cannot be kept before anything is shuffled.
