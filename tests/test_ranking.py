@@ -1,10 +1,14 @@
 """Ranks, quotas and percentiles against brute force."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tracelake.plans import ranking
 from tracelake.plans.ranking import average_ranks, global_rank, hash_rank, percentiles, running_totals, spearman
 from tracelake.plans.sizing import dimension
 
@@ -107,3 +111,22 @@ def test_deviation_of_large_rewards(spark):
     tr = spark.createDataFrame([(i // 2, 1e9 + i % 2, 1) for i in range(100)], "case_id long, r double, done int")
     got = transition_stats(tr).first()
     assert got["reward_std"] == pytest.approx(0.5) and got["n_cases"] == 50 and got["n_transitions"] == 100
+
+
+@pytest.mark.parametrize("cell", [1_000_000, 40])
+def test_kendall_with_ties_and_hot_values(spark, cell):
+    draw = random.Random(5)
+    data = [(float(draw.randrange(60)), float(draw.randrange(40))) for _ in range(500)] + [(7.0, float(i)) for i in range(120)] + [(float(i), 3.0) for i in range(120)] + [(2.0, 2.0)] * 150
+    sgn = lambda d: (d > 0) - (d < 0)
+    s = sum(sgn(a - c) * sgn(b - d) for a, b in data for c, d in data)
+    nx, ny = (sum(p[i] != q[i] for p in data for q in data) for i in (0, 1))
+    table = spark.createDataFrame(data + [(None, 1.0), (1.0, None)], "x double, y double")
+    got = ranking.kendall(table, "x", "y", cell=cell).first()
+    assert got.n == len(data) and got.kendall == pytest.approx(s / math.sqrt(nx * ny))
+    assert ranking.kendall(table.where("x = 7"), "x", "y").first().kendall is None
+    assert tuple(ranking.kendall(table.limit(0), "x", "y").first()) == (None, 0)
+
+
+def test_inversions_of_weights_beyond_a_long():
+    values, weights = np.array([3.0, 1.0, 2.0, 1.0]), np.array([1 << 40, 1 << 40, 5, 7])
+    assert ranking.inversions(values, weights) == (1 << 40) * ((1 << 40) + 5 + 7) + 5 * 7

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators import cases, clean, encode, explain, values
+from ..plans import ranking
 from ..session import scratch_dir, stored
 from ..sources import views
 from .base import MAX_LEN, SPEC, cte, query, r6, session_splits, session_transitions, sql6
@@ -296,6 +297,20 @@ def rank_consistency(spark, sf):
     return explain.rank_consistency(clusters(spark, sf)).select("metric", *r6("value"), "n_items", "score_q_used", "score_ope_used")
 
 
+_UNITS = "SELECT round(value) AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) + round(value / 25) AS y FROM events WHERE event_type <> 'error'"
+
+
+@query("rank_units", f"""WITH u AS ({_UNITS}), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(abs(sign(a.x - b.x))) AS nx, sum(abs(sign(a.y - b.y))) AS ny FROM u a, u b)
+    SELECT round((SELECT corr(rx, ry) FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM u)), 6) AS spearman,
+    round(s / sqrt(nx * ny), 6) AS kendall, (SELECT count(*) FROM u) AS n FROM s""")
+def rank_units(spark, sf):
+    """Rank agreement of thousands of units with many ties: events by value and by a score."""
+    units = views.events(spark, sf).where("event_type <> 'error'").select(
+        F.round("value").alias("x"), (F.get_json_object("props", "$.k").cast("double") + F.round(F.col("value") / 25)).alias("y"))
+    both = ranking.kendall(units, "x", "y", cell=100).withColumn("spearman", ranking.spearman(units, "x", "y").select("spearman").scalar())
+    return both.select(*r6("spearman", "kendall"), "n")
+
+
 @query("cluster_fit", "SELECT round(regr_slope(mean_policy_margin, mean_v), 6) AS slope, round(regr_intercept(mean_policy_margin, mean_v), 6) AS intercept, count(*) AS n FROM clusters", ("clusters",))
 def cluster_fit(spark, sf):
     return explain.cluster_fit(clusters(spark, sf)).select(*r6("slope", "intercept"), "n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.hashing import seeded_md5
-from ..plans.ranking import hash_rank, percentiles
+from ..plans.ranking import hash_rank, kendall, percentiles, spearman
 from ..plans.sizing import dimension
 from .clean import CASE
 from .encode import PAD
@@ -328,45 +328,18 @@ def tidy(per_p: DataFrame, test: str, target: str, metrics: Sequence[str], seed:
 
 
 def rank_consistency(clusters: DataFrame, seed: int = 123) -> DataFrame:
-    """Spearman and Kendall tau-b between mean value and its proxy over clusters; undefined means 0.
+    """Spearman and Kendall tau-b between mean value and its proxy over any number of clusters; undefined means 0.
 
-    The proxy is the margin, else the value spread, else the mean value. Clusters are a model
-    parameter (eight by default), so one row holds them all. The last two columns name the scores
-    that were compared.
+    The proxy is the margin, else the value spread, else the mean value. The last two columns name the scores
+    that were compared. Fewer than two clusters give no row.
     """
     proxies = ("mean_policy_margin", "std_v", "mean_v")
-    pair = F.struct(F.col("mean_v").alias("x"), F.coalesce(*proxies).alias("y"))
     used = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in proxies])
-    one = clusters.where(F.col("mean_v").isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list(pair).alias("c"), F.array_join(F.sort_array(F.collect_set(used)), ",").alias("used"))
-
-    def mean_rank(f: str) -> Column:
-        def of(e: Column) -> Column:
-            less = F.size(F.filter("c", lambda o: o[f] < e[f]))
-            same = F.size(F.filter("c", lambda o: o[f] == e[f]))
-            return less + (same + 1) / 2.0
-
-        return F.transform("c", of)
-
-    def sign_sum(expr) -> Column:
-        return F.aggregate("c", F.lit(0.0), lambda acc, e: acc + F.aggregate("c", F.lit(0.0), lambda a2, o: a2 + expr(e, o)))
-
-    def sgn(d: Column) -> Column:
-        return F.signum(d.cast("double"))
-
-    taus = one.select(
-        "n", "used", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"),
-        sign_sum(lambda e, o: sgn(e["x"] - o["x"]) * sgn(e["y"] - o["y"])).alias("s"),
-        sign_sum(lambda e, o: F.abs(sgn(e["x"] - o["x"]))).alias("nx"), sign_sum(lambda e, o: F.abs(sgn(e["y"] - o["y"]))).alias("ny"))
-    kendall = F.coalesce(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))), F.lit(0.0))
-    mean = (F.col("n") + 1) / 2.0
-
-    def cross(a: str, b: str) -> Column:
-        return A.array_sum(F.zip_with(a, b, lambda u, v: (u - mean) * (v - mean)))
-
-    rho = F.coalesce(F.try_divide(cross("rx", "ry"), F.sqrt(cross("rx", "rx") * cross("ry", "ry"))), F.lit(0.0))
-    both = taus.where(F.col("n") >= 2).select("n", "used", F.explode(F.array(
-        F.struct(F.lit("spearman").alias("metric"), rho.alias("value")), F.struct(F.lit("kendall").alias("metric"), kendall.alias("value")))).alias("m"))
+    units = clusters.where(F.col("mean_v").isNotNull()).select(F.col("mean_v").alias("x"), F.coalesce(*proxies).alias("y"), used.alias("used"))
+    # at most three names
+    one = units.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("used")), ",").alias("used"))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(of(units, "x", "y", m).select(m).scalar(), F.lit(0.0)).alias("value")) for m, of in (("spearman", spearman), ("kendall", kendall))])
+    both = one.where(F.col("n") >= 2).select("n", "used", F.explode(values).alias("m"))
     return both.select(F.lit("rank_consistency").alias("test"), F.lit("cluster").alias("level"), "m.metric", "m.value", F.col("n").alias("n_items"),
                        F.col("n").alias("n_units"), F.lit(seed).alias("seed"), F.lit("mean_v").alias("score_q_used"), F.col("used").alias("score_ope_used"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_md5
-from ..session import stored_table
+from ..session import reach_workers, stored_table
 from .sizing import dimension
 
 
@@ -104,6 +106,80 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "spearman") -> DataFrame
     )
 
 
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """Weight of the pairs in which a larger value stands before a smaller one, bit by bit of the values' ranks.
+
+    Rows that agree in all higher bits keep their order; there, every row with the bit unset follows the weight
+    of those before it that have it set.
+    """
+    _, rank = np.unique(values, return_inverse=True)
+    rank, weights = rank.reshape(-1), weights.astype(np.int64)
+    large = int(weights.sum()) ** 2 >= 1 << 62
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        higher = rank >> (bit + 1)
+        order = np.argsort(higher, kind="stable")
+        w, on = weights[order], (rank[order] >> bit) & 1
+        ahead = np.cumsum(w * on)
+        starts = np.concatenate([[True], np.diff(higher[order]) != 0])
+        base = np.maximum.accumulate(np.where(starts, ahead - w * on, 0))
+        found = (w * (1 - on)).astype(object if large else np.int64) * (ahead - base)
+        total += int(found.sum())
+    return total
+
+
+def _bucket(value: Column, cuts: list[float]) -> Column:
+    """Even between two cuts, odd at one: a value that many rows share is a cut and has a bucket of its own."""
+    grid = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    steps = F.array(*[F.lit(1 << b) for b in range(max(1, len(cuts)).bit_length(), -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(grid, at + step - 1) < value), at + step).otherwise(at))
+    return (2 * below + F.coalesce((F.get(grid, below) == value).cast("int"), F.lit(0))).cast("int")
+
+
+def kendall(df: DataFrame, x: str, y: str, name: str = "kendall", cell: int = 500_000) -> DataFrame:
+    """One-row tau-b over pair counts; NULL when a side is constant. Rows with a NULL side do not count.
+
+    Discordant pairs are inversions of y in the order of x. Both axes are cut at quantiles into buckets of about
+    ``cell`` distinct pairs. Pairs within one bucket of y are counted there, pairs of different buckets of y within one bucket of
+    x there, all others from the bucket-by-bucket table of counts. Ties are never gathered: equal pairs
+    are one weighted row, and a value that is a cut has a bucket of its own, which holds no inversion.
+    """
+    reach_workers(df.sparkSession)
+    a, b, w = F.col("a"), F.col("b"), F.col("w")
+    pairs = df.select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).where(a.isNotNull() & b.isNotNull())
+    counted = stored_table(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+    parts = max(1, -(-counted.count() // cell))
+    grid = [i / parts for i in range(1, parts)] or [0.5]
+    cut = counted.agg(*[F.percentile_approx(c, F.array(*[F.lit(p) for p in grid]), F.lit(max(10_000, 10 * parts))).alias(c) for c in ("a", "b")]).first()
+    placed = stored_table(counted.withColumns({"p": _bucket(a, sorted(set(cut["a"] or []))), "q": _bucket(b, sorted(set(cut["b"] or [])))}))
+
+    def inside(by: str, values: str):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["a", "b"], ignore_index=True)
+            # halves of the count, as it may exceed a long
+            found = inversions(pdf[values].to_numpy(), pdf["w"].to_numpy())
+            return pd.DataFrame({"high": [found >> 60], "low": [found & ((1 << 60) - 1)]})
+
+        return placed.where(f"{by} % 2 = 0").groupBy(by).applyInPandas(count, "high long, low long")
+
+    within = inside("q", "b").unionByName(inside("p", "q"))
+    whole = lambda c: c.cast("decimal(38,0)")
+    within = within.agg(F.coalesce(F.sum(whole(F.col("high")) * F.lit(1 << 60).cast("decimal(20,0)") + whole(F.col("low"))), F.lit(0)).alias("d")).scalar()
+    axis = lambda c: F.explode(F.sequence(F.lit(0), F.lit(2 * parts))).alias(c)
+    table = df.sparkSession.range(1).select(axis("p")).select("p", axis("q"))
+    table = table.join(placed.groupBy("p", "q").agg(F.sum("w").alias("m")), ["p", "q"], "left").fillna(0, "m")
+    before = F.sum("m").over(Window.partitionBy("q").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    above = F.sum("c").over(Window.partitionBy("p").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1))
+    across = table.withColumn("c", F.coalesce(before, F.lit(0))).withColumn("g", F.coalesce(above, F.lit(0))).agg(F.sum(whole(F.col("m")) * whole(F.col("g"))).alias("d")).scalar()
+    two = lambda n: (whole(n) * (whole(n) - 1)).cast("decimal(38,0)")
+    ties = lambda c: counted.groupBy(c).agg(F.sum("w").alias("t")).agg(F.coalesce(F.sum(two(F.col("t"))), F.lit(0)).alias("t")).scalar()
+    sums = counted.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.coalesce(F.sum(two(w)), F.lit(0)).alias("both")).withColumns({"tx": ties("a"), "ty": ties("b"), "d": within + across})
+    # everything doubled: n (n - 1) counts each pair twice
+    left, right = (two(F.col("n")) - F.col("tx")).cast("double"), (two(F.col("n")) - F.col("ty")).cast("double")
+    score = (two(F.col("n")) - F.col("tx") - F.col("ty") + F.col("both") - 4 * F.col("d")).cast("double")
+    return sums.select(F.when((left > 0) & (right > 0), F.try_divide(score, F.sqrt(left) * F.sqrt(right))).alias(name), F.col("n").cast("long").alias("n"))
+
+
 def percentiles(
     df: DataFrame,
     value: str,
