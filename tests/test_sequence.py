@@ -55,6 +55,15 @@ def test_every_big_case_is_cut(skewed):
     assert rows(enriched(cut), *COLS) == rows(enriched(skewed), *COLS)
 
 
+def test_events_of_one_time_are_spread(skewed):
+    """Cuts run through the events of one timestamp, with ties in the activity as well, and results do not change."""
+    same = skewed.withColumn("timestamp", F.when(F.col("case_id") == -1, F.lit("2024-01-01").cast("timestamp")).otherwise(F.col("timestamp")))
+    same = same.withColumn("activity", F.when(F.col("event_id") % 4 == 0, F.lit("view")).when(F.col("event_id") % 31 == 0, F.lit(None)).otherwise(F.col("activity")))
+    cut = segment_cases(same, max_rows=200)
+    assert cut.where("case_id = -1").groupBy(SEGMENT).count().agg(F.max("count")).first()[0] < 500
+    assert rows(enriched(cut), *COLS) == rows(enriched(same), *COLS)
+
+
 def test_small_log_is_returned_unchanged(skewed):
     assert SEGMENT not in segment_cases(skewed).columns
 

@@ -189,7 +189,7 @@ def feedback_transitions(
     ``min_cases`` usable cases yield an empty result.
     """
     vector = F.array(*[F.coalesce(F.try_element_at(F.col("state_features"), F.lit(f)), F.lit(0.0)) for f in features])
-    base = segment_cases(feedback.withColumn("s", vector), case, "t", max_rows)
+    base = segment_cases(feedback.withColumn("s", vector), case, "t", max_rows, order)
     seq = ordered(base, order, case, lead={"s_next": F.col("s"), "_next_t": F.col("t")}, position="_pos", count="n_rows")
     usable = seq.where(F.col("n_rows") >= 2)
     if terminal == "drop":

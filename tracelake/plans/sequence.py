@@ -2,7 +2,7 @@
 
 ``ordered`` gives every event its position, neighbours, running sums, recent history and case
 totals. On an ordinary log that is one exchange and one sort on the case key. ``segment_cases``
-cuts oversized cases into time-ordered segments first; windows then run per (case, segment) and the
+cuts oversized cases into ordered segments first; windows then run per (case, segment) and the
 segment summaries carry positions, sums and edge events across the cuts.
 """
 
@@ -21,8 +21,8 @@ SEGMENT = "_segment"
 WHOLE = -1  # segment number of cases that are not cut
 
 
-def _as_number(time: Column, dtype: str) -> Column:
-    return F.unix_micros(time).cast("double") if dtype.startswith("timestamp") else time.cast("double")
+#: Sampled events per segment that cut points are taken from.
+SAMPLED = 16
 
 
 def segment_cases(
@@ -30,39 +30,41 @@ def segment_cases(
     case: str = "case_id",
     time: str = "timestamp",
     max_rows: int = 1_000_000,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add a segment number to the log when some case exceeds ``max_rows`` events.
 
     Case sizes come from a partial aggregate over the key column alone. Every oversized case is cut; there
-    are at most events / ``max_rows`` of them, and their tables are broadcast only while they are small. Cut points are time quantiles per oversized case, about one per
-    ``max_rows`` events, stored once so that all readers agree on them. Equal times stay together.
+    are at most events / ``max_rows`` of them, and their tables are broadcast only while they are small. Cut points lie in the
+    order of events: by default time, activity and event id as far as the log has them, so events of one
+    time spread as well. They are taken from a hash sample of about ``SAMPLED`` events per segment, stored once so that
+    all readers agree on them. Only events that agree in the whole order stay together.
     A log without oversized cases is returned unchanged.
     """
-    moment = _as_number(F.col(time), dict(log.dtypes)[time])
+    order = list(order) if order else [time, *[c for c in ("activity", "event_id") if c in log.columns and c != time]]
+    at = F.struct(*order)
     sizes = log.groupBy(case).agg(F.count(F.lit(1)).alias("_n"))
     big = stored(sizes.where(F.col("_n") > max_rows))
     largest = big.agg(F.max("_n")).first()[0]
     if largest is None:
         return log
-    # fine enough for the largest case, whatever its size
-    steps = max(64, 4 * -(-largest // max_rows))
-    grid = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    pieces = -(-largest // max_rows)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(1), case, *order), 11) / F.lit(float(1 << 53)) < F.lit(min(1.0, SAMPLED / max_rows))
     cuts = (
-        log.join(dimension(big), case)
+        log.where(drawn).join(dimension(big), case)
         .groupBy(case)
-        .agg(F.first("_n").alias("_n"), F.percentile_approx(moment, grid, F.lit(max(20_000, 5 * steps))).alias("_grid"))
-        .withColumn("_pieces", F.ceil(F.col("_n") / max_rows).cast("int"))
+        # SAMPLED events for each segment of the case
+        .agg(F.ceil(F.first("_n") / max_rows).cast("int").alias("_pieces"), F.sort_array(F.collect_list(at)).alias("_sample"))
         .select(case, F.array_sort(F.array_distinct(F.expr(
-            f"transform(sequence(1, greatest(_pieces - 1, 1)), i -> _grid[cast(i * {steps}L / _pieces as int) - 1])"
-        ))).alias("_cuts"))
+            "transform(sequence(1, greatest(_pieces - 1, 1)), i -> _sample[cast(cast(i as bigint) * size(_sample) / _pieces as int)])"))).alias("_cuts"))
     )
     cuts = dimension(cuts)
     found = F.aggregate(
-        F.array(*[F.lit(1 << b) for b in range(int(steps).bit_length(), -1, -1)]),
+        F.array(*[F.lit(1 << b) for b in range(int(pieces).bit_length(), -1, -1)]),
         F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size("_cuts")) & (F.get(F.col("_cuts"), at + step - 1) < moment), at + step
-        ).otherwise(at),
+        lambda n, step: F.when(
+            (n + step <= F.size("_cuts")) & (F.get(F.col("_cuts"), n + step - 1) < at), n + step
+        ).otherwise(n),
     )
     return (
         log.join(cuts, case, "left")
