@@ -2,16 +2,19 @@
 
 from datetime import datetime, timedelta
 
-from tracelake.operators import cases
+from tests.conftest import rows
+from tracelake.operators import cases, sessions
+from tracelake.plans.sequence import segment_cases
 from tracelake.streaming import cases as cstream
 from tracelake.streaming import metrics
+from tracelake.streaming import sessions as ssessions
 
 EVENT = "case_id long, activity string, timestamp timestamp, event_id long, value double, token_id int"
 START = datetime(2024, 3, 1)
 
 
 def event(case, minute, activity, event_id, value=None):
-    return case, activity, START + timedelta(minutes=minute), event_id, value, 2 + len(activity)
+    return case, activity, START + timedelta(minutes=minute), event_id, value, 2 + len(activity or "")
 
 
 def run_parts(spark, tmp_path, parts, spec):
@@ -52,3 +55,26 @@ def test_idle_cases_are_evicted(spark, tmp_path):
     got, _ = run_parts(spark, tmp_path, parts, spec)
     # the case came back after its state was gone, so its prefix starts anew
     assert sorted((r.case_id, r.t, r.count_view) for r in got) == [(1, 1, 1.0), (1, 1, 1.0), (1, 2, 2.0), (2, 1, 1.0), (2, 2, 2.0)]
+
+
+def test_sessions_of_batch_and_stream(spark, tmp_path):
+    """Late events bridge two sessions; a gap as long as the limit does not part them."""
+    parts = [[event(1, 0, "view", 1, 1.0), event(1, 100, "view", 2, 5.0), event(2, 0, "click", 3)], [event(1, 50, "click", 4), event(2, 60, "view", 5), event(2, 121, "view", 6, 2.0)],
+             [event(3, 300, "view", 7)], [event(None, 9000, "beat", None)]]
+    late = 0
+    for part in parts:
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+        query = ssessions.start_sessions(stream, "60 minutes", str(tmp_path / "out"), str(tmp_path / "ck"), "2 hours", ["view"], ["value"], partitions=2)
+        query.awaitTermination()
+        late += metrics.late_rows(query)
+    log = spark.createDataFrame([e for p in parts[:3] for e in p], EVENT)
+    batch = sessions.session_summary(log, "60 minutes", ["view"], ["value"])
+    want = [(1, 3, 6000.0, 2, 5.0), (2, 1, 0.0, 1, 2.0), (2, 2, 3600.0, 1, None), (3, 1, 0.0, 1, None)]
+    for got in (batch, spark.read.parquet(str(tmp_path / "out"))):
+        assert rows(got, "case_id", "n_events", "duration", "count_view", "max_value") == want
+    assert late == 0
+    cases_of = sessions.session_cases(log, 3600)
+    assert rows(cases_of.groupBy("case_id", "session").count(), "case_id", "count") == [(1, 3), (2, 1), (2, 2), (3, 1)]
+    cut = sessions.session_cases(segment_cases(log, max_rows=1), 3600, max_rows=1)
+    assert rows(cut, "event_id", "session") == rows(cases_of, "event_id", "session")

@@ -553,6 +553,18 @@ def split_profile(spark, sf):
     return profile(spark, sf).select("split", "n_cases", "n_transitions", *r6(*PROFILE))
 
 
+@query("split_totals", """SELECT split, last_activity, CAST(GROUPING_ID(split, last_activity) AS INTEGER) AS level, count(*) AS n_transitions, CAST(sum(done) AS BIGINT) AS n_done, round(avg(r), 6) AS reward_mean, round(stddev_pop(r), 6) AS reward_std,
+    true AS cases_near FROM tr_session JOIN splits USING (case_id) GROUP BY ROLLUP (split, last_activity)""", ("tr_session", "splits"))
+def split_totals(spark, sf):
+    tr, parts = session_transitions(spark, sf), session_splits(spark, sf)
+    totals = splits.split_totals(tr, parts)
+    exact = tr.join(parts.select("case_id", "split"), "case_id").rollup("split", "last_activity").agg(F.grouping_id().cast("int").alias("level"), F.count_distinct("case_id").alias("n_cases"))
+    t, e = totals.alias("t"), exact.alias("e")
+    both = t.join(e, (F.col("t.level") == F.col("e.level")) & F.col("t.split").eqNullSafe(F.col("e.split")) & F.col("t.last_activity").eqNullSafe(F.col("e.last_activity")))
+    near = (F.abs(F.col("cases_about") - F.col("n_cases")) <= 3 + 0.08 * F.col("n_cases")).alias("cases_near")
+    return both.select("t.split", "t.last_activity", "t.level", "n_transitions", "n_done", *r6("reward_mean", "reward_std"), near)
+
+
 @query("episode_drift", """SELECT round(a.m, 6) AS train_mean, round(b.m, 6) AS test_mean, round(100.0 * abs(b.m - a.m) / a.m, 6) AS drift_pct,
     100.0 * abs(b.m - a.m) / a.m > 1.0 AS flagged FROM (SELECT episode_len_mean AS m FROM profile WHERE split = 'train') a,
     (SELECT episode_len_mean AS m FROM profile WHERE split = 'test') b""", ("profile",))

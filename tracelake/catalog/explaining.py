@@ -200,6 +200,16 @@ def kmeans_states(spark, sf):
     return explain.kmeans_states(f, names, 8, 123, n_init=2).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kmeans_certificate", "SELECT count(*) AS n_states, true AS k_used, 0 AS n_misplaced FROM tr_session", ("tr_session",))
+def kmeans_certificate(spark, sf):
+    """Clusters of the states at convergence: no state is nearer to another cluster's mean."""
+    f = cases.case_features(views.log_session(spark, sf), ["value"], ["view", "click"])
+    names = ["value", "prefix_len", "count_view", "count_click"]
+    rows = session_transitions(spark, sf).select("case_id", "t").join(f.select("case_id", "t", *names), ["case_id", "t"])
+    got = explain.kmeans_certificate(explain.kmeans_states(stored(rows), names, 8, 123, 1, 300, 1e-12), names)
+    return got.select("n_states", F.col("n_clusters").between(2, 8).alias("k_used"), "n_misplaced")
+
+
 cte("state_feat", """SELECT t.case_id, t.t, CAST(t.t AS DOUBLE) AS prefix_len, CAST(t.last_activity = 'view' AS INT)::DOUBLE AS last_view,
     (SELECT count(*) FROM seq_session e WHERE e.case_id = t.case_id AND e.t <= t.t AND e.t > t.t - 10 AND e.activity = 'view')::DOUBLE AS n_view FROM tr_session t""", "tr_session", "seq_session")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, masked
-from ..operators import cases, clean, ope, values
+from ..operators import cases, clean, ope, scorers, values
 from ..session import stored
 from ..sources import views
 from .base import SPEC, cte, query, r6, session_splits, session_transitions, sql6
@@ -144,6 +144,16 @@ def behavior_logistic(spark, sf):
     return fitted.select("case_id", "t", F.round(F.col("pi_b")[1], 6).alias("p1"))
 
 
+@query("logistic_certificate", "SELECT count(*) AS n, true AS at_maximum FROM tr_session k JOIN splits s ON s.case_id = k.case_id WHERE split = 'train'", ("tr_session", "splits"))
+def logistic_certificate(spark, sf):
+    """The fitted propensities maximise the likelihood of the training part: its gradient vanishes."""
+    f = cases.case_features(views.log_session(spark, sf), ["value"], ["view", "click"]).drop("n_events")
+    train = stored(clean.filter_split(session_transitions(spark, sf).join(f, ["case_id", "t"]), session_splits(spark, sf), "train"))
+    names = ["value", "prefix_len", "elapsed_time", "count_view", "count_click"]
+    fitted = values.behavior_logistic(train, train, names, N, max_iter=200, raw="p_model")
+    return values.logistic_certificate(fitted, names, N, "p_model").select("n", (F.col("steepest") < 1e-3).alias("at_maximum"))
+
+
 @query("q_stats", """SELECT round(avg(x), 6) AS q_mean, round(stddev_samp(x), 6) AS q_std, round(min(x), 6) AS q_min, round(max(x), 6) AS q_max, round(avg(abs(x)), 6) AS q_abs_mean
     FROM (SELECT q0 AS x FROM scored UNION ALL SELECT q1 FROM scored)""", ("scored",))
 def q_stats(spark, sf):
@@ -325,3 +335,28 @@ def cycle_time_audit(spark, sf):
     flags = cases.case_interventions(s, test)
     audit = cases.cycle_time_audit(cases.cycle_time(views.log_session(spark, sf, segment=False)), flags)
     return audit.select("n_cases", "n_missing_ct", *r6("intervention_rate", "ct_with", "ct_without", "ct_overall", "delta_days"), F.round("delta_pct", 5).alias("delta_pct"))
+
+
+# fixed values: a linear scorer over (value, prefix_len, count_view), one row per action
+SCORER = ((0.02, -0.3, 0.125), (0.05, 0.1, -0.25))
+
+
+def linear_scorer():
+    """A user's model: built once per worker, matrices in and out."""
+    import numpy as np
+
+    weights = np.array(SCORER)
+    return lambda states: states @ weights.T + np.array([0.5, 0.0])
+
+
+_Q = [f"(value * {a}::DOUBLE + prefix_len * {b}::DOUBLE + count_view * {c}::DOUBLE + {d}::DOUBLE)" for (a, b, c), d in zip(SCORER, (0.5, 0.0), strict=True)]
+
+
+@query("scorer_values", f"SELECT case_id, t, round({_Q[0]}, 6) + 0.0 AS q0, round({_Q[1]}, 6) + 0.0 AS q1, CAST({_Q[1]} > {_Q[0]} AS INTEGER) AS a_star FROM feat_session", ("feat_session",))
+def scorer_values(spark, sf):
+    """A user's vectorised model fills the value contract of the policy operators."""
+    f = cases.case_features(views.log_session(spark, sf), ["value"], ["view"])
+    q = scorers.with_values(f, ["value", "prefix_len", "count_view"], linear_scorer, 2)
+    every = F.array(F.lit(1).cast("tinyint"), F.lit(1).cast("tinyint"))
+    scored = q.withColumns({"q0": F.col("q")[0], "q1": F.col("q")[1], "a_star": values.greedy_action(F.col("q"), every).cast("int")})
+    return scored.select("case_id", "t", *r6("q0", "q1"), "a_star")

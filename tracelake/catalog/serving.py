@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import render
 from ..operators.encode import build_vocab
-from ..operators import cases, clean, distill, explain, guard, monitor, ope, splits, values
+from ..operators import boxes, cases, clean, distill, explain, guard, monitor, ope, splits, values
 from ..plans.sequence import ordered
 from ..session import scratch_dir, stored
 from ..sources import readers, views, writers
@@ -104,6 +104,31 @@ def tree_rules(spark, sf):
     return distill.rules_table(rules, spark)
 
 
+@query("rules_boxes", """SELECT (SELECT count(*) FROM scored) AS n_states, 0 AS in_no_box, 0 AS in_many, 0 AS text_differs, 0 AS sql_differs, 0 AS n_uncovered, 0 AS n_overlaps, true AS same_boxes""", ("scored",))
+def rules_boxes(spark, sf):
+    """Both exports of a fitted tree, read back: disjoint boxes that cover the space and decide as the rules do."""
+    rows = stored(_labelled(spark, sf))
+    _, rules = distill.fit_tree(rows, FEATURES, SPEC.actions, "a_star", 4, 20)
+    exported = rules.sql()
+    found = boxes.boxes_of_text(rules.text, SPEC.actions)
+    case = exported[exported.index("CASE"):exported.index(" AS recommended_action")]
+    out = boxes.decided_by_boxes(distill.apply_rules(rows, rules), found).withColumn("by_sql", F.expr(case))
+    read = boxes.boxes_of_sql(exported)
+    return out.agg(
+        F.count(F.lit(1)).alias("n_states"), F.count_if(F.col("n_boxes") == 0).cast("int").alias("in_no_box"), F.count_if(F.col("n_boxes") > 1).cast("int").alias("in_many"),
+        F.count_if(~F.col("box_action").eqNullSafe(F.col("recommended_action"))).cast("int").alias("text_differs"),
+        F.count_if(~F.col("by_sql").eqNullSafe(F.col("recommended_action"))).cast("int").alias("sql_differs")).withColumns({
+            "n_uncovered": F.lit(len(boxes.uncovered(found))), "n_overlaps": F.lit(boxes.overlaps(found)), "same_boxes": F.lit(set(read) == set(found) and len(read) == len(found))})
+
+
+@query("tree_certificate", """SELECT (SELECT count(*) FROM scored) AS n_states, 0 AS small_leaves, 0 AS wrong_majority, 0 AS wrong_confidence""", ("scored",))
+def tree_certificate(spark, sf):
+    """What makes a tree of rules right: on the states it was fitted to, every leaf is large enough and predicts its weighted majority."""
+    rows = stored(_labelled(spark, sf))
+    _, rules = distill.fit_tree(rows, FEATURES, SPEC.actions, "a_star", 4, 20)
+    return distill.leaf_certificate(rows, rules, "a_star", 20).select("n_states", *[F.col(c).cast("int").alias(c) for c in ("small_leaves", "wrong_majority", "wrong_confidence")])
+
+
 @query("distill_policy")
 def distill_policy(spark, sf):
     return distill.distill(_labelled(spark, sf), FEATURES, SPEC.actions, "a_star")[1]
@@ -523,6 +548,16 @@ def xes_log(spark, sf):
     return clean.parse_timestamps(log).select("case_id", "activity", F.unix_micros("timestamp").alias("us"))
 
 
+@query("json_documents", """SELECT split, n_cases, count_a0 FROM (SELECT split, count(DISTINCT k.case_id) AS n_cases, count(*) FILTER (a = 0) AS count_a0 FROM tr_session k JOIN splits s ON s.case_id = k.case_id GROUP BY split)""", ("tr_session", "splits"))
+def json_documents(spark, sf):
+    """One JSON document per split, spread over lines, written and read back whole."""
+    path = scratch_dir(spark, "documents")
+    per = session_transitions(spark, sf).join(session_splits(spark, sf), "case_id").groupBy("split").agg(F.count_distinct("case_id").alias("n_cases"), F.count_if(F.col("a") == 0).alias("count_a0"))
+    text = F.to_json(F.struct("split", "n_cases", F.struct("count_a0").alias("actions")), {"pretty": "true"}).alias("value")
+    per.select(F.col("split").alias("name"), text).write.partitionBy("name").text(path)
+    return readers.read_json_document(spark, path, "split string, n_cases long, actions struct<count_a0:long>").select("split", "n_cases", "actions.count_a0")
+
+
 @query("decision_log", "SELECT request_id, action_id, source, round(confidence, 6) AS confidence, ood FROM decisions WHERE timestamp >= TIMESTAMP '2024-01-10'", ("decisions",))
 def decision_log(spark, sf):
     path = scratch_dir(spark, "decision-log")

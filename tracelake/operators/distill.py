@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import hash_rank, spearman
@@ -148,6 +148,28 @@ def tree_rules(model, features: Sequence[str], actions: Sequence[str], spark) ->
     return Rules(tuple(found), tuple(actions), 0, text, model.depth, len(found), tuple(features))
 
 
+def leaf_certificate(train: DataFrame, rules: Rules, label: str = "label", min_leaf: int = 50, balanced: bool = True) -> DataFrame:
+    """One row that tells whether the rules are leaves fitted to ``train``: all counts but ``n_states`` are 0 if so.
+
+    Every state falls to the first rule that holds. Leaves under ``min_leaf`` states, leaves whose action is not that of the
+    largest class weight, and leaves whose confidence is not its share of the weight are counted; balanced weights give
+    every class the same total.
+    """
+    leaf = F.coalesce(*[F.when(F.expr(c), F.lit(i)) for i, (c, _, _) in enumerate(rules.rules)])
+    sizes = train.groupBy(leaf.alias("leaf"), F.col(label).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # one row per leaf and class
+    per_class, all_rows = Window.partitionBy("y"), Window.partitionBy(F.lit(0))
+    weight = F.col("n") / F.sum("n").over(per_class) if balanced else F.col("n") / F.sum("n").over(all_rows)
+    leaves = sizes.withColumn("w", weight).groupBy("leaf").agg(
+        F.sum("n").alias("n"), F.max("w").alias("top"), F.sum("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("y", "w"))).alias("of"))
+    told = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p")) for _, a, p in rules.rules])
+    rule = F.get(told, F.col("leaf"))
+    share = F.coalesce(F.try_element_at("of", rule["a"].cast("int")), F.lit(0.0))
+    return leaves.agg(
+        F.sum("n").cast("long").alias("n_states"), F.count_if(F.col("n") < min_leaf).alias("small_leaves"), F.count_if(share < F.col("top") * (1 - 1e-9)).alias("wrong_majority"),
+        F.count_if(F.abs(share / F.col("w") - rule["p"]) > 1e-6).alias("wrong_confidence"))
+
+
 def rule_list(rules: Sequence[tuple[str, str, float]], actions: Sequence[str], default: str = "do_nothing") -> Rules:
     """Hand-written ordered rules (condition, action name, confidence)."""
     names = tuple(actions)

@@ -209,7 +209,7 @@ def state_features(tr: DataFrame, activities: Sequence[str], x: str = "s", ids:
     return tr.withColumns({**count, **last, "prefix_len": F.col("t").cast("double")})
 
 
-def kmeans_states(df: DataFrame, features: Sequence[str], k: int = 8, seed: int = 123, n_init: int = 10) -> DataFrame:
+def kmeans_states(df: DataFrame, features: Sequence[str], k: int = 8, seed: int = 123, n_init: int = 10, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
     """Distributed k-means, best of ``n_init`` seeds; adds ``cluster_id``."""
     from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
@@ -218,7 +218,7 @@ def kmeans_states(df: DataFrame, features: Sequence[str], k: int = 8, seed: int
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, initMode="k-means||", featuresCol="_x", predictionCol="cluster_id").fit(rows)
+        model = KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter, tol=tol, featuresCol="_x", predictionCol="cluster_id").fit(rows)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     out = best.transform(rows).drop("_x")
@@ -226,6 +226,18 @@ def kmeans_states(df: DataFrame, features: Sequence[str], k: int = 8, seed: int
     return out
 
 
+def kmeans_certificate(df: DataFrame, features: Sequence[str], cluster: str = "cluster_id") -> DataFrame:
+    """One row: states, clusters, and states that lie nearer to the mean of another cluster; 0 of these prove a fixed point of k-means."""
+    vector = df.select(F.col(cluster).alias("cluster"), F.array(*[F.col(c).cast("double") for c in features]).alias("vector"))
+    # one centre per cluster
+    centres = centroids(vector, len(features)).agg(F.collect_list(F.struct("cluster", "centroid")).alias("c")).scalar()
+    away = F.transform("_c", lambda c: F.struct(A.squared_distance(F.col("vector"), c["centroid"]).alias("d"), c["cluster"].alias("cluster")))
+    own = F.array_max(F.transform(F.filter("_d", lambda x: x["cluster"] == F.col("cluster")), lambda x: x["d"]))
+    least = F.array_min(F.transform("_d", lambda x: x["d"]))
+    judged = vector.withColumn("_c", centres).withColumn("_d", away).select("cluster", (own > least * (1 + 1e-9) + 1e-9).alias("misplaced"))
+    return judged.agg(F.count(F.lit(1)).alias("n_states"), F.count_distinct("cluster").cast("int").alias("n_clusters"), F.count_if("misplaced").cast("int").alias("n_misplaced"))
+
+
 def cluster_profile(df: DataFrame, n_actions: int, cluster: str = "cluster_id") -> DataFrame:
     """Size, greedy-action shares, value moments (population), mean delta_q and margin per cluster."""
     agg = df.groupBy(cluster).agg(

@@ -97,6 +97,29 @@ def split_profile(tr: DataFrame, splits: DataFrame, n_actions: int, case: str =
         *[(F.col(f"a{i}") / n).alias(f"action_{i}_rate") for i in range(n_actions)])
 
 
+def split_totals(tr: DataFrame, splits: DataFrame, by: str = "last_activity", case: str = CASE) -> DataFrame:
+    """Transitions per split and ``by`` with totals per split and over all: ``level`` 0, 1 and 3 as GROUPING_ID has them.
+
+    The transitions are aggregated once, to the finest groups; totals add up their moments and sketches. Rewards have
+    mean and population deviation from mergeable sums of squares around the groups' means; ``cases_about`` is an estimate from a sketch (1.6 %
+    standard error). A NULL of ``by`` is a group, not a total, which the level tells.
+    """
+    r = F.col("r").cast("double")
+    finest = tr.join(splits.select(case, "split"), case).groupBy("split", by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("done").cast("long")).alias("d"), F.avg(r).alias("mean"), F.var_pop(r).alias("var"),
+        F.hll_sketch_agg(F.col(case).cast("string"), 12).alias("sketch"))
+    n, mean = F.col("n").cast("double"), F.col("mean")
+    # from here on there is one row per finest group
+    total = finest.rollup("split", by).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n_transitions"), F.sum("d").alias("n_done"), F.sum(n * mean).alias("_s"),
+        F.sum(n * F.col("var")).alias("_within"), F.collect_list(F.struct(n.alias("n"), mean.alias("m"))).alias("_groups"), F.hll_union_agg("sketch").alias("_sketch"))
+    whole = F.col("_s") / F.col("n_transitions")
+    between = F.aggregate("_groups", F.lit(0.0), lambda acc, g: acc + g["n"] * (g["m"] - whole) * (g["m"] - whole))
+    return total.select(
+        "split", by, "level", "n_transitions", "n_done", whole.alias("reward_mean"), F.sqrt((F.col("_within") + between) / F.col("n_transitions")).alias("reward_std"),
+        F.hll_sketch_estimate("_sketch").alias("cases_about"))
+
+
 def episode_drift(profile: DataFrame, threshold_pct: float = 20.0) -> DataFrame:
     """Change of mean episode length, train to test; the profile has one row per split."""
     one = profile.agg(

@@ -231,8 +231,8 @@ def with_behavior(df: DataFrame, table: DataFrame, n_actions: int) -> DataFrame:
     return df.join(lookup, list(KEY), "left").withColumn("pi_b", mask_renormalise(p, F.col("valid_actions"), n_actions)).drop("p")
 
 
-def behavior_logistic(train: DataFrame, rows: DataFrame, features: Sequence[str], n_actions: int, max_iter: int = 20, reg: float = 0.0) -> DataFrame:
-    """Multinomial logistic propensities fitted on ``train`` and attached to ``rows`` as ``pi_b``."""
+def behavior_logistic(train: DataFrame, rows: DataFrame, features: Sequence[str], n_actions: int, max_iter: int = 20, reg: float = 0.0, raw: str | None = None) -> DataFrame:
+    """Multinomial logistic propensities fitted on ``train`` and attached to ``rows`` as ``pi_b``; as ``raw`` before the mask."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -244,7 +244,20 @@ def behavior_logistic(train: DataFrame, rows: DataFrame, features: Sequence[str]
     out = model.transform(assemble.transform(rows)).withColumn("_p", vector_to_array("_prob"))
     # classes never seen in training have no column in the model
     full = F.transform(F.sequence(F.lit(0), F.lit(n_actions - 1)), lambda i: F.coalesce(F.get(F.col("_p"), i), F.lit(0.0)))
-    return out.withColumn("pi_b", mask_renormalise(full, F.col("valid_actions"), n_actions)).drop("_x", "_prob", "_pred", "_raw", "_p")
+    out = out.withColumns({"pi_b": mask_renormalise(full, F.col("valid_actions"), n_actions), **({raw: full} if raw else {})})
+    return out.drop("_x", "_prob", "_pred", "_raw", "_p")
+
+
+def logistic_certificate(train: DataFrame, features: Sequence[str], n_actions: int, raw: str) -> DataFrame:
+    """One row: training rows and the steepest slope of the mean log-likelihood in any weight, per deviation of its feature.
+
+    At the maximum every action's predicted and logged counts agree, alone and weighted with each feature, so
+    the slope is 0. Without a penalty only.
+    """
+    miss = [A.at(F.col(raw), F.lit(k)) - (F.col("a") == k).cast("double") for k in range(n_actions)]
+    slopes = [F.abs(F.avg(m)) for m in miss]
+    slopes += [F.abs(F.try_divide(F.avg(m * F.col(c).cast("double")), F.stddev_pop(F.col(c).cast("double")))) for m in miss for c in features]
+    return train.agg(F.count(F.lit(1)).alias("n"), F.greatest(*slopes).alias("steepest"))
 
 
 def behavior_diagnostics(df: DataFrame) -> DataFrame:
