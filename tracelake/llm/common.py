@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,19 +28,36 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def place(columns: list[str], name: str) -> int:
+    """Where the column of this name stands: of exactly this name, else in other case."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
+
+
 def bundled(docs: DataFrame, *apart: str) -> DataFrame:
-    """The columns ``apart`` and a struct ``_rest`` of all others, whose names cannot clash any more."""
-    return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in apart]).alias("_rest"))
+    """The columns ``apart`` and a struct ``_rest`` of all others by their place, whose names cannot clash any more."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    places = [place(docs.columns, n) for n in apart]
+    return docs.toDF(*names).select(*[F.col(names[i]).alias(n) for n, i in zip(apart, places, strict=True)], F.struct(*[n for i, n in enumerate(names) if i not in places]).alias("_rest"))
+
+
+def unbundled(docs: DataFrame, names: list[str], without: Iterable[str] = (), **apart: Column) -> DataFrame:
+    """The columns ``names`` of the table that was bundled: those in ``apart`` as given, others as they were, none that is called like ``without`` in any case."""
+    given = {place(names, n): c for n, c in apart.items() if n.lower() in {x.lower() for x in names}}
+    left = {x.lower() for x in without}
+    return docs.select(*[given.get(i, F.col(f"_rest._{i}")).alias(n) for i, n in enumerate(names) if n.lower() not in left], *without)
+
 
+def extended(docs: DataFrame, needed: list[str], added: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with the columns ``added`` that ``compute`` adds to the columns ``needed``, replacing those of the same name in any case.
 
-def unbundled(docs: DataFrame, names: list[str], **apart: Column) -> DataFrame:
-    """The columns ``names`` in order: those in ``apart`` as given there, the others as they were bundled."""
-    return docs.select(*[(apart[c.lower()] if c.lower() in apart else F.col(f"_rest.`{c}`")).alias(c) for c in names])
+    ``compute`` returns the needed columns and ``_rest`` as they were.
+    """
+    return unbundled(compute(bundled(docs, *needed)), docs.columns, added, **{n: F.col(n) for n in needed})
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
-    """The columns of exactly these names, whatever else the table holds: names with dots or in other case."""
-    places = [df.columns.index(n) for n in names]
+    """The columns of these names, whatever else the table holds: names with dots or in other case."""
+    places = [place(df.columns, n) for n in names]
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 

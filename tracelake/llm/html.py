@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sizing import dimension
 from ..session import stored_table
-from .common import slices
+from .common import extended, picked, slices
 
 #: Text nodes of more words are data; their words are no tokens.
 SHORT = 12
@@ -469,11 +469,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     pooled template; where even that has too few pages, only the roles of elements decide. The html
     is read three times and not shuffled, unless there are more than FEW_TEMPLATES templates.
     """
-    own = [c for c in pages.columns if c not in ("text", "n_chars")]
-    needed = pages.select("page_id", host_key(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    needed = picked(pages, "page_id", "url", "html").select("page_id", host_key(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     groups, known = templates(needed)
-    joined = pages.withColumn("_host", host_key(F.col("url"))).join(groups.withColumnRenamed("host", "_host"), "_host", "left").withColumnRenamed("group", "_group").join(
-        known.select(F.col("group").alias("_group"), F.col("root").alias("_root"), *[F.col(c).alias(f"_{c}") for c in ("fixed", "links", "chromes", "cleared", "trusted", "box")]), "_group", "left")
 
     @F.pandas_udf("string")
     def run(html: pd.Series, group: pd.Series, *template: pd.Series) -> pd.Series:
@@ -485,9 +482,13 @@ def main_text(pages: DataFrame) -> DataFrame:
             out.append(extract(page, *known[g]))
         return pd.Series(out, dtype=object)
 
-    template = ["_root", "_fixed", "_links", "_chromes", "_cleared", "_trusted", F.col("_box").cast("string")]
-    text = run(F.col("html").cast("string"), "_group", *template)
-    return joined.select(*own, text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    columns = ("root", "fixed", "links", "chromes", "cleared", "trusted")
+
+    def read(d: DataFrame) -> DataFrame:
+        joined = d.withColumn("host", host_key(F.col("url"))).join(groups, "host", "left").join(known.select("group", *columns, F.col("box").cast("string").alias("box")), "group", "left")
+        return joined.withColumn("text", run(F.col("html").cast("string"), "group", *columns, "box")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+    return extended(pages, ["url", "html"], ["text", "n_chars"], read)
 
 
 def query(spark, folder: str) -> DataFrame:

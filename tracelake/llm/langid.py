@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, seeded_unit
+from .common import extended, fold, picked, read_table, seeded_unit
 
 #: Hashed n-gram counts of a text.
 DIMS = 1 << 13
@@ -119,7 +119,7 @@ def learn_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int
     Whole texts with a letter and a non-null ``lang`` are used. Their features are computed by the
     executors; the driver receives the sample only. None if there is no such row.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = picked(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
@@ -159,9 +159,8 @@ def with_language(docs: DataFrame, model: LanguageCode | None, text: str = "text
                 out.loc[rows, "ambiguous"] = unsure
             yield out
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    found = docs.select(*own, decide(F.col(text).cast("string")).alias("_found"))
-    return found.select(*own, "_found.lang_pred", "_found.score", "_found.ambiguous")
+    added = ["lang_pred", "score", "ambiguous"]
+    return extended(docs, [text], added, lambda d: d.withColumn("_found", decide(F.col(text).cast("string"))).select(text, "_rest", *[f"_found.{c}" for c in added]))
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sizing import dimension
 from ..session import stored_table
-from .common import bundled, lines_of, partitions, unbundled
+from .common import bundled, lines_of, partitions, picked, unbundled
 
 #: The ASCII white-space characters of a key's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -76,16 +76,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     doc_id are one document. Rows without doc_id keep all lines and are nobody's first document.
     Columns named n_lines or n_dropped are replaced, all others are kept, whatever their names.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    maps = stored_table(drop_bitmaps(docs.select("doc_id", "text"), min_chars))
+    maps = stored_table(drop_bitmaps(picked(docs, "doc_id", "text"), min_chars))
     marked = bundled(docs, "doc_id", "text").withColumn("th", F.xxhash64(text)).join(dimension(maps).hint("shuffle_hash"), ["doc_id", "th"], "left")
     lines = marked.withColumn("lines", lines_of(F.col("text")))
     dense = F.expr(f"transform(sequence(0, (size(lines) - 1) div {BITS}), w -> coalesce(element_at(words, cast(w as int)), 0L))")
     kept = F.expr(f"filter(lines, (x, i) -> dense is null or (shiftright(get(dense, i div {BITS}), i % {BITS}) & 1) = 0)")
     cut = lines.withColumn("dense", F.when(F.col("words").isNotNull(), dense)).withColumn("kept", kept)
     counts = {"n_lines": F.size("lines").cast("long"), "n_dropped": (F.size("lines") - F.size("kept")).cast("long")}
-    return unbundled(cut, [*own, *counts], doc_id=F.col("doc_id"), text=F.array_join("kept", "\n"), **counts)
+    return unbundled(cut.withColumns(counts), docs.columns, list(counts), doc_id=F.col("doc_id"), text=F.array_join("kept", "\n"))
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import global_rank
 from ..session import stored_table
-from .common import WORD
+from .common import WORD, bundled, picked, unbundled
 
 #: Words of a block, and about how many words a shard holds.
 BLOCK = 16
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: float =
     NULL or wordless texts have size 0 and take 0. Repeated rows are separate documents. A source
     without words has target 0.
     """
-    sized = stored_table(docs.select(
+    sized = stored_table(picked(docs, "doc_id", "text", "source").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"),
         F.col("source").cast("string").alias("src"), words_in(F.col("text")).alias("size")))
     sources = source_targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), limit)
@@ -124,10 +124,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     running = plan.withColumns({"_part": part, "_upto": F.round(F.sum(part).over(falling) + 0.5, 6)})
     extra = F.floor("_upto") - F.floor(F.round(F.col("_upto") - F.col("_part"), 6))
     copies = running.select("doc_id", "th", (F.floor(ratio) + extra).cast("int").alias("_times")).groupBy("doc_id", "th").agg(F.max("_times").alias("_times"))
-    marked = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    marked = bundled(docs, "doc_id", "text").withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = (marked["doc_id"].eqNullSafe(copies["doc_id"])) & (marked["_th"] == copies["th"])
-    found = marked.join(copies.where("_times > 0").hint("shuffle_hash"), same).select(*[marked[c] for c in docs.columns], "_times")
-    return found.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    found = marked.join(copies.where("_times > 0").hint("shuffle_hash"), same).select(marked["doc_id"], "text", "_rest", "_times")
+    again = found.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times")))
+    return unbundled(again, docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def query(spark, folder: str) -> DataFrame:

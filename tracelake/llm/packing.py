@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored_table
-from .common import slices
+from .common import picked, slices
 from .tokens import VOCABULARY, text_ids
 
 CAPACITY = 4096
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY) ->
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, seeded_unit
+from .common import extended, fold, picked, read_table, seeded_unit
 
 BITS = 18
 #: About how many labelled texts are learned from.
@@ -109,7 +109,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed
     executors compute the indicators of whole texts, the driver receives those of the sample only.
     None if nothing is labelled.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = picked(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
     if not total:
         return None
@@ -121,8 +121,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed
             yield pd.Series([ngram_indicators(t).tobytes() for t in texts])
 
     # at most a few more than `sample` ids
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", indicators("text").alias("f"))
-    rows = sorted((int(r[0]), int(r[1]), bytes(r[2])) for r in picked.collect())
+    rows = picked(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", indicators("text").alias("f"))
+    rows = sorted((int(r[0]), int(r[1]), bytes(r[2])) for r in rows.collect())
     if not rows:
         return None
     return fit_support_vectors([np.frombuffer(r[2], np.uint32) for r in rows], np.array([1.0 if r[1] > 0 else -1.0 for r in rows]))
@@ -140,14 +140,13 @@ def with_quality(docs: DataFrame, model: SupportVectors | None, text: str = "tex
         for texts in parts:
             yield pd.Series([model.score(ngram_indicators(t)) if model else 0.5 for t in texts], dtype="float64")
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*own, score(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int"))
+    return extended(docs, [text], ["score", "predicted"], lambda d: d.withColumn("score", score(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> SupportVectors | None:
     """The model of the folds other than the second of three."""
-    return learn_quality(docs, labels.where(fold("doc_id", 3) != 1))
+    return learn_quality(docs, picked(labels, "doc_id", "quality").where(fold("doc_id", 3) != 1))
 
 
 def query(spark, folder: str) -> DataFrame:

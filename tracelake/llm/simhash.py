@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sizing import dimension
 from ..session import stored_table
-from .common import partitions, slices
+from .common import partitions, picked, slices
 from .components import connected_components
 
 SHINGLES_AT_ONCE = 1 << 16
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, doc_id: str =
             fps = [fingerprint(t, words, seed) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return picked(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long")
 
 

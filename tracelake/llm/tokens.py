@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
 from .vocab import library, word_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -103,10 +104,9 @@ def with_token_counts(docs: DataFrame, limit: int = 2048, name: str = VOCABULARY
         for texts in parts:
             yield pd.Series([len(text_ids(t, name, huge, chunk, overlap)) // 4 if t else 0 for t in texts], dtype="int64")
 
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(*own, F.octet_length(whole).cast("long").alias("n_bytes"), count(whole).alias("n_tokens")).withColumn(
-        "over_limit", F.col("n_tokens") > limit)
+    return extended(docs, [text], ["n_bytes", "n_tokens", "over_limit"], lambda d: d.withColumns(
+        {"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": count(whole)}).withColumn("over_limit", F.col("n_tokens") > limit))
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import partitions, picked, slices
 
 #: Code points of a k-gram, and k-grams of a window: any passage of K + WINDOW - 1 is matched for certain.
 K = 12
@@ -119,7 +119,7 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     single row follows itself, and an empty table gives no row.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = rows.select(F.percentile_approx(ids, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
