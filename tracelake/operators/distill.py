@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import seeded_md5
 from ..plans.ranking import hash_rank, spearman
 from ..session import scratch_dir, stored_table
 from .clean import CASE
@@ -19,19 +20,21 @@ from .values import length_bin
 def select_common_states(test: DataFrame, n_target: int, seed: int = 42, action: str = "a") -> DataFrame:
     """(case_id, t): equal quota per (prefix-length bin, action), the rest filled in hash order.
 
-    Strata are ranked through hash buckets, so the largest stratum is not sorted by one task.
+    Two passes over the states, both limited before anything is shuffled: at most ``n_target`` candidates of each
+    stratum, of which there are a handful, and the first states of the fill order. No state beyond these is stored.
     """
     keyed = test.select(CASE, "t", length_bin(F.col("t")).alias("len_bin"), F.col(action).alias("act"))
-    ranked = stored_table(hash_rank(keyed, seed, [CASE, "t"], ["len_bin", "act"], rank="_rank", size="_size"))
-    strata = ranked.groupBy("len_bin", "act").agg(F.max("_size").alias("size"))  # a handful of rows
-    n_strata = strata.agg(F.count(F.lit(1)).alias("k"))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n_target) / n_strata.scalar())).cast("long")
-    sized = ranked.withColumn("_quota", quota)
-    first = sized.where(F.col("_rank") <= F.col("_quota")).select(CASE, "t", F.lit(0).alias("_part"), "_rank")
-    rest = hash_rank(sized.where(F.col("_rank") > F.col("_quota")).select(CASE, "t"), f"{seed}:fill", [CASE, "t"], rank="_rank")
-    both = first.unionByName(rest.select(CASE, "t", F.lit(1).alias("_part"), "_rank"))
+    order = Window.partitionBy("len_bin", "act").orderBy("_h", CASE, "t")
+    candidates = stored_table(
+        keyed.withColumn("_h", seeded_md5(seed, CASE, "t")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n_target))
+    n_strata = candidates.select("len_bin", "act").distinct().count()
+    quota = max(1, n_target // max(1, n_strata))
+    first = candidates.where(F.col("_rank") <= quota).select(CASE, "t", F.lit(0).alias("_part"), "_rank", F.lit("").alias("_f"))
+    fill = keyed.select(CASE, "t", F.lit(1).alias("_part"), F.lit(0).alias("_rank"), seeded_md5(f"{seed}:fill", CASE, "t").alias("_f"))
+    # as many as are wanted even if all of the first ones are among them
+    rest = fill.orderBy("_f", CASE, "t").limit(n_target + n_strata * quota).join(first.select(CASE, "t"), [CASE, "t"], "left_anti")
     # the sample size is the feature: first the quotas, then the fill
-    return both.orderBy("_part", "_rank", CASE, "t").limit(n_target).select(CASE, "t")
+    return first.unionByName(rest).orderBy("_part", "_rank", "_f", CASE, "t").limit(n_target).select(CASE, "t")
 
 
 def select_high_impact(explained: DataFrame, dataset: DataFrame, n: int, row_key: str | None = None) -> DataFrame:
