@@ -1,8 +1,10 @@
 """Hand-computed values and invariants on tiny inputs."""
 
+import hashlib
 import math
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,6 +291,23 @@ def test_bootstrap_intervals_contain_the_estimate(spark):
         assert ci["dr_hi"] - ci["dr_lo"] < 1.5
 
 
+def test_multinomial_draws_meet_the_cases_in_a_shuffle_and_match_brute_force(spark):
+    df = spark.createDataFrame([(i % 40, p, float(i % 7), 0.5, 1.0, 0.3 + i % 3, float(i % 11)) for i in range(90) for p in "xy"],
+                               "case_id long, policy string, r double, q_sa double, v double, rho double, dr double")
+    boot = ope.bootstrap(df, 25, 7)
+    # an estimate of the draws does not see that each case becomes ``replicates`` rows; broadcast, they pass through the driver
+    assert "ShuffledHashJoin [i#" in boot._jdf.queryExecution().executedPlan().toString()
+    order = sorted(range(40), key=lambda c: hashlib.md5(f"7:order:{c}".encode()).hexdigest())
+    data = df.toPandas()
+    for policy in "xy":
+        sums = data[data.policy == policy].assign(rr=lambda d: d.rho * d.r).groupby("case_id").agg(n=("r", "size"), dr=("dr", "sum"), rho=("rho", "sum"), rr=("rr", "sum"))
+        drawn = [sums.loc[[order[int(hashlib.md5(f"7:{b}:{i}".encode()).hexdigest()[:15], 16) % 40] for i in range(40)]].sum() for b in range(25)]
+        got = boot.where(F.col("policy") == policy).first()
+        for name, values_ in (("dr", [d.dr / d.n for d in drawn]), ("wis", [d.rr / d.rho for d in drawn])):
+            assert [got[f"{name}_lo"], got[f"{name}_hi"]] == pytest.approx(list(np.quantile(values_, [0.025, 0.975])))
+        assert got["n_replicates"] == 25
+
+
 def test_return_table_falls_back(tr):
     t = values.return_table(values.state_cells(tr), 2)
     q = {(r["last_activity"], r["len_bin"], r["seen"]): r["q"] for r in t.collect()}

@@ -68,25 +68,28 @@ def bootstrap(steps: DataFrame, replicates: int = 200, seed: int = 42, method: s
     """95 % intervals of DR and WIS by resampling cases, one row per policy.
 
     ``multinomial`` draws n cases per replicate through hashed ordinals, exactly as a cluster
-    bootstrap does; draws and case sums meet in one shuffle. ``poisson`` gives every case an
+    bootstrap does; draws and case sums meet in one shuffle, by the drawn ordinal. ``poisson`` gives every case an
     independent Poisson(1) multiplicity per replicate and needs no draws join, for very many cases.
     """
     # every case becomes ``replicates`` rows here, so the work is spread before it grows
     spark = steps.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    # one row per policy and case; everything below reads this table and not the log
-    sums = stored_table(case_sums(steps, group))
+    # a handful of structs per case; a draw holds for all policies
+    per_case = F.collect_list(F.struct(group, "n", "s_dr", "s_rho", "s_rr")).alias("_p")
     if method == "multinomial":
-        ranked = hash_rank(sums.select(CASE).distinct(), f"{seed}:order", [CASE], rank="_rank", size="_n")
-        ordinals = ranked.select(CASE, (F.col("_rank") - 1).alias("i"), F.col("_n"))
-        draws = ordinals.select("i", "_n").repartition(tasks, "i").select("i", "_n", each.alias("b")).select(
-            "b", (hash_long(seeded_md5(seed, "b", "i")) % F.col("_n")).alias("i"))
-        times = draws.groupBy("i", "b").agg(F.count(F.lit(1)).alias("m"))
-        weighted = times.join(sums.join(ordinals.select(CASE, "i"), CASE), "i")
+        # stored by the ranking; everything below reads that table and not the log
+        ranked = hash_rank(case_sums(steps, group).groupBy(CASE).agg(per_case), f"{seed}:order", [CASE], rank="_rank")
+        n = ranked.count()
+        # ranks are 1..n, so the ordinals that draw need no table
+        draws = spark.range(0, n, 1, tasks).select("id", each.alias("b")).select("b", (hash_long(seeded_md5(seed, "b", "id")) % max(n, 1)).alias("i"))
+        # draws are ``replicates`` times the cases, which their estimate does not see: without the hint they would be broadcast
+        cases = ranked.where(F.col(CASE).isNotNull()).select((F.col("_rank") - 1).cast("long").alias("i"), "_p")
+        weighted = draws.join(cases.hint("shuffle_hash"), "i").select("b", F.lit(1).alias("m"), F.inline("_p"))
     elif method == "poisson":
-        # one draw per case and replicate, shared by the policies (a handful of structs per case)
-        wide = sums.groupBy(CASE).agg(F.collect_list(F.struct(group, "n", "s_dr", "s_rho", "s_rr")).alias("_p")).repartition(tasks, CASE)
+        # one row per policy and case; everything below reads this table and not the log
+        sums = stored_table(case_sums(steps, group))
+        wide = sums.groupBy(CASE).agg(per_case).repartition(tasks, CASE)
         # no filter on the count: pushed below, it would evaluate the digest once per reference
         drawn = wide.select(CASE, "_p", each.alias("b")).withColumn("_u", hash_unit(seed, "b", CASE)).withColumn("m", poisson_count(F.col("_u"), 1.0))
         weighted = drawn.select("b", "m", F.inline("_p"))
