@@ -1,6 +1,9 @@
 """Stateful streams against the batch operators."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+import pandas as pd
 
 from tests.conftest import rows
 from tracelake.operators import cases, sessions
@@ -49,6 +52,68 @@ def test_case_state_over_batches_with_late_rows(spark, tmp_path):
     assert max(len(r.tokens) for r in got) == 3
 
 
+class Kept:
+    """A list or value state and how often it was asked or told."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def _call(self, values=None):
+        self.calls += 1
+        if values is not None:
+            self.values = values
+
+    def appendValue(self, value):  # noqa: N802
+        self._call([*self.values, value])
+
+    def exists(self):
+        self._call()
+        return bool(self.values)
+
+    def put(self, values):
+        self._call(values)
+
+    def clear(self):
+        self._call([])
+
+
+class KeptList(Kept):
+    def get(self):
+        self._call()
+        return iter(self.values)
+
+
+class KeptValue(Kept):
+    def get(self):
+        self._call()
+        return self.values[0]
+
+    def update(self, value):
+        self._call([value])
+
+
+def test_a_shard_costs_the_same_state_calls_whatever_its_cases():
+    """Each call is a round trip to Spark's state server; per case they took most of the time."""
+
+    def calls(n):
+        kept, timers = {"waiting": KeptList(), "progress": KeptValue()}, []
+        handle = SimpleNamespace(getListState=lambda name, _: kept[name], getValueState=lambda name, _: kept[name], registerTimer=timers.append)
+        processor = cstream.CaseProcessor(cstream.CaseStream((), ("view",), 5, "1 minute", 60))
+        rows_, seen = [(str(c), 1_000_000 * s, "view", None, 7, []) for c in range(n) for s in (2, 1)], []
+        for watermark in (1_500, 5_000, 100_000):
+            processor.init(handle)
+            if watermark == 1_500:
+                assert list(processor.handleInputRows((0,), iter([pd.DataFrame(rows_, columns=["case", "micros", "activity", "event_id", "token_id", "numbers"])]), None)) == []
+            for _ in range(2):  # a second timer of the batch has nothing to do
+                found = list(processor.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), None))
+                seen += [(r.case, r.t, r.micros) for f in found for r in f.itertuples()]
+        assert sorted(seen) == sorted((str(c), s, 1_000_000 * s) for c in range(n) for s in (1, 2))
+        assert [k.values for k in kept.values()] == [[], []] and timers == [1001, 2001, 62_001]
+        return sum(k.calls for k in kept.values())
+
+    assert calls(300) == calls(1)
+
+
 def test_idle_cases_are_evicted(spark, tmp_path):
     spec = cstream.CaseStream((), ("view",), 5, "10 minutes", 60 * 60)
     parts = [[event(1, 0, "view", 1), event(1, 5, "view", 2)], [event(2, 300, "view", 3)], [event(2, 310, "view", 4)], [event(1, 600, "view", 5)], [event(None, 2000, "beat", None)]]

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,15 +17,31 @@ from ..operators.clean import ACTIVITY, CASE, TIME
 from ..session import reach_workers
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = "at long, activity string, event_id long, token_id int, numbers array<double>"
-PROGRESS = "t long, start long, last long, counts array<long>, tokens array<int>"
+#: State rows are kept as Arrow bytes, one value per shard and batch: Spark hands values over one at a time.
+STATE = "rows binary"
+WAITING = pa.schema({"case": pa.string(), "at": pa.int64(), "activity": pa.string(), "event_id": pa.int64(), "token_id": pa.int32(), "numbers": pa.list_(pa.float64())})
+PROGRESS = pa.schema({"case": pa.string(), "t": pa.int64(), "start": pa.int64(), "last": pa.int64(), "counts": pa.list_(pa.int64()), "tokens": pa.list_(pa.int32())})
+
+
+def packed(rows: list[tuple], schema: pa.Schema) -> bytes:
+    """Rows as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> Iterator[tuple]:
+    table = pa.ipc.open_stream(bytes(data)).read_all()
+    return zip(*(column.to_pylist() for column in table.columns), strict=True)
 
 
 @dataclass(frozen=True)
 class CaseStream:
     """What is kept of a case: ``counted`` activities, ``numeric`` columns, the last ``max_len`` token ids.
 
-    Events wait for ``delay``, and a case is forgotten ``idle_seconds`` after its last event.
+    Events wait for ``delay``, and a case is forgotten ``idle_seconds`` after its last event. Cases are dealt to
+    ``shards`` by hash, whose state is read and written at once; their number stays for the life of a checkpoint.
     """
 
     numeric: tuple[str, ...] = ()
@@ -32,13 +49,15 @@ class CaseStream:
     max_len: int = 50
     delay: str = "1 hour"
     idle_seconds: int = 30 * 86_400
+    shards: int = 1024
 
 
 class CaseProcessor(StatefulProcessor):
-    """Events wait in a list until the watermark has passed them, then join the case in event order.
+    """Events wait in the list of their shard until the watermark has passed them, then join their cases in event order.
 
-    A timer at the earliest waiting event releases what may no longer be preceded; a later one evicts the
-    case. State per case is the waiting list, one counter per counted activity and ``max_len`` ids.
+    A timer at the earliest waiting event releases what may no longer be preceded, for all cases of the shard at
+    once; one at the first end of an idle case evicts it. State per case is its waiting events, one counter per counted
+    activity and ``max_len`` ids.
     """
 
     def __init__(self, spec: CaseStream):
@@ -46,59 +65,64 @@ class CaseProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.progress = handle.getValueState("progress", PROGRESS)
+        self.waiting = handle.getListState("waiting", STATE)
+        self.progress = handle.getValueState("progress", STATE)
+        self.released = set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            if key[0] is None:
-                continue  # a heartbeat only moves the watermark
             # batches are bounded; objects, because NULL integers would turn into doubles
-            events = [(int(at), a, None if pd.isna(e) else int(e), int(i), [float(x) for x in n])
-                      for at, a, e, i, n in zip(pdf["micros"], pdf[ACTIVITY].astype(object).where(pdf[ACTIVITY].notna(), None), pdf["event_id"], pdf["token_id"], pdf["numbers"], strict=True)]
-            self.waiting.appendList(events)
-            earliest = min(e[0] for e in events)
+            events = [(c, int(at), a, None if pd.isna(e) else int(e), int(i), [float(x) for x in n])
+                      for c, at, a, e, i, n in zip(pdf["case"], pdf["micros"], pdf[ACTIVITY].astype(object).where(pdf[ACTIVITY].notna(), None), pdf["event_id"], pdf["token_id"], pdf["numbers"], strict=True)
+                      if not pd.isna(c)]  # a heartbeat only moves the watermark
+            if not events:
+                continue
+            self.waiting.appendValue((packed(events, WAITING),))
+            earliest = min(e[1] for e in events)
             first = earliest if first is None else min(first, earliest)
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if key in self.released:
+            return  # by another timer of this batch; no rows come after the first of them
+        self.released.add(key)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((e for e in waiting if e[0] <= passed), key=lambda e: (e[0], e[1] is not None, e[1] or "", e[2] is not None, e[2] or 0))
-        later = [e for e in waiting if e[0] > passed]
-        state = self.progress.get() if self.progress.exists() else None
-        if ready:
-            t, start, last, counts, tokens = state if state is not None else (0, ready[0][0], 0, [0] * len(self.spec.counted), [])
-            counts, tokens, out = list(counts), list(tokens), []
-            for at, activity, event_id, token, numbers in ready:
-                t, last = t + 1, at
-                counts = [n + (activity == name) for n, name in zip(counts, self.spec.counted, strict=True)]
-                tokens = [*tokens, token][-self.spec.max_len:]
-                out.append((key[0], t, at, activity, event_id, list(numbers), float(t), (at - start) / 86_400_000_000.0, [float(n) for n in counts], tokens))
-            state = (t, start, last, counts, tokens)
-            self.progress.update(state)
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
+        waiting = [event for value in self.waiting.get() for event in unpacked(value[0])] if self.waiting.exists() else []
+        ready = sorted((e for e in waiting if e[1] <= passed), key=lambda e: (e[0], e[1], e[2] is not None, e[2] or "", e[3] is not None, e[3] or 0))
+        later = [e for e in waiting if e[1] > passed]
+        states = {case: state for case, *state in unpacked(self.progress.get()[0])} if self.progress.exists() else {}
+        out = []
+        for case, at, activity, event_id, token, numbers in ready:
+            t, start, _, counts, tokens = states.get(case) or (0, at, 0, [0] * len(self.spec.counted), [])
+            counts = [n + (activity == name) for n, name in zip(counts, self.spec.counted, strict=True)]
+            tokens = [*tokens, token][-self.spec.max_len:]
+            states[case] = [t + 1, start, at, counts, tokens]
+            out.append((case, t + 1, at, activity, event_id, list(numbers), float(t + 1), (at - start) / 86_400_000_000.0, [float(n) for n in counts], tokens))
+        if out:
             yield pd.DataFrame({name: pd.Series(list(values), dtype=object) for name, values in zip(COLUMNS, zip(*out, strict=True), strict=True)})
-        if later:
-            self.handle.registerTimer(min(e[0] for e in later) // 1000 + 1)
-        elif state is not None:
-            end = state[2] // 1000 + self.spec.idle_seconds * 1000
-            if end * 1000 <= passed:
-                self.progress.clear()
-            else:
-                self.handle.registerTimer(end + 1)
+        more = {e[0] for e in later}
+        ends = {case: state[2] // 1000 + self.spec.idle_seconds * 1000 for case, state in states.items() if case not in more}
+        kept = [(case, *state) for case, state in states.items() if case in more or ends[case] * 1000 > passed]
+        if ready and later:
+            self.waiting.put([(packed(later, WAITING),)])
+        elif ready:
+            self.waiting.clear()
+        if kept and (ready or len(kept) < len(states)):
+            self.progress.update((packed(kept, PROGRESS),))
+        elif not kept:
+            self.progress.clear()
+        due = [e[1] // 1000 + 1 for e in later] + [end + 1 for end in ends.values() if end * 1000 > passed]
+        if due:
+            self.handle.registerTimer(min(due))
 
     def close(self) -> None:
         pass
 
 
-COLUMNS = (CASE, "t", "micros", ACTIVITY, "event_id", "numbers", "prefix_len", "elapsed_time", "counts", "tokens")
+COLUMNS = ("case", "t", "micros", ACTIVITY, "event_id", "numbers", "prefix_len", "elapsed_time", "counts", "tokens")
 
 
 def case_stream(events: DataFrame, spec: CaseStream) -> DataFrame:
@@ -110,14 +134,15 @@ def case_stream(events: DataFrame, spec: CaseStream) -> DataFrame:
     one itself. Rows without time are dropped. Events of an evicted case start a new prefix.
     """
     numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in spec.numeric]).cast("array<double>")
-    rows = events.where(F.col(TIME).isNotNull()).select(
-        CASE, TIME, F.unix_micros(TIME).alias("micros"), ACTIVITY, F.col("event_id").cast("long").alias("event_id"), F.coalesce("token_id", F.lit(1)).alias("token_id"), numbers.alias("numbers"))
     kind = events.schema[CASE].dataType
-    schema = T.StructType([T.StructField(CASE, kind), *T.StructType.fromDDL(
-        "t long, micros long, activity string, event_id long, numbers array<double>, prefix_len double, elapsed_time double, counts array<double>, tokens array<int>").fields])
-    found = rows.withWatermark(TIME, spec.delay).groupBy(CASE).transformWithStateInPandas(CaseProcessor(spec), schema, "append", "eventTime")
+    case = F.col(CASE).cast("string")
+    rows = events.where(F.col(TIME).isNotNull()).select(
+        F.pmod(F.xxhash64(case), F.lit(spec.shards)).cast("int").alias("shard"), case.alias("case"), TIME, F.unix_micros(TIME).alias("micros"), ACTIVITY, F.col("event_id").cast("long").alias("event_id"), F.coalesce("token_id", F.lit(1)).alias("token_id"), numbers.alias("numbers"))
+    schema = T.StructType.fromDDL(
+        "case string, t long, micros long, activity string, event_id long, numbers array<double>, prefix_len double, elapsed_time double, counts array<double>, tokens array<int>")
+    found = rows.withWatermark(TIME, spec.delay).groupBy("shard").transformWithStateInPandas(CaseProcessor(spec), schema, "append", "eventTime")
     return found.select(
-        CASE, "t", F.timestamp_micros("micros").alias(TIME), ACTIVITY, "event_id", *[F.col("numbers")[i].alias(c) for i, c in enumerate(spec.numeric)],
+        F.col("case").cast(kind).alias(CASE), "t", F.timestamp_micros("micros").alias(TIME), ACTIVITY, "event_id", *[F.col("numbers")[i].alias(c) for i, c in enumerate(spec.numeric)],
         "prefix_len", "elapsed_time", *[F.col("counts")[i].alias(f"count_{a}") for i, a in enumerate(spec.counted)], "tokens")
 
 
