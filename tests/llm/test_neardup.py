@@ -78,3 +78,18 @@ def test_wide_fingerprints_of_the_least_favourable_sets():
             a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
             apart.append(int(np.bitwise_count(neardup.wide_fingerprint(a) ^ neardup.wide_fingerprint(a[:-(n // 5)])).sum()))
     assert max(apart) <= neardup.RADIUS
+
+
+def test_pivots_of_the_run_discard_texts_that_are_not_near_and_lose_no_link():
+    draw = np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.append(s[draw.random(200) < 0.97], draw.integers(0, 1 << 63, 2, dtype=np.uint64)) for s in sets for _ in range(8)]
+    fps = np.array([neardup.wide_fingerprint(s) for s in sets])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64)
+    table = neardup.pivot_table(fps)
+    kept = np.abs(table[:, None] - table[None]).max(axis=2) <= neardup.RADIUS
+    assert kept[apart <= neardup.RADIUS].all()
+    unlike = apart > neardup.RADIUS
+    assert kept[unlike].sum() < unlike.sum() / 2
+    links = neardup.close_fingerprints([np.array([len(s) for s in sets]), *(fps[:, k].copy().view(np.int64) for k in range(neardup.PARTS))], 0.8)
+    assert components(range(48), links) == components(range(48), [(i, j) for i in range(48) for j in range(i) if i // 8 == j // 8])
